@@ -42,14 +42,14 @@ def with_totals(df: DataFrame, kpis: DataFrame) -> DataFrame:
 
 
 def finish(df: DataFrame, kind: str, order: int, seq: Column, sku: Column, category: Column, label: Column,
-           points: Column, revenue: Column, margin: Column, cash: Column, confidence: Column, **texts: Column) -> DataFrame:
+           points: Column, revenue: Column, margin_pts: Column, cash: Column, confidence: Column, **texts: Column) -> DataFrame:
     fields = {"category": category, "sku": sku, "margin": fixed(F.col("avg_margin"), 0),
               "amount": pounds(revenue), "cash": pounds(cash)}
     fields.update(texts)
     return df.select(
         DS, F.lit(kind).alias("type"), label.alias("priority_label"), points.cast("int").alias("priority_score"),
         sku.alias("sku"), category.alias("category"),
-        revenue.cast("double").alias("revenue_impact"), margin.cast("double").alias("margin_impact"),
+        revenue.cast("double").alias("revenue_impact"), margin_pts.cast("double").alias("margin_impact"),
         cash.cast("double").alias("cash_recovery"), confidence.cast("int").alias("confidence"),
         F.lit(order).alias("type_order"), seq.cast("double").alias("seq"),
         *[render(ACTION_TEXTS[kind][t], **fields).alias(t) for t in TEXT_FIELDS],

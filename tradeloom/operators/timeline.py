@@ -81,9 +81,12 @@ def risk_diff(points: DataFrame, risks: DataFrame) -> DataFrame:
     df = points.select("user_id", DS, "date").join(risks, DS).withColumn("prev", F.lag("risks").over(in_time()))
     kinds = {"new": F.array_except("risks", "prev"), "resolved": F.array_except("prev", "risks"),
              "recurring": F.array_intersect("risks", "prev")}
-    entries = [F.transform(F.slice(F.array_sort(a), 1, RISKS_KEPT[k]),
-                           lambda r, i, k=k: F.struct(F.lit(k).alias("kind"), (i + 1).alias("pos"), r.alias("risk")))
-               for k, a in kinds.items()]
+
+    def entries_of(kind: str, risks: Column) -> Column:
+        kept = F.slice(F.array_sort(risks), 1, RISKS_KEPT[kind])
+        return F.transform(kept, lambda r, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("pos"), r.alias("risk")))
+
+    entries = [entries_of(k, a) for k, a in kinds.items()]
     return df.where(F.col("prev").isNotNull()).select("user_id", DS, F.inline(F.flatten(F.array(*entries))))
 
 

@@ -42,16 +42,16 @@ def latest_dataset(requests: DataFrame, uploads: DataFrame) -> DataFrame:
     key = F.struct(*NEWEST_FIRST)
     per_user = uploads.groupBy("user_id").agg(F.max_by(DS, key).alias("newest"))
     per_company = uploads.groupBy("user_id", "company_id").agg(F.max_by(DS, key).alias("newest_in_company"))
-    owned = uploads.select("user_id", F.col("company_id").alias("owner_company"), F.col(DS).alias("owned"))
-    r = requests.withColumnRenamed(DS, "named")
+    owned = uploads.select("user_id", F.col("company_id").alias("owner_company"), F.col(DS).alias("named")).withColumn("owned", F.col("named"))
     out = (
-        r.join(owned, (r["user_id"] == owned["user_id"]) & (r["named"] == owned["owned"]) &
-               (r["company_id"].isNull() | (r["company_id"] == owned["owner_company"])), "left").drop(owned["user_id"])
+        requests.withColumnRenamed(DS, "named")
+        .join(owned, ["user_id", "named"], "left")
         .join(per_user, "user_id", "left")
         .join(per_company, ["user_id", "company_id"], "left")
     )
+    in_scope = F.col("company_id").isNull() | (F.col("company_id") == F.col("owner_company"))
     fallback = F.when(F.col("company_id").isNull(), F.col("newest")).otherwise(F.col("newest_in_company"))
-    return out.select("user_id", "company_id", "named", F.coalesce("owned", fallback).alias(DS))
+    return out.select("user_id", "company_id", "named", F.coalesce(F.when(in_scope, F.col("owned")), fallback).alias(DS))
 
 
 def switch_check(requests: DataFrame, uploads: DataFrame) -> DataFrame:

@@ -1,6 +1,11 @@
-"""All registered queries."""
+"""All registered queries. The order of imports is the order of the SQL building blocks."""
 
-from tradeloom.plans import analysis, views  # noqa: F401
+# isort: off
+from tradeloom.plans import blocks  # noqa: F401
+from tradeloom.plans import analysis  # noqa: F401
+from tradeloom.plans import views  # noqa: F401
+from tradeloom.plans import cross  # noqa: F401
+from tradeloom.plans import access  # noqa: F401
 from tradeloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

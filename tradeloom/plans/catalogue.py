@@ -6,6 +6,7 @@ from tradeloom.plans import analysis  # noqa: F401
 from tradeloom.plans import views  # noqa: F401
 from tradeloom.plans import cross  # noqa: F401
 from tradeloom.plans import access  # noqa: F401
+from tradeloom.plans import streams  # noqa: F401
 from tradeloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

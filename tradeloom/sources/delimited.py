@@ -6,8 +6,12 @@ with the same delimiter and header are then read by one ``spark.read.csv``.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom.functions.numbers import clean_numeric
@@ -16,26 +20,43 @@ from tradeloom.sources.roles import KEY_HEADERS, missing_required, role_columns,
 
 # Delimiters considered; the first one wins a tie.
 DELIMITERS = [",", ";", "\t", "|"]
+HEAD_BYTES = 65536
 NUMERIC_ROLES = ["units", "revenue", "stock", "cost", "full_price_sales", "buy_qty", "margin_value", "retail",
                  "margin_pct", "sell_through", "cover_weeks"]
 
 
-def count_of(text: Column, mark: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+def first_line(uri: str) -> str:
+    """First non-blank line of a file, reading no more than needed."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as stream:
+        text = ""
+        while chunk := stream.read(HEAD_BYTES):
+            text += chunk.decode("utf-8", errors="replace")
+            line = text.lstrip("\ufeff\r\n ").splitlines()
+            if len(line) > 1:
+                return line[0]
+        return line[0] if text.strip() and line else ""
+
+
+def delimiter_of(header: str) -> str:
+    """The delimiter seen most outside quotes, a comma when there is none."""
+    bare = re.sub('"[^"]*"', "", header)
+    return max(DELIMITERS, key=lambda d: (bare.count(d), -DELIMITERS.index(d)))
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """file, header and delimiter of every file: the delimiter seen most in the first
-    non-blank line, a comma when there is none."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
-                                         F.col("_metadata.file_block_start").alias("start"), "value")
-    first = lines.where((F.col("start") == 0) & (F.trim("value") != "")).withColumn("n", F.monotonically_increasing_id())
-    head = first.groupBy("file").agg(F.min_by("value", "n").alias("header"))
-    header = F.replace("header", F.lit("﻿"), F.lit(""))
-    bare = F.regexp_replace(header, '"[^"]*"', "")
-    counts = F.array(*[F.struct(count_of(bare, d).alias("n"), F.lit(-i).alias("first"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
-    best = F.array_max(counts)
-    return head.select("file", header.alias("header"), F.when(best["n"] > 0, best["d"]).otherwise(",").alias("delimiter"))
+    """file, header and delimiter of every file. Listing files reads no content, and of
+    each file only its head is opened, on the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lines = [first_line(p) for p in batch["path"]]
+            yield pd.DataFrame({"file": batch["path"], "header": lines, "delimiter": [delimiter_of(h) for h in lines]})
+
+    return files.mapInPandas(heads, "file string, header string, delimiter string")
 
 
 def drop_empty(df: DataFrame, keep: tuple = ("dataset_id", "row_id")) -> DataFrame:
@@ -49,29 +70,34 @@ def drop_empty(df: DataFrame, keep: tuple = ("dataset_id", "row_id")) -> DataFra
     return out.dropna("all", subset=[f"`{c}`" for c in live]) if live else out.limit(0)
 
 
-def read_group(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
+def read_group(spark: SparkSession, files: list[str], delimiter: str, dataset: Column) -> DataFrame:
     """Files of one delimiter and one header as strings, with dataset and file order."""
-    raw = spark.read.csv(files, sep=delimiter, header=True, multiLine=False, enforceSchema=False)
-    unnamed = [f"Unnamed: {i}" if c.startswith("_c") else c for i, c in enumerate(raw.columns)]
-    raw = raw.select(F.col("_metadata.file_name").alias("dataset_id"),
-                     F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("row_id"),
-                     *[F.col(f"`{c}`").alias(u) for c, u in zip(raw.columns, unnamed)])
-    return raw
+    raw = spark.read.csv(files, sep=delimiter, header=True, enforceSchema=False)
+    names = [f"Unnamed: {i}" if re.fullmatch(r"_c\d+", c) else c for i, c in enumerate(raw.columns)]
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("n"))
+    return raw.select(dataset.alias("dataset_id"), order.alias("row_id"), *[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names)])
+
+
+def file_stem() -> Column:
+    """One file, one dataset."""
+    return F.col("_metadata.file_name")
 
 
-def scan_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+def scan_delimited(spark: SparkSession, path: str, dataset: Column | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Role-mapped raw sheets of a folder, and the rejected files with their reason.
 
-    One read per distinct (delimiter, header), not per file; the list of distinct headers
-    is the only thing the driver sees.
+    One read per distinct (delimiter, header), not per file. The driver sees file names and
+    distinct headers only, as any file listing does.
     """
-    found = headers(spark, path)
-    groups = found.groupBy("delimiter", "header").agg(F.collect_list("file").alias("files")).collect()
+    groups = headers(spark, path).groupBy("delimiter", "header").agg(F.collect_list("file").alias("files")).collect()
     parts, rejected = [], []
     for g in groups:
-        df = drop_empty(read_group(spark, g["files"], g["delimiter"]))
-        names = [c for c in df.columns if c not in ("dataset_id", "row_id")]
-        reason = missing_required(names)
+        if not g["header"]:
+            rejected += [(f, "File is empty.") for f in g["files"]]
+            continue
+        df = drop_empty(read_group(spark, g["files"], g["delimiter"], file_stem() if dataset is None else dataset))
+        reason = missing_required([c for c in df.columns if c not in ("dataset_id", "row_id")])
         if reason:
             rejected += [(f, reason) for f in g["files"]]
         else:

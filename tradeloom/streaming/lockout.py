@@ -110,37 +110,45 @@ def lockout_batch(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, slices:
         "ts", F.timestamp_micros("ts_us")).drop("ts_us")
 
 
-def lockout_stream(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, ttl_seconds: int | None = None) -> DataFrame:
+def lockout_stream(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, late: str = "10 minutes") -> DataFrame:
     """The same outcomes over a stream of attempts, one small state per account.
 
-    The state of an account that stays silent is dropped after ``ttl_seconds`` of
-    processing time, by default twice the lock.
+    An event-time timer drops the state of an account once a lock and the decay of its
+    counter have both passed in silence.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     lock_us = lock_seconds * SECOND
-    ttl_ms = 1000 * (ttl_seconds or 2 * lock_seconds)
 
     class Lockout(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("lock", "fails bigint, last bigint, until bigint", ttl_ms)
+            self.handle = handle
+            self.state = handle.getValueState("lock", "fails bigint, last bigint, until bigint")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             entry = tuple(int(v) for v in self.state.get()) if self.state.exists() else CLEAR
-            batch = in_order(pd.concat(list(rows)))
-            done, state = walk(batch, entry, lock_us)
+            done, state = walk(in_order(pd.concat(list(rows))), entry, lock_us)
             if state == CLEAR:
                 self.state.clear()
             else:
                 self.state.update(state)
+                self.handle.registerTimer((state[1] + 2 * lock_us) // 1000)
             yield pd.DataFrame(done, columns=["account", "ts_us", "attempt_id", "status", "fails", "locked", "delay"])
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.state.exists():
+                last = int(self.state.get()[1])
+                if (last + 2 * lock_us) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+                    self.state.clear()
+            return iter(())
+
         def close(self) -> None:
             pass
 
-    shaped = attempts.select("account", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "attempt_id", "success")
+    stamped = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    shaped = stamped.select("account", "ts", F.unix_micros("ts").alias("ts_us"), "attempt_id", "success")
     return shaped.groupBy("account").transformWithStateInPandas(
-        statefulProcessor=Lockout(), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=Lockout(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def failure_episodes(attempts: DataFrame, gap_seconds: int = LOCK_SECONDS) -> DataFrame:

@@ -49,27 +49,31 @@ def derive_margin(lines: DataFrame) -> DataFrame:
     return lines.withColumn("margin_pct", value).withColumn("margin_source", source)
 
 
-def last_present(column: str) -> Column:
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("row_id"))).alias(column)
-
-
 def first_present(column: str) -> Column:
     return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("row_id"))).alias(column)
 
 
+# Columns whose last value in file order counts. Cleaning leaves no gaps in a numeric column
+# a sheet has, so the last line of a SKU carries all three.
+LAST = ["stock", "sell_through", "cover_weeks"]
+FIRST = ["category", "channel", "name", "brand", "buy_qty"]
+
+
 def sku_rollup(lines: DataFrame) -> DataFrame:
-    """One row per dataset and SKU. Lines without a SKU are left out."""
-    return lines.where(F.col("sku").isNotNull()).groupBy(DS, "sku").agg(
-        F.sum("units").alias("units"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("cost").alias("cost"),
-        F.sum("full_price_sales").alias("full_price_sales"),
-        F.sum("margin_value").alias("margin_value"),
+    """One row per dataset and SKU. Lines without a SKU are left out.
+
+    The SKU leads the grouping because the aggregate sorts by its keys: SKUs differ early,
+    dataset names share long prefixes.
+    """
+    sums = ["units", "revenue", "cost", "full_price_sales", "margin_value"]
+    rolled = lines.where(F.col("sku").isNotNull()).groupBy("sku", DS).agg(
+        *[F.sum(c).alias(c) for c in sums],
         exact_mean(F.col("margin_pct")).alias("margin_pct"),
-        *[last_present(c) for c in ("stock", "sell_through", "cover_weeks")],
-        *[first_present(c) for c in ("category", "channel", "name", "brand", "buy_qty")],
+        F.max_by(F.struct(*LAST), "row_id").alias("last"),
+        *[first_present(c) for c in FIRST],
         F.max("role_mask").alias("role_mask"),
     )
+    return rolled.select(DS, "sku", *sums, "margin_pct", *[f"last.{c}" for c in LAST], *FIRST, "role_mask")
 
 
 def rounded_sum(column: str, digits: int = 2) -> Column:

@@ -6,6 +6,7 @@ first time it is used (see ``tradeloom.staging``). A table nobody asks for is ne
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,22 +16,34 @@ from tradeloom.sources import testtables
 from tradeloom.staging import staged
 
 
+STORED = ("kpis", "best_sellers", "reorder_alerts", "markdown_risk", "categories")
+
+
 class AnalysisBook:
-    def __init__(self, lines: DataFrame, datasets: DataFrame | None = None, pairs: DataFrame | None = None):
-        self.lines, self._datasets, self._pairs = lines, datasets, pairs
+    def __init__(self, lines: DataFrame, catalogue=None, pairing=None):
+        """``catalogue`` makes the dataset table from rows with dataset_id and role_mask,
+        ``pairing`` the comparisons from the dataset table."""
+        self.lines, self._catalogue, self._pairing = lines, catalogue, pairing
 
     @classmethod
     def of_test_tables(cls, spark: SparkSession, sf_dir: str) -> "AnalysisBook":
-        lines = testtables.trading_lines(spark, sf_dir)
-        return cls(lines, testtables.datasets(spark, sf_dir, lines), testtables.pairs(spark, sf_dir, lines))
+        return cls(testtables.trading_lines(spark, sf_dir), testtables.datasets, testtables.pairs)
+
+    def prepare(self, *names: str) -> "AnalysisBook":
+        """Stage several tables at the same time; their jobs do not depend on each other."""
+        if set(names) & set(STORED):
+            self.rollup
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(lambda name: getattr(self, name), names))
+        return self
 
     @cached_property
     def datasets(self) -> DataFrame:
-        return staged(self._datasets, "datasets")
+        return staged(self._catalogue(self.kpis if "kpis" in self.__dict__ else self.lines), "datasets")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return staged(self._pairs, "pairs")
+        return staged(self._pairing(self.datasets), "pairs")
 
     @cached_property
     def rollup(self) -> DataFrame:
@@ -66,6 +79,7 @@ class AnalysisBook:
 
     @cached_property
     def heads(self) -> DataFrame:
+        self.prepare(*STORED)
         return role_view.heads(self.kpis, self.best_sellers, self.reorder_alerts, self.markdown_risk, self.categories)
 
     @cached_property
@@ -74,6 +88,7 @@ class AnalysisBook:
 
     @cached_property
     def sku_index(self) -> DataFrame:
+        self.prepare("best_sellers", "markdown_risk", "reorder_alerts")
         return compare.sku_index(self.best_sellers, self.markdown_risk, self.reorder_alerts)
 
     @cached_property

@@ -31,7 +31,7 @@ CTES["kpi_pairs"] = "SELECT p.a, p.b, " + ", ".join(f"x.{c} AS {m}_a, y.{c} AS {
 
 @register("compare_datasets", metric_sql(KPI_COLS, lambda m: f"{m}_a", lambda m: f"{m}_b", "a, b", "kpi_pairs"))
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis")
     return compare.compare_datasets(b.pairs, b.kpis)
 
 
@@ -50,14 +50,14 @@ CTES["cat_moves"] = f"""
 
 @register("compare_categories", "SELECT * FROM cat_moves")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis", "categories")
     return compare.compare_categories(b.pairs, b.categories)
 
 
 @register("category_movement_top", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY abs(rev_diff) DESC, category) AS rank FROM cat_moves) WHERE rank <= 25""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis", "categories")
     return compare.category_movement_top(compare.compare_categories(b.pairs, b.categories))
 
 
@@ -81,7 +81,7 @@ CTES["sku_pairs"] = f"""SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b,
 
 @register("compare_skus", metric_sql(METRICS, lambda m: f"{m}_a", lambda m: f"{m}_b", "a, b, entity, status, name, category", "sku_pairs"))
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis", "best_sellers", "markdown_risk", "reorder_alerts")
     return compare.compare_skus(b.pairs, b.sku_index)
 
 
@@ -92,13 +92,13 @@ CTES["cat_pairs"] = f"""SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b,
 
 @register("compare_category_entities", metric_sql(METRICS, lambda m: f"{m}_a", lambda m: f"{m}_b", "a, b, entity, status, entity AS name, entity AS category", "cat_pairs"))
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis", "categories")
     return compare.compare_category_entities(b.pairs, b.categories)
 
 
 @register("union_skus", "SELECT DISTINCT a, b, sku FROM pairs JOIN sku_index ON dataset_id = a OR dataset_id = b")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis", "best_sellers", "markdown_risk", "reorder_alerts")
     return compare.union_skus(b.pairs, b.sku_index)
 
 
@@ -121,7 +121,7 @@ SELECT a, b, pos, s.text AS text, s.tone AS tone FROM (SELECT a, b, unnest(range
   SELECT a, b, [x for x in [{', '.join(SAID)}] if x IS NOT NULL] AS said FROM kpi_pairs
   LEFT JOIN {two('>', 'up')} ON up_pa = a AND up_pb = b LEFT JOIN {two('<', 'down')} ON down_pa = a AND down_pb = b))""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis", "categories")
     return compare.compare_commentary(b.pairs, b.kpis, b.categories)
 
 
@@ -130,7 +130,7 @@ def _(spark, d):
 
 @register("timeline", f"SELECT * EXCLUDE (date), {stamp_sql('date')} AS date FROM points")
 def _(spark, d):
-    return book(spark, d).timeline.withColumn("date", stamp("date"))
+    return book(spark, d).prepare("kpis").timeline.withColumn("date", stamp("date"))
 
 
 def delta_sql(name, c, unit):
@@ -140,7 +140,7 @@ def delta_sql(name, c, unit):
 
 @register("timeline_delta", " UNION ALL ".join(delta_sql(n, c, u) for n, (c, u) in timeline.METRICS.items()))
 def _(spark, d):
-    return timeline.timeline_delta(book(spark, d).timeline)
+    return timeline.timeline_delta(book(spark, d).prepare("kpis").timeline)
 
 
 def memory_sql(c, label):
@@ -153,7 +153,7 @@ def memory_sql(c, label):
 @register("business_memory", " UNION ALL ".join(memory_sql(c, l) for c, l in
           {"revenue": "Revenue", "margin": "Margin", "sell_through": "Sell-through", "health": "Business Health"}.items()))
 def _(spark, d):
-    return timeline.business_memory(book(spark, d).timeline)
+    return timeline.business_memory(book(spark, d).prepare("kpis").timeline)
 
 
 CTES["risk_pairs"] = """SELECT *, lag(risks) OVER (PARTITION BY user_id ORDER BY date, dataset_id) AS prev FROM points JOIN risks USING (dataset_id)"""
@@ -194,7 +194,7 @@ CTES["review_rows"] = """
 @register("trading_review", " UNION ALL ".join(f"SELECT user_id, dataset_id, period, {i + 1} AS pos, '{s}' AS section, '{t}' AS title, {v} AS value, {dl} AS delta, {tr} AS trend, {n} AS note FROM review_rows"
                                                for i, (s, t, v, dl, tr, n) in enumerate(REVIEW)))
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis", "categories", "weekly")
     return timeline.trading_review(b.timeline, b.kpis, b.categories, b.weekly)
 
 
@@ -210,7 +210,7 @@ CARD_SQL = f"SELECT * EXCLUDE (upload_date, tags), {stamp_sql('upload_date')} AS
 
 
 def cards(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis")
     return workspace.dataset_cards(workspace.catalogue(b.datasets), b.kpis)
 
 
@@ -314,7 +314,7 @@ def _(spark, d):
 @register("json_project", """
 SELECT dataset_id, total_revenue, avg_sell_through, reorder_count, display_name, archived FROM (SELECT k.*, d.display_name, d.archived FROM kpis k JOIN datasets d ON d.dataset_id = k.dataset_id)""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis")
     stored = publish.stored_document(b.kpis, b.datasets)
     return publish.json_project(stored, "analysis", {
         "total_revenue": ("$.kpis.total_revenue", "double"), "avg_sell_through": ("$.kpis.avg_sell_through", "double"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tradeloom.functions.templates import ACTION_TEXTS, TEXT_FIELDS
 from tradeloom.operators import actions, category, reports, role_view, timeline
-from tradeloom.plans.book import AnalysisBook
+from tradeloom.plans.book import STORED, AnalysisBook
 from tradeloom.plans.registry import CTES, compact, fixed, grouped, pounds, register, text, whole
 from tradeloom.sources import publish
 
@@ -104,7 +104,7 @@ FROM (SELECT a.*, case when m.sku is not null then 'markdown' when r.sku is not
   LEFT JOIN cats c ON c.dataset_id = a.dataset_id AND c.category = a.sku LEFT JOIN best s ON s.dataset_id = a.dataset_id AND s.sku = a.sku
   LEFT JOIN cats i ON i.dataset_id = a.dataset_id AND i.category = coalesce(m.category, r.category, s.category))""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare(*STORED)
     return role_view.action_evidence(b.role_actions, b.markdown_risk, b.reorder_alerts, b.categories, b.best_sellers, b.kpis)
 
 
@@ -274,22 +274,22 @@ CTES["ranked_actions"] = """
   SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY priority_score DESC, type_order, seq, category, sku) AS rank FROM actions"""
 
 
-def one_kind(key, name, fn):
+def one_kind(key, name, fn, table):
     @register(key, f"SELECT * FROM ({KINDS[name]})")
-    def _(spark, d, fn=fn):
-        return fn(book(spark, d))
+    def _(spark, d):
+        return fn(book(spark, d).prepare(table, "kpis"))
 
 
-one_kind("actions_markdown", "Markdown", lambda b: actions.actions_markdown(b.markdown_risk, b.kpis))
-one_kind("actions_reorder", "Reorder", lambda b: actions.actions_reorder(b.reorder_alerts, b.kpis))
-one_kind("actions_intake", "Intake Reduction", lambda b: actions.actions_intake(b.categories, b.kpis))
-one_kind("actions_po_cancel", "PO Cancellation", lambda b: actions.actions_po_cancel(b.categories, b.kpis))
-one_kind("actions_transfer", "Stock Transfer", lambda b: actions.actions_transfer(b.categories, b.kpis))
-one_kind("actions_supplier", "Supplier Review", lambda b: actions.actions_supplier(b.categories, b.kpis))
+one_kind("actions_markdown", "Markdown", lambda b: actions.actions_markdown(b.markdown_risk, b.kpis), "markdown_risk")
+one_kind("actions_reorder", "Reorder", lambda b: actions.actions_reorder(b.reorder_alerts, b.kpis), "reorder_alerts")
+one_kind("actions_intake", "Intake Reduction", lambda b: actions.actions_intake(b.categories, b.kpis), "categories")
+one_kind("actions_po_cancel", "PO Cancellation", lambda b: actions.actions_po_cancel(b.categories, b.kpis), "categories")
+one_kind("actions_transfer", "Stock Transfer", lambda b: actions.actions_transfer(b.categories, b.kpis), "categories")
+one_kind("actions_supplier", "Supplier Review", lambda b: actions.actions_supplier(b.categories, b.kpis), "categories")
 
 
 def ranked(spark, d) -> DataFrame:
-    b = book(spark, d)
+    b = book(spark, d).prepare(*STORED)
     return actions.action_centre(b.markdown_risk, b.reorder_alerts, b.categories, b.kpis)
 
 
@@ -309,7 +309,7 @@ SELECT dataset_id, count(*) AS total_actions, cast(count_if(priority_label = 'Cr
   cast(sum(cast(cash_recovery as bigint)) as bigint) AS total_cash_recovery, cast(round_even(cast(sum(confidence) as double) / count(*), 0) as bigint) AS avg_confidence
 FROM actions GROUP BY dataset_id""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare(*STORED)
     return actions.action_summary(actions.all_actions(b.markdown_risk, b.reorder_alerts, b.categories, b.kpis))
 
 
@@ -357,14 +357,14 @@ def _(spark, d):
 
 @register("category_slow_movers", "SELECT * FROM cat_slow")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("best_sellers", "markdown_risk", "categories")
     return category.category_slow_movers(b.best_sellers, b.markdown_risk)
 
 
 @register("category_actions", """
 SELECT dataset_id, category, pos, r.type AS type, r.text AS text FROM (SELECT dataset_id, category, unnest(range(1, len(rules) + 1)) AS pos, unnest(rules) AS r FROM cat_rules)""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("best_sellers", "markdown_risk", "categories")
     return category.category_actions(b.categories, category.category_slow_movers(b.best_sellers, b.markdown_risk))
 
 
@@ -375,7 +375,7 @@ FROM cats c JOIN cat_rules r ON r.dataset_id = c.dataset_id AND r.category = c.c
 LEFT JOIN (SELECT dataset_id, cat_key, string_agg(sku, ',' ORDER BY rank) AS skus FROM cat_top GROUP BY 1, 2) t ON t.dataset_id = c.dataset_id AND t.cat_key = lower(c.category)
 LEFT JOIN (SELECT dataset_id, cat_key, string_agg(sku, ',' ORDER BY rank) AS skus FROM cat_slow GROUP BY 1, 2) s ON s.dataset_id = c.dataset_id AND s.cat_key = lower(c.category)""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("best_sellers", "markdown_risk", "categories")
     return category.category_detail(b.categories, b.best_sellers, b.markdown_risk)
 
 
@@ -415,13 +415,13 @@ def _(spark, d):
 
 @register("assistant_context")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare(*STORED)
     return reports.context_lines(b.kpis, b.best_sellers, b.reorder_alerts, b.markdown_risk, b.categories)
 
 
 @register("command_centre")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare(*STORED, "weekly")
     return reports.command_centre(b.heads, b.role_actions, timeline.business_memory(b.timeline), timeline.review_moves(b.timeline))
 
 

@@ -19,13 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Split a table over the cores when its files have fewer splits than there are cores.
+
+    A file with one row group is one task however large the job; tables of many files come
+    in enough splits and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def trading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
-    li, part, supp = t("lineitem"), t("part"), t("supplier")
+    li, part, supp = spread(t("lineitem"), "l_orderkey"), t("part"), t("supplier")
     orders = t("orders").select("o_orderkey", "o_custkey")
     segment = t("customer").select("c_custkey", "c_mktsegment")
     place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
@@ -100,10 +110,10 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def datasets(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """One row per uploaded dataset."""
-    lines = trading_lines(spark, sf_dir) if lines is None else lines
-    base = lines.groupBy("dataset_id", "user_id").agg(F.max("role_mask").alias("role_mask"))
+def datasets(rows: DataFrame) -> DataFrame:
+    """One row per uploaded dataset found in lines, SKUs or KPIs."""
+    base = rows.groupBy("dataset_id").agg(F.max("role_mask").alias("role_mask")).withColumn(
+        "user_id", F.element_at(F.split("dataset_id", ":"), 1))
     y = F.element_at(F.split("dataset_id", ":"), 2).cast("int")
     names = F.array(*[F.lit(n) for n in ("buy_plan_", "clearance_", "supplier_", "stock_", "range_", "weekly_")])
     exts = F.array(*[F.lit(n) for n in (".csv", ".xlsx", ".ods", ".tsv", ".txt", ".numbers")])
@@ -131,9 +141,9 @@ def datasets(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -
     )
 
 
-def pairs(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+def pairs(uploads: DataFrame) -> DataFrame:
     """Each user's dataset with that of the year after."""
-    d = datasets(spark, sf_dir, lines).select("user_id", "dataset_id", F.year("created_at").alias("y"))
+    d = uploads.select("user_id", "dataset_id", F.year("created_at").alias("y"))
     a = d.select("user_id", F.col("dataset_id").alias("a"), "y")
     b = d.select("user_id", F.col("dataset_id").alias("b"), (F.col("y") - 1).alias("y"))
     return a.join(b, ["user_id", "y"]).select("user_id", "a", "b")

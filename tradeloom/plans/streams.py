@@ -245,6 +245,31 @@ def _(spark, d):
     return out
 
 
+@register("require_roles", """
+SELECT replace(dataset_id, ':', '_') AS folder, 'Missing required columns: Revenue. Found columns: SKU, Qty, Colour.' AS reason FROM (SELECT DISTINCT dataset_id FROM trading_lines)
+WHERE cast(split_part(dataset_id, ':', 2) as int) % 2 = 0""")
+def _(spark, d):
+    """Sheets of even years lack revenue and are rejected."""
+    path = scratch(spark, "incomplete")
+    lines = tt.trading_lines(spark, d).withColumn("folder", F.replace("dataset_id", F.lit(":"), F.lit("_")))
+    even = F.pmod(F.element_at(F.split("folder", "_"), 2).cast("int"), F.lit(2)) == 0
+    cells = [F.col("folder"), F.col("sku").alias("SKU"), F.col("units").alias("Qty")]
+    lines.where(even).select(*cells, F.lit("red").alias("Colour")).write.partitionBy("folder").option("header", True).csv(path)
+    lines.where(~even).select(*cells, F.col("revenue").alias("Sales")).write.partitionBy("folder").mode("append").option("header", True).csv(path)
+    _, rejected = delimited.scan_delimited(spark, path)
+    return rejected.select(F.regexp_extract("file", "folder=([^/]+)/", 1).alias("folder"), "reason").distinct()
+
+
+@register("drop_empty", "SELECT o_orderkey AS \"order\", o_totalprice AS total FROM orders WHERE o_orderkey % 10 <> 0")
+def _(spark, d):
+    """Orders with ghost cells: an empty column, an unnamed one, empty rows, padded names."""
+    filled = F.pmod("o_orderkey", F.lit(10)) != 0
+    sheet = tt.table(spark, d, "orders").select(
+        F.when(filled, F.col("o_orderkey")).alias(" order "), F.when(filled, F.col("o_totalprice")).alias("total"), F.lit(None).cast("string").alias("ghost"),
+        F.when(filled, F.lit("x")).alias("Unnamed: 3"))
+    return delimited.drop_empty(sheet)
+
+
 @register("file_inventory")
 def _(spark, d):
     """Inventory of the written sheets."""

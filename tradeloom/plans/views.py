@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,6 +12,7 @@ from tradeloom.operators import actions, category, reports, role_view, timeline
 from tradeloom.plans.book import STORED, AnalysisBook
 from tradeloom.plans.registry import CTES, compact, fixed, grouped, pounds, register, text, whole
 from tradeloom.sources import publish
+from tradeloom.staging import shared_folder
 
 book = AnalysisBook.of_test_tables
 
@@ -162,7 +164,7 @@ def _(spark, d):
     return role_view.extremes(book(spark, d).heads)
 
 
-@register("quick_insights", f"""
+@register("quick_insights_fallback", f"""
 SELECT dataset_id, unnest([1, 2, 3]) AS pos, unnest([
   {text('Raise POs immediately for {n} out-of-stock SKUs before revenue is lost.', n='critical_oos_count')},
   {text('Review {n} slow-selling SKUs for tactical markdowns to protect margin.', n='markdown_risk_count')},
@@ -451,15 +453,23 @@ export("export_reorder_alerts", "Reorder Alerts", "reorder", lambda b: b.reorder
 export("export_markdown_risk", "Markdown Risk", "markdown", lambda b: b.markdown_risk)
 
 
+@register("export_tables", """
+SELECT 'Summary' AS sheet, 10 * count(*) AS n FROM kpis UNION ALL SELECT 'Categories', count(*) FROM cats UNION ALL SELECT 'Best Sellers', count(*) FROM best
+UNION ALL SELECT 'Reorder Alerts', count(*) FROM reorder UNION ALL SELECT 'Markdown Risk', count(*) FROM markdown""")
+def _(spark, d):
+    """Write the five export tables, then count the rows of each."""
+    path = f"{shared_folder(spark)}/tradeloom/export-{uuid.uuid4().hex}"
+    publish.export_tables(book(spark, d).prepare(*STORED).tables(), path)
+    sheets = ["Summary", *publish.EXPORT_COLUMNS]
+    return reduce(DataFrame.unionByName, [spark.read.csv(f"{path}/{s}", header=True).agg(F.count("*").alias("n")).select(F.lit(s).alias("sheet"), "n") for s in sheets])
+
+
 @register("publish_analysis", """
 SELECT 'sku_rollup' AS table_name, count(*) AS n FROM sku_rollup UNION ALL SELECT 'kpis', count(*) FROM kpis UNION ALL SELECT 'best_sellers', count(*) FROM best
 UNION ALL SELECT 'reorder_alerts', count(*) FROM reorder UNION ALL SELECT 'markdown_risk', count(*) FROM markdown UNION ALL SELECT 'category_scorecard', count(*) FROM cats
 UNION ALL SELECT 'weekly_trend', count(*) FROM weekly UNION ALL SELECT 'channel_split', count(DISTINCT (dataset_id, channel)) FROM trading_lines""")
 def _(spark, d):
     """Publish all tables, then count what was written."""
-    from tradeloom.staging import shared_folder
-    import uuid
-
     path = f"{shared_folder(spark)}/tradeloom/published-{uuid.uuid4().hex}"
     tables = book(spark, d).tables()
     publish.publish_analysis(tables, path)

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom.functions.numbers import clean_numeric
 from tradeloom.operators.rollup import derive_margin, fix_decimal_percent
-from tradeloom.sources.roles import KEY_HEADERS, missing_required, role_columns, squash
+from tradeloom.sources.roles import KEY_HEADERS, has_role, missing_required, role_columns
+from tradeloom.staging import staged
 
 # Delimiters considered; the first one wins a tie.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -84,34 +85,30 @@ def file_stem() -> Column:
     return F.col("_metadata.file_name")
 
 
-def scan_delimited(spark: SparkSession, path: str, dataset: Column | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Role-mapped raw sheets of a folder, and the rejected files with their reason.
+def scan_delimited(spark: SparkSession, path: str, dataset: Column | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """Role-mapped raw sheets of a folder (None when no sheet is readable), and the
+    rejected files with their reason.
 
     One read per distinct (delimiter, header), not per file. The driver sees file names and
     distinct headers only, as any file listing does.
     """
-    groups = headers(spark, path).groupBy("delimiter", "header").agg(F.collect_list("file").alias("files")).collect()
-    parts, rejected = [], []
-    for g in groups:
-        if not g["header"]:
-            rejected += [(f, "File is empty.") for f in g["files"]]
-            continue
+    found = staged(headers(spark, path), "headers")
+    groups = found.groupBy("delimiter", "header").agg(F.collect_list("file").alias("files")).collect()
+    parts, reasons = [], [("", "File is empty.")]
+    for g in (g for g in groups if g["header"]):
         df = drop_empty(read_group(spark, g["files"], g["delimiter"], file_stem() if dataset is None else dataset))
         reason = missing_required([c for c in df.columns if c not in ("dataset_id", "row_id")])
         if reason:
-            rejected += [(f, reason) for f in g["files"]]
+            reasons.append((g["header"], reason))
         else:
             parts.append(role_columns(df))
-    if not parts:
-        raise ValueError("no readable sheet: " + "; ".join(r for _, r in rejected))
-    return reduce(DataFrame.unionByName, parts), rejected
+    rejected = found.join(spark.createDataFrame(reasons, "header string, reason string"), "header").select("file", "reason")
+    return (reduce(DataFrame.unionByName, parts) if parts else None), rejected
 
 
 def clean_lines(raw: DataFrame, fix_cover: bool = False) -> DataFrame:
     """Trading lines from role-mapped sheets: numbers cleaned, fractions turned into
     percentages, margin derived. Roles a sheet lacks stay NULL."""
-    from tradeloom.sources.roles import has_role
-
     money = {"units": "decimal(18,2)", "revenue": "decimal(18,4)", "cost": "decimal(18,4)", "margin_value": "decimal(18,6)",
              "retail": "decimal(18,2)", "full_price_sales": "decimal(18,4)"}
     out = raw

@@ -211,7 +211,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages and documents seen as uploaded files."""
     exts = F.array(*[F.lit(e) for e in (".csv", ".txt", ".exe", ".xlsx", "")])
-    part = lambda df, key, text, stem: df.select(
+    part = lambda df, key, text, stem: spread(df, key).select(
         F.concat(F.lit(stem), F.col(key).cast("string"),
                  F.element_at(exts, (F.pmod(key, F.lit(5)) + 1).cast("int"))).alias("filename"),
         F.col(text).cast("binary").alias("content"))

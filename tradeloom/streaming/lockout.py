@@ -84,15 +84,8 @@ def lockout_batch(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, slices:
     entry: dict[int, tuple] = {}
     todo = list(follower)
     while todo:
-        known = dict(entry)
-
-        def exit_state(rows: pd.DataFrame, known=known) -> pd.DataFrame:
-            number = int(rows[SLICE].iloc[0])
-            _, state = walk(in_order(rows), known.get(number, CLEAR), lock_us)
-            return pd.DataFrame([(number, *state)], columns=[SLICE, "fails", "last", "until"])
-
         ends = parts.where(F.col(SLICE).isin(todo)).groupBy(SLICE).applyInPandas(
-            exit_state, f"{SLICE} int, fails bigint, last bigint, until bigint").collect()
+            exit_states(dict(entry), lock_us), f"{SLICE} int, fails bigint, last bigint, until bigint").collect()
         todo = []
         for e in ends:
             nxt, state = follower[e[SLICE]], (e["fails"], e["last"], e["until"])
@@ -100,14 +93,25 @@ def lockout_batch(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, slices:
                 entry[nxt] = state
                 if nxt in follower and edges[nxt][0] == edges[nxt][1]:
                     todo.append(nxt)
-    settled = dict(entry)
+    return parts.groupBy(SLICE).applyInPandas(outcomes(dict(entry), lock_us), OUTPUT).withColumn(
+        "ts", F.timestamp_micros("ts_us")).drop("ts_us")
 
-    def outcomes(rows: pd.DataFrame) -> pd.DataFrame:
-        done, _ = walk(in_order(rows), settled.get(int(rows[SLICE].iloc[0]), CLEAR), lock_us)
-        return pd.DataFrame(done, columns=["account", "ts_us", "attempt_id", "status", "fails", "locked", "delay"])
 
-    return parts.groupBy(SLICE).applyInPandas(outcomes, OUTPUT).withColumn(
-        "ts", F.timestamp_micros("ts_us")).drop("ts_us")
+def exit_states(entry: dict, lock_us: int):
+    """Per slice, the state its last account leaves it in."""
+    def of_slice(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows[SLICE].iloc[0])
+        _, state = walk(in_order(rows), entry.get(number, CLEAR), lock_us)
+        return pd.DataFrame([(number, *state)], columns=[SLICE, "fails", "last", "until"])
+    return of_slice
+
+
+def outcomes(entry: dict, lock_us: int):
+    """Per slice, the outcome of every attempt."""
+    def of_slice(rows: pd.DataFrame) -> pd.DataFrame:
+        done, _ = walk(in_order(rows), entry.get(int(rows[SLICE].iloc[0]), CLEAR), lock_us)
+        return pd.DataFrame(done, columns=["account", "ts_us", "attempt_id", "status", "fails", "locked", "delay"])
+    return of_slice
 
 
 def lockout_stream(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, late: str = "10 minutes") -> DataFrame:

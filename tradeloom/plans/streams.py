@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom.operators import rollup
 from tradeloom.plans.blocks import AS_OF
 from tradeloom.plans.registry import CTES, register
 from tradeloom.sources import delimited, testtables as tt
-from tradeloom.staging import shared_folder
+from tradeloom.staging import scratch
 from tradeloom.streaming import billing, limits, lockout
 
 stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
@@ -18,10 +16,6 @@ stamp_sql = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 TWO_DAYS = 2 * 24 * 3600
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tradeloom/{name}-{uuid.uuid4().hex}"
-
-
 def events_stream(spark: SparkSession, d: str) -> DataFrame:
     events = tt.table(spark, d, "events")
     return spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)

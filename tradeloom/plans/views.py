@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,7 +11,7 @@ from tradeloom.operators import actions, category, reports, role_view, timeline
 from tradeloom.plans.book import STORED, AnalysisBook
 from tradeloom.plans.registry import CTES, compact, fixed, grouped, pounds, register, text, whole
 from tradeloom.sources import publish
-from tradeloom.staging import shared_folder
+from tradeloom.staging import scratch
 
 book = AnalysisBook.of_test_tables
 
@@ -458,7 +457,7 @@ SELECT 'Summary' AS sheet, 10 * count(*) AS n FROM kpis UNION ALL SELECT 'Catego
 UNION ALL SELECT 'Reorder Alerts', count(*) FROM reorder UNION ALL SELECT 'Markdown Risk', count(*) FROM markdown""")
 def _(spark, d):
     """Write the five export tables, then count the rows of each."""
-    path = f"{shared_folder(spark)}/tradeloom/export-{uuid.uuid4().hex}"
+    path = scratch(spark, "export")
     publish.export_tables(book(spark, d).prepare(*STORED).tables(), path)
     sheets = ["Summary", *publish.EXPORT_COLUMNS]
     return reduce(DataFrame.unionByName, [spark.read.csv(f"{path}/{s}", header=True).agg(F.count("*").alias("n")).select(F.lit(s).alias("sheet"), "n") for s in sheets])
@@ -470,8 +469,8 @@ UNION ALL SELECT 'reorder_alerts', count(*) FROM reorder UNION ALL SELECT 'markd
 UNION ALL SELECT 'weekly_trend', count(*) FROM weekly UNION ALL SELECT 'channel_split', count(DISTINCT (dataset_id, channel)) FROM trading_lines""")
 def _(spark, d):
     """Publish all tables, then count what was written."""
-    path = f"{shared_folder(spark)}/tradeloom/published-{uuid.uuid4().hex}"
-    tables = book(spark, d).tables()
+    path = scratch(spark, "published")
+    tables = book(spark, d).prepare(*STORED, "weekly").tables()
     publish.publish_analysis(tables, path)
     counts = [spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n in tables]
     return reduce(DataFrame.unionByName, counts)

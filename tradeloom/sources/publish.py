@@ -9,14 +9,20 @@ from tradeloom.functions.money import fixed, grouped, pounds
 DS = "dataset_id"
 
 
+# Second clustering column of each table: it lets a very large dataset spread over many files.
+CLUSTERED_BY = {"sku_rollup": "sku", "best_sellers": "rank", "reorder_alerts": "rank", "markdown_risk": "rank",
+                "category_scorecard": "category", "weekly_trend": "week", "channel_split": "channel"}
+
+
 def publish_analysis(tables: dict[str, DataFrame], path: str) -> None:
     """Write the analysis tables, clustered by dataset.
 
-    Rows are range-clustered on dataset_id rather than put in one folder per dataset: the
-    number of datasets grows with the data, and min/max statistics prune as well.
+    Rows are range-clustered rather than put in one folder per dataset: the number of
+    datasets grows with the data, and min/max statistics prune as well.
     """
     for name, df in tables.items():
-        df.repartitionByRange(DS).sortWithinPartitions(DS).write.mode("overwrite").parquet(f"{path}/{name}")
+        keys = [DS, *([CLUSTERED_BY[name]] if name in CLUSTERED_BY else [])]
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def stored_document(kpis: DataFrame, datasets: DataFrame) -> DataFrame:

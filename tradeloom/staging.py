@@ -32,9 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def job_folder(spark: SparkSession) -> str:
+    """Folder of this application inside the shared one."""
+    return f"{shared_folder(spark)}/tradeloom/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path inside the job's folder."""
+    return f"{job_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tradeloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this application staged. Call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(job_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,9 +15,18 @@ def request_key(ip: Column, user: Column) -> Column:
 
 
 def window_counts(requests: DataFrame, length: str, slide: str | None = None) -> DataFrame:
-    """Requests per key and window; sums combine map-side, so a flooding key is cheap."""
-    w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return requests.groupBy(w.alias("w"), "key").agg(F.count("*").alias("requests"))
+    """Requests per key and window; sums combine map-side, so a flooding key is cheap.
+
+    Sliding windows of a batch are summed from counts per slide step (the step must divide
+    the length), so it is the counts that are copied into overlapping windows, not requests.
+    """
+    if slide is None:
+        return requests.groupBy(F.window("ts", length).alias("w"), "key").agg(F.count("*").alias("requests"))
+    if requests.isStreaming:
+        return requests.groupBy(F.window("ts", length, slide).alias("w"), "key").agg(F.count("*").alias("requests"))
+    steps = requests.groupBy(F.window("ts", slide).alias("s"), "key").agg(F.count("*").alias("n")).select(
+        F.col("s.start").alias("ts"), "key", "n")
+    return steps.groupBy(F.window("ts", length, slide).alias("w"), "key").agg(F.sum("n").alias("requests"))
 
 
 def rate_limit_breach(requests: DataFrame, limit: int, length: str, slide: str | None = None) -> DataFrame:

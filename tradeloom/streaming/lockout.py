@@ -7,6 +7,7 @@ with very many attempts is spread over many tasks; see ``lockout_batch``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from tradeloom.operators.ordering import SLICE, sliced
 # Failures before a lock, seconds of a lock, delay steps in seconds.
 MAX_FAILS, LOCK_SECONDS, BASE_DELAY, MAX_DELAY = 5, 900, 0.5, 5.0
 SECOND = 1_000_000
+ROWS_PER_SLICE = 1_000_000
 OUTPUT = "account string, ts_us bigint, attempt_id bigint, status string, fails int, locked boolean, delay double"
 CLEAR = (0, 0, 0)
 
@@ -76,6 +78,7 @@ def lockout_batch(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, slices:
     """
     lock_us = lock_seconds * SECOND
     shaped = attempts.select("account", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "attempt_id", "success")
+    slices = slices or max(1, math.ceil(shaped.count() / ROWS_PER_SLICE), int(shaped.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = sliced(shaped, ["account"], [F.col("ts_us"), F.col("attempt_id")], "lockout", slices)
     edges = {r[SLICE]: (r["first"], r["last"]) for r in parts.groupBy(SLICE).agg(
         F.min("account").alias("first"), F.max("account").alias("last")).collect()}

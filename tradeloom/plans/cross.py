@@ -143,15 +143,7 @@ def _(spark, d):
     return timeline.timeline_delta(book(spark, d).prepare("kpis").timeline)
 
 
-def memory_sql(c, label):
-    diff = f"(cast({c} as double) - prev_{c})"
-    shown = pounds(diff) if c == "revenue" else fixed(diff, 1) + (" || ' pts'" if c == "health" else " || '%'")
-    return f"""SELECT user_id, dataset_id, seq, '{c}' AS metric, case when {diff} >= 0 then 'improved' else 'declined' end AS outcome, round({diff}, 2) AS diff,
-      '{label} ' || case when {diff} >= 0 then '+' else '' end || {shown} AS text FROM moves WHERE prev_revenue IS NOT NULL AND abs({diff}) >= 0.5"""
-
-
-@register("business_memory", " UNION ALL ".join(memory_sql(c, l) for c, l in
-          {"revenue": "Revenue", "margin": "Margin", "sell_through": "Sell-through", "health": "Business Health"}.items()))
+@register("business_memory", "SELECT * FROM memory")
 def _(spark, d):
     return timeline.business_memory(book(spark, d).prepare("kpis").timeline)
 

@@ -17,8 +17,7 @@ TWO_DAYS = 2 * 24 * 3600
 
 
 def events_stream(spark: SparkSession, d: str) -> DataFrame:
-    events = tt.table(spark, d, "events")
-    return spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
+    return spark.readStream.schema(tt.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:

@@ -420,10 +420,37 @@ def _(spark, d):
     return reports.context_lines(b.kpis, b.best_sellers, b.reorder_alerts, b.markdown_risk, b.categories)
 
 
-@register("command_centre")
+CENTRE_MEMORY = """(SELECT dataset_id AS sd, coalesce(string_agg(text, '; ' ORDER BY text) FILTER (outcome = 'improved'), '') AS improved,
+  coalesce(string_agg(text, '; ' ORDER BY text) FILTER (outcome = 'declined'), '') AS declined FROM memory GROUP BY 1)"""
+
+
+def memory_sql(c, label):
+    diff = f"(cast({c} as double) - prev_{c})"
+    shown = pounds(diff) if c == "revenue" else fixed(diff, 1) + (" || ' pts'" if c == "health" else " || '%'")
+    return f"""SELECT user_id, dataset_id, seq, '{c}' AS metric, case when {diff} >= 0 then 'improved' else 'declined' end AS outcome, round({diff}, 2) AS diff,
+      '{label} ' || case when {diff} >= 0 then '+' else '' end || {shown} AS text FROM moves WHERE prev_revenue IS NOT NULL AND abs({diff}) >= 0.5"""
+
+
+CTES["memory"] = " UNION ALL ".join(memory_sql(c, l) for c, l in
+                                    {"revenue": "Revenue", "margin": "Margin", "sell_through": "Sell-through", "health": "Business Health"}.items())
+
+
+@register("command_centre", f"""
+SELECT f.dataset_id, health AS health_score, case when health >= 80 then 'Healthy' when health >= 60 then 'Watch' else 'At Risk' end AS health_label, total_revenue, avg_margin_pct,
+  avg_sell_through, {OPPORTUNITIES[0]} AS top_opportunity, {RISKS[0]} AS top_risk, cast(round_even(abs(down), 0) as bigint) AS revenue_at_stake,
+  cast(round_even(total_revenue * 0.04, 0) as bigint) AS margin_protect, cast(round_even(up, 0) as bigint) AS total_upside, actions,
+  coalesce(improved, '') AS improved, coalesce(declined, '') AS declined, round(rd, 4) AS rev_delta
+FROM firsts f JOIN (SELECT dataset_id AS ad, sum(greatest(revenue_impact, 0)) AS up, sum(least(revenue_impact, 0)) AS down,
+    string_agg(type || ' — ' || sku, '; ' ORDER BY rank) FILTER (rank <= 5) AS actions FROM role_actions GROUP BY 1) ON ad = f.dataset_id
+LEFT JOIN {CENTRE_MEMORY} ON sd = f.dataset_id
+LEFT JOIN (SELECT dataset_id AS md, (revenue - prev_revenue) / nullif(prev_revenue, 0) * 100 AS rd FROM moves) ON md = f.dataset_id""")
 def _(spark, d):
     b = book(spark, d).prepare(*STORED, "weekly")
-    return reports.command_centre(b.heads, b.role_actions, timeline.business_memory(b.timeline), timeline.review_moves(b.timeline))
+    c = reports.command_centre(b.heads, b.role_actions, timeline.business_memory(b.timeline), timeline.review_moves(b.timeline))
+    joined = lambda name: F.coalesce(F.array_join(name, "; "), F.lit("")).alias(name)
+    return c.select("dataset_id", "health_score", "health_label", "total_revenue", "avg_margin_pct", "avg_sell_through", "top_opportunity", "top_risk",
+                    "revenue_at_stake", "margin_protect", "total_upside", F.array_join(F.transform("actions", lambda a: a["action"]), "; ").alias("actions"),
+                    joined("improved"), joined("declined"), F.round("rev_delta", 4).alias("rev_delta"))
 
 
 SUMMARY = [("Total Revenue", pounds("total_revenue")), ("Total Units", grouped("total_units")), ("Gross Profit", pounds("gross_profit")),

@@ -93,8 +93,9 @@ def sku_index(best: DataFrame, markdown: DataFrame, reorder: DataFrame) -> DataF
 def compare_entities(pairs: DataFrame, index: DataFrame, key: str, label: bool = True) -> DataFrame:
     """Metric moves of every SKU or category of either side, in long form."""
     matched = both_sides(pairs, index, key)
-    name = F.coalesce("name_b", "name_a", key) if label else F.col(key)
-    category = F.coalesce("category_b", "category_a") if label else F.col(key)
+    newest = lambda c: F.when(F.col("here_b").isNotNull(), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
+    name = F.coalesce(newest("name"), F.col(key)) if label else F.col(key)
+    category = newest("category") if label else F.col(key)
     return rounded_moves(matched.select("a", "b", F.col(key).alias("entity"), "status", name.alias("name"),
                                         category.alias("category"), metric_rows(ENTITY_METRICS)))
 

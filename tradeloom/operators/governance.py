@@ -129,7 +129,7 @@ def plan_limit(plan: Column, i: int) -> Column:
 
 def quota_check(profiles: DataFrame, sku_counts: DataFrame, now: Column) -> DataFrame:
     """Decision per profile on its next message and on its largest dataset."""
-    expired = (F.col("plan") == "trial") & F.col("trial_ends").isNotNull() & (F.lit(True) & (now > F.col("trial_ends")))
+    expired = (F.col("plan") == "trial") & F.col("trial_ends").isNotNull() & (now > F.col("trial_ends"))
     used = F.when(F.date_trunc("month", "ai_messages_reset") < F.date_trunc("month", now), F.lit(0)).otherwise(F.col("ai_messages_used"))
     df = profiles.join(sku_counts, "user_id", "left").withColumn("used", used)
     skus, messages = plan_limit(F.col("plan"), 0), plan_limit(F.col("plan"), 1)

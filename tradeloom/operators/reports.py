@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeloom.functions.money import fixed, grouped, pounds
-from tradeloom.functions.numbers import percent_of
 from tradeloom.functions.templates import render
+from tradeloom.operators.alerts import top_per
 from tradeloom.operators.health import health_label, health_total, trading_verdict
 from tradeloom.operators.role_view import commercial_impact, executive_summary_text, opportunity_texts, risk_texts
 
@@ -116,6 +116,42 @@ def context_lines(kpis: DataFrame, best: DataFrame, reorder: DataFrame, markdown
     ])
 
 
+# Lines of the report's data block.
+REPORT_LINES = [
+    "Revenue: {rev}", "Units Sold: {units}", "Gross Profit: {profit}", "Gross Margin %: {mg}%", "Sell-Through: {st}%", "Avg Stock Cover: {cover} weeks",
+    "SKU Count: {skus}", "Revenue Trend (recent): {trend}", "Reorder Alerts: {reorders} total ({critical} critical)", "Markdown Risk SKUs: {markdowns}",
+]
+CATEGORY_LINE = "{category}: {rev} rev, {st}% ST, {mg}% margin, Health: {health}"
+REORDER_LINE = "{sku} ({category}) [{urgency}]: {cover} wks cover, {st}% ST"
+MARKDOWN_LINE = "{sku} ({category}): {st}% ST, {severity}"
+SELLER_LINE = "{sku}: {rev}, {st}% ST"
+
+
+def report_context(kpis: DataFrame, best: DataFrame, reorder: DataFrame, markdown: DataFrame, categories: DataFrame, trend: DataFrame) -> DataFrame:
+    """Data block of the trade report as text lines per dataset and section."""
+    f = F.col
+    known = lambda c, other: F.coalesce(f(c).cast("string"), F.lit(other))
+    fields = {
+        "rev": pounds(f("total_revenue")), "units": grouped(f("total_units")), "profit": pounds(f("gross_profit")), "mg": fixed(f("avg_margin_pct"), 1),
+        "st": fixed(f("avg_sell_through"), 1), "cover": fixed(f("avg_cover_weeks"), 1), "skus": f("sku_count"), "trend": F.coalesce("trend", F.lit("stable")),
+        "reorders": f("reorder_count"), "critical": f("critical_oos_count"), "markdowns": f("markdown_risk_count"),
+    }
+    texts = F.array(*[render(t, **fields) for t in REPORT_LINES])
+    summary = kpis.join(trend, DS, "left").select(DS, F.lit("summary").alias("section"), F.posexplode(texts).alias("pos", "line")).withColumn("pos", f("pos") + 1)
+    top = top_per(categories, [DS], [F.desc("revenue"), F.asc("category")], REPORT_CATEGORIES)
+    part = lambda df, section, line: df.select(DS, F.lit(section).alias("section"), f("rank").cast("int").alias("pos"), line.alias("line"))
+    few = lambda df: df.where(f("rank") <= REPORT_ROWS)
+    return reduce(DataFrame.unionByName, [
+        summary,
+        part(top, "categories", render(CATEGORY_LINE, category=f("category"), rev=pounds(f("revenue")), st=known("avg_sell_through", "N/A"),
+                                       mg=known("avg_margin_pct", "N/A"), health=f("health"))),
+        part(few(reorder), "reorders", render(REORDER_LINE, sku=f("sku"), category=known("category", ""), urgency=f("urgency"), cover=known("cover_weeks", "?"),
+                                              st=known("sell_through", "?"))),
+        part(few(markdown), "markdowns", render(MARKDOWN_LINE, sku=f("sku"), category=known("category", ""), st=known("sell_through", "?"), severity=f("severity"))),
+        part(few(best), "sellers", render(SELLER_LINE, sku=f("sku"), rev=pounds(f("revenue")), st=known("sell_through", "?"))),
+    ])
+
+
 def command_centre(h: DataFrame, actions: DataFrame, memory: DataFrame, moves: DataFrame) -> DataFrame:
     """One row per dataset: health, actions, top opportunity and risk, impact, memory."""
     act = F.struct("rank", F.concat_ws(" — ", "type", "sku").alias("action"), "revenue_impact", "margin_impact", "confidence")

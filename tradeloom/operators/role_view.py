@@ -7,12 +7,13 @@ are projections of that row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tradeloom.functions.money import fixed, gbp_compact, grouped, pounds, signed
-from tradeloom.functions.numbers import or_default, percent_of
+from tradeloom.functions.money import fixed, gbp_compact, grouped, pounds
+from tradeloom.functions.numbers import percent_of
 from tradeloom.functions.templates import render
 from tradeloom.operators.alerts import top_per
+from tradeloom.operators.rollup import week_order
 
 DS = "dataset_id"
 AT_RISK = ["AT RISK", "CRITICAL"]
@@ -317,8 +318,8 @@ SPARK_POINTS, SPARK_FADE = 8, 0.95
 
 def sparkline(kpis: DataFrame, weekly: DataFrame) -> DataFrame:
     """Last 8 weekly revenues, padded in front; a synthetic ramp when there are no weeks."""
-    last = top_per(weekly, [DS], [F.desc("week")], SPARK_POINTS)
-    got = last.groupBy(DS).agg(F.transform(F.array_sort(F.collect_list(F.struct("week", "revenue"))), lambda s: s["revenue"]).alias("got"))
+    last = top_per(weekly.withColumn("at", week_order()), [DS], [F.desc("at")], SPARK_POINTS)
+    got = last.groupBy(DS).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "revenue"))), lambda s: s["revenue"]).alias("got"))
     missing = F.lit(SPARK_POINTS) - F.size("got")
     faded = F.transform(F.sequence(F.lit(SPARK_POINTS), F.lit(1), F.lit(-1)), lambda i: F.element_at("got", 1) * F.pow(F.lit(SPARK_FADE), i))
     padded = F.concat(F.slice(faded, F.lit(SPARK_POINTS + 1) - missing, missing), F.col("got"))
@@ -333,8 +334,8 @@ def sparkline(kpis: DataFrame, weekly: DataFrame) -> DataFrame:
 
 def trend_direction(weekly: DataFrame) -> DataFrame:
     """Direction over the last six weeks."""
-    last = top_per(weekly, [DS], [F.desc("week")], 6).groupBy(DS).agg(
-        F.count("*").alias("n"), F.min_by("revenue", "week").alias("first"), F.max_by("revenue", "week").alias("last"))
+    last = top_per(weekly.withColumn("at", week_order()), [DS], [F.desc("at")], 6).groupBy(DS).agg(
+        F.count("*").alias("n"), F.min_by("revenue", "at").alias("first"), F.max_by("revenue", "at").alias("last"))
     rule = F.when((F.col("n") >= 2) & (F.col("last") > F.col("first")), "improving").when(
         (F.col("n") >= 2) & (F.col("last") < F.col("first")), "declining").otherwise("stable")
     return last.select(DS, rule.alias("trend"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradeloom.functions.numbers import exact_mean, or_default, percent_of
+from tradeloom.functions.numbers import exact_mean, parse_number, percent_of
 from tradeloom.sources.roles import has_role
 
 DS = "dataset_id"
@@ -167,6 +167,11 @@ def weekly_trend(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("week").isNotNull()).groupBy(DS, "week").agg(rounded_sum("revenue").alias("revenue"))
 
 
+def week_order(week: str = "week") -> Column:
+    """Sort key of a week: numbers by value, other labels (dates, names) as text."""
+    return F.struct(parse_number(F.trim(week)).alias("number"), F.col(week).alias("label"))
+
+
 def channel_split(lines: DataFrame, kpis: DataFrame) -> DataFrame:
     """Revenue per channel and its share of the SKU-table total."""
     per = lines.where(F.col("channel").isNotNull()).groupBy(DS, "channel").agg(F.sum("revenue").alias("rev"))

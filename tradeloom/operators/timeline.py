@@ -12,6 +12,7 @@ from tradeloom.functions.money import fixed, gbp_compact, pounds, signed
 from tradeloom.functions.numbers import percent_of
 from tradeloom.functions.templates import render
 from tradeloom.operators.health import health_label, key_recommendation
+from tradeloom.operators.rollup import week_order
 from tradeloom.operators.workspace import DS, catalogue, dataset_cards
 
 METRICS = {"Revenue": ("revenue", "£"), "Margin": ("margin", "%"), "Sell-Through": ("sell_through", "%"), "Health Score": ("health", "")}
@@ -91,7 +92,7 @@ def risk_diff(points: DataFrame, risks: DataFrame) -> DataFrame:
 
 
 def periods(weekly: DataFrame) -> DataFrame:
-    ends = weekly.groupBy(DS).agg(F.min("week").alias("first"), F.max("week").alias("last"))
+    ends = weekly.groupBy(DS).agg(F.min_by("week", week_order()).alias("first"), F.max_by("week", week_order()).alias("last"))
     text = F.when(F.col("first") != F.col("last"), F.concat_ws(" – ", "first", "last")).otherwise(F.col("first"))
     return ends.select(DS, text.alias("period"))
 

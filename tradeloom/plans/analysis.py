@@ -8,7 +8,7 @@ from tradeloom.functions import money, names, numbers
 from tradeloom.operators import alerts, health, rollup
 from tradeloom.plans import blocks as B
 from tradeloom.plans.book import AnalysisBook
-from tradeloom.plans.registry import compact, fixed, mean, register, whole
+from tradeloom.plans.registry import compact, fixed, register
 from tradeloom.sources import roles, testtables as tt
 
 book = AnalysisBook.of_test_tables

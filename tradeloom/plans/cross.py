@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeloom.operators import compare, role_view, timeline, workspace
-from tradeloom.plans.blocks import AS_OF
 from tradeloom.plans.book import AnalysisBook
 from tradeloom.plans.registry import CTES, compact, fixed, pounds, register, signed, text
 from tradeloom.sources import publish, testtables as tt
@@ -242,9 +241,9 @@ def _(spark, d):
     return workspace.tag_cloud(cards(spark, d))
 
 
-@register("scan_uploads", f"SELECT dataset_id, user_id, filename, {stamp_sql('created_at')} AS created_at, file_size FROM datasets WHERE user_id = 'FURNITURE' ORDER BY created_at DESC LIMIT 5")
+@register("scan_uploads", f"SELECT dataset_id, user_id, filename, {stamp_sql('created_at')} AS created_at, file_size FROM datasets")
 def _(spark, d):
-    return workspace.scan_uploads(book(spark, d).datasets, "FURNITURE", 5).withColumn("created_at", stamp("created_at"))
+    return workspace.scan_uploads(book(spark, d).datasets).withColumn("created_at", stamp("created_at"))
 
 
 @register("recent_uploads", f"""SELECT user_id, dataset_id, filename, {stamp_sql('created_at')} AS created_at, rank FROM

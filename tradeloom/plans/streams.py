@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom.operators import rollup
-from tradeloom.plans.blocks import AS_OF
 from tradeloom.plans.registry import CTES, register
 from tradeloom.sources import delimited, testtables as tt
 from tradeloom.staging import scratch
@@ -157,6 +156,31 @@ def _(spark, d):
     return drained(limits.rate_limit_stream(tt.requests(events_stream(spark, d)), 2, "1 hour"), "limits").selectExpr(*BREACH)
 
 
+ENDPOINT_LIMITS = {"auth": (1, "1 hour"), "upload": (0, "1 minute"), "chat": (2, "1 hour"), "default_minute": (1, "1 minute"), "default_hour": (1, "1 hour")}
+
+
+@register("rate_limit_endpoints", f"""
+SELECT endpoint, key, length, allowed, {stamp_sql('w')} AS window_start, requests FROM (
+  SELECT endpoint, key, length, allowed, case when length = '1 minute' then date_trunc('minute', ts) else date_trunc('hour', ts) end AS w, count(*) AS requests
+  FROM (SELECT cast(user_id as varchar) AS key, ts, case event_type when 'error' then 'auth' when 'purchase' then 'upload' when 'view' then 'chat' else event_type end AS endpoint FROM events)
+  JOIN (VALUES {', '.join(f"('{e}', {n}, '{w}')" for e, (n, w) in ENDPOINT_LIMITS.items())}) l(name, allowed, length)
+    ON name = endpoint OR (endpoint NOT IN ('auth', 'upload', 'chat') AND starts_with(name, 'default')) GROUP BY ALL) WHERE requests > allowed""")
+def _(spark, d):
+    """Event types stand for endpoints; clicks and sign-ups have no limit of their own."""
+    e = F.col("event_type")
+    endpoint = F.when(e == "error", "auth").when(e == "purchase", "upload").when(e == "view", "chat").otherwise(e)
+    asked = tt.table(spark, d, "events").select(endpoint.alias("endpoint"), F.col("user_id").cast("string").alias("key"), "ts")
+    return limits.endpoint_breaches(asked, ENDPOINT_LIMITS).withColumn("window_start", stamp("window_start"))
+
+
+@register("audit_append_stream", "SELECT log_id, company_id, action, status FROM audit_logs")
+def _(spark, d):
+    out = scratch(spark, "audit-log")
+    logs = tt.audit_view(events_stream(spark, d))
+    limits.audit_append_stream(logs, f"{out}/rows", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(logs.schema).parquet(f"{out}/rows").select("log_id", "company_id", "action", "status")
+
+
 @register("audit_windows", f"""
 SELECT company_id, {stamp_sql("date_trunc('hour', timestamp)")} AS window_start, count(*) AS events, cast(count_if(status <> 'SUCCESS') as bigint) AS blocked FROM audit_logs GROUP BY 1, 2""")
 def _(spark, d):

@@ -420,6 +420,26 @@ def _(spark, d):
     return reports.context_lines(b.kpis, b.best_sellers, b.reorder_alerts, b.markdown_risk, b.categories)
 
 
+LINE_FIELDS = {"rev": pounds("total_revenue"), "units": grouped("total_units"), "profit": pounds("gross_profit"), "mg": fixed("avg_margin_pct", 1), "st": fixed("avg_sell_through", 1),
+               "cover": fixed("avg_cover_weeks", 1), "skus": "sku_count", "trend": "trend", "reorders": "reorder_count", "critical": "critical_oos_count", "markdowns": "markdown_risk_count"}
+CTES["trends"] = """SELECT dataset_id AS td, case when n >= 2 and l > f then 'improving' when n >= 2 and l < f then 'declining' else 'stable' end AS trend
+  FROM (SELECT dataset_id, count(*) AS n, arg_min(revenue, week) AS f, arg_max(revenue, week) AS l
+    FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY week DESC) AS r FROM weekly) WHERE r <= 6 GROUP BY 1)"""
+LINES = [f"SELECT dataset_id, 'summary' AS section, {i + 1} AS pos, {text(t, **LINE_FIELDS)} AS line FROM kpis JOIN trends ON td = dataset_id" for i, t in enumerate(reports.REPORT_LINES)] + [
+    f"""SELECT dataset_id, 'categories', pos, {text(reports.CATEGORY_LINE, category='category', rev=pounds('revenue'), st='avg_sell_through', mg='avg_margin_pct', health='health')}
+      FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY revenue DESC, category) AS pos FROM cats) WHERE pos <= 8""",
+    f"SELECT dataset_id, 'reorders', rank, {text(reports.REORDER_LINE, sku='sku', category='category', urgency='urgency', cover='cover_weeks', st='sell_through')} FROM reorder WHERE rank <= 5",
+    f"SELECT dataset_id, 'markdowns', rank, {text(reports.MARKDOWN_LINE, sku='sku', category='category', st='sell_through', severity='severity')} FROM markdown WHERE rank <= 5",
+    f"SELECT dataset_id, 'sellers', rank, {text(reports.SELLER_LINE, sku='sku', rev=pounds('revenue'), st='sell_through')} FROM best WHERE rank <= 5",
+]
+
+
+@register("report_context", " UNION ALL ".join(LINES))
+def _(spark, d):
+    b = book(spark, d).prepare(*STORED, "weekly")
+    return reports.report_context(b.kpis, b.best_sellers, b.reorder_alerts, b.markdown_risk, b.categories, role_view.trend_direction(b.weekly))
+
+
 CENTRE_MEMORY = """(SELECT dataset_id AS sd, coalesce(string_agg(text, '; ' ORDER BY text) FILTER (outcome = 'improved'), '') AS improved,
   coalesce(string_agg(text, '; ' ORDER BY text) FILTER (outcome = 'declined'), '') AS declined FROM memory GROUP BY 1)"""
 

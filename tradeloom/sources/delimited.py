@@ -22,6 +22,9 @@ from tradeloom.staging import staged
 # Delimiters considered; the first one wins a tie.
 DELIMITERS = [",", ";", "\t", "|"]
 HEAD_BYTES = 65536
+# Cell texts that count as empty.
+EMPTY_CELLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+               "NaN", "None", "n/a", "nan", "null"]
 NUMERIC_ROLES = ["units", "revenue", "stock", "cost", "full_price_sales", "buy_qty", "margin_value", "retail",
                  "margin_pct", "sell_through", "cover_weeks"]
 
@@ -77,7 +80,12 @@ def read_group(spark: SparkSession, files: list[str], delimiter: str, dataset: C
     names = [f"Unnamed: {i}" if re.fullmatch(r"_c\d+", c) else c for i, c in enumerate(raw.columns)]
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("n"))
-    return raw.select(dataset.alias("dataset_id"), order.alias("row_id"), *[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names)])
+    return raw.select(dataset.alias("dataset_id"), order.alias("row_id"), *[filled(c).alias(n) for c, n in zip(raw.columns, names)])
+
+
+def filled(column: str) -> Column:
+    cell = F.col(f"`{column}`")
+    return F.when(~cell.isin(EMPTY_CELLS), cell)
 
 
 def file_stem() -> Column:

@@ -35,6 +35,22 @@ def rate_limit_breach(requests: DataFrame, limit: int, length: str, slide: str |
         "key", F.col("w.start").alias("window_start"), "requests")
 
 
+def endpoint_breaches(requests: DataFrame, limits: dict[str, tuple[int, str]] = LIMITS) -> DataFrame:
+    """Breaches of each endpoint's own limit; endpoints without one use the default limits.
+
+    ``requests``: endpoint, key, ts. The limits are constants of the plan. Counts of both
+    window lengths come from one aggregate.
+    """
+    named = [e for e in limits if not e.startswith("default")]
+    known = F.col("endpoint").isin(named)
+    table = F.array(*[F.struct(F.lit(e).alias("endpoint"), F.lit(n).alias("allowed"), F.lit(w).alias("length")) for e, (n, w) in limits.items()])
+    fits = lambda r: F.when(known, r["endpoint"] == F.col("endpoint")).otherwise(r["endpoint"].startswith("default"))
+    due = requests.select("endpoint", "key", "ts", F.inline(F.transform(F.filter(table, fits), lambda r: F.struct(r["allowed"].alias("allowed"), r["length"].alias("length")))))
+    start = F.when(F.col("length") == "1 minute", F.date_trunc("minute", "ts")).otherwise(F.date_trunc("hour", "ts"))
+    counts = due.groupBy("endpoint", "key", "length", "allowed", start.alias("window_start")).agg(F.count("*").alias("requests"))
+    return counts.where(F.col("requests") > F.col("allowed"))
+
+
 def rate_limit_stream(requests: DataFrame, limit: int, length: str, late: str = "10 minutes") -> DataFrame:
     return rate_limit_breach(requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), limit, length)
 
@@ -47,6 +63,11 @@ def audit_windows(logs: DataFrame, length: str = "1 hour") -> DataFrame:
         "company_id", F.col("w.start").alias("window_start"), "events", "blocked")
 
 
+def audit_append_stream(logs: DataFrame, path: str, checkpoint: str):
+    """Append audit records to a table as they arrive; started by the caller's trigger."""
+    return logs.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
 def audit_stream(logs: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     stamped = logs.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
     return audit_windows(stamped, length)

@@ -60,6 +60,16 @@ def test_scan_and_clean(spark, folder):
     assert rows["A1"].row_id < rows["A2"].row_id
 
 
+def test_columns_empty_in_one_dataset_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("SKU,Qty,Sales,Stock\nx,1,10,\ny,2,20,NA\n")
+    (tmp_path / "b.csv").write_text("SKU,Qty,Sales,Stock\nx,1,10,\ny,2,20,4\n")
+    (tmp_path / "c.csv").write_text("SKU,Qty,Sales,Stock\nx,1,,5\ny,2,n/a,4\n")
+    raw, _ = delimited.scan_delimited(spark, str(tmp_path))
+    got = {(r.dataset_id, r.sku): r.stock for r in delimited.clean_lines(raw).collect()}
+    assert got == {("a.csv", "x"): None, ("a.csv", "y"): None, ("b.csv", "x"): 0.0, ("b.csv", "y"): 4.0}
+    assert [tuple(r) for r in delimited.incomplete_datasets(raw).collect()] == [("c.csv", "Missing required columns: Revenue.")]
+
+
 def test_best_table(spark):
     tables = spark.createDataFrame([
         ("d", 0, ["notes"]), ("d", 1, ["SKU", "Rev enue"]), ("d", 2, ["sku", "UNITS_SOLD"]), ("e", 0, ["x"]), ("e", 1, ["y"])],

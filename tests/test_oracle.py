@@ -31,6 +31,24 @@ def test_matches_sql(spark, duck, sf_dir, key):
     assert rows(got) == rows(want)
 
 
+def test_known_counts(spark, sf_dir):
+    """Counts at the smallest scale; category health as means in pandas give it."""
+    from pyspark.sql import functions as F
+
+    from tradeloom.operators import alerts
+    from tradeloom.plans.book import AnalysisBook
+
+    b = AnalysisBook.of_test_tables(spark, sf_dir)
+    per = lambda df, c: {r[c]: r["count"] for r in df.groupBy(c).count().collect()}
+    assert (b.lines.count(), b.rollup.count(), b.categories.count()) == (6000, 4010, 873)
+    assert str(b.lines.agg(F.sum("revenue")).first()[0]) == "301270840.1572"
+    assert per(alerts.reorder_candidates(b.rollup), "urgency") == {"CRITICAL": 259, "URGENT": 189, "REORDER": 555}
+    assert per(alerts.markdown_candidates(b.rollup), "severity") == {"CLEARANCE": 1275, "DEEP": 345, "TACTICAL": 370}
+    assert per(b.categories, "health") == {"STRONG": 331, "HEALTHY": 209, "AT RISK": 125, "CRITICAL": 208}
+    attempts = QUERIES["login_lockout"](spark, sf_dir)
+    assert per(attempts, "status") == {"SUCCESS": 196, "FAILURE": 201, "BLOCKED": 3} and attempts.where("locked").count() == 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 700
 

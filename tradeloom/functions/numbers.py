@@ -49,8 +49,9 @@ def whole(value: Column) -> Column:
 
 
 def exact_mean(value: Column) -> Column:
-    """Mean that does not depend on the order rows arrive in: the sum is kept in decimal."""
-    return F.try_divide(F.sum(value.cast("decimal(18,6)")).cast("double"), F.count(value).cast("double"))
+    """Mean that does not depend on the order rows arrive in: the sum is kept in decimal, and
+    the result is rounded far below any threshold so that thirds add up."""
+    return F.round(F.try_divide(F.sum(value.cast("decimal(24,12)")).cast("double"), F.count(value).cast("double")), 9)
 
 
 def clamp(value: Column, low, high) -> Column:

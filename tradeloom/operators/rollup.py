@@ -11,22 +11,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeloom.functions.numbers import exact_mean, parse_number, percent_of
 from tradeloom.sources.roles import has_role
+from tradeloom.staging import staged
 
 DS = "dataset_id"
 
 
+def as_percent(column: str, largest: str) -> Column:
+    """The column times 100 where its largest value says it holds fractions."""
+    fractions = (F.col(largest) > 0) & (F.col(largest) <= 1.5)
+    return F.when(fractions, F.round(F.col(column) * 100, 2)).otherwise(F.col(column))
+
+
 def fix_decimal_percent(lines: DataFrame, columns=("margin_pct", "sell_through")) -> DataFrame:
     """Turn fractions into percentages where a whole column of a dataset holds fractions.
 
-    A column is taken as fractions when its largest value is above 0 and at most 1.5.
-    The decision needs one aggregate per dataset; the join back is left to AQE, which
-    broadcasts it when its measured size is small and splits hot datasets otherwise.
+    A column is taken as fractions when its largest value is above 0 and at most 1.5. The
+    largest values, one row per dataset, are staged: their real size decides whether they
+    are broadcast or joined by a shuffle, in which AQE splits hot datasets.
     """
-    flags = lines.groupBy(DS).agg(*[F.max(c).alias(f"max_{c}") for c in columns])
-    out = lines.join(flags, DS, "left")
+    largest = staged(lines.groupBy(DS).agg(*[F.max(c).alias(f"max_{c}") for c in columns]), "largest")
+    out = lines.join(largest, DS, "left")
     for c in columns:
-        fraction = (F.col(f"max_{c}") > 0) & (F.col(f"max_{c}") <= 1.5)
-        out = out.withColumn(c, F.when(fraction, F.round(F.col(c) * 100, 2)).otherwise(F.col(c)))
+        out = out.withColumn(c, as_percent(c, f"max_{c}"))
     return out.drop(*[f"max_{c}" for c in columns])
 
 

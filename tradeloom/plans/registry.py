@@ -47,7 +47,7 @@ def with_tables(sql: str) -> str:
 # Small SQL text helpers.
 
 def mean(x: str) -> str:
-    return f"(cast(sum(cast({x} as decimal(18,6))) as double) / count({x}))"
+    return f"round(cast(sum(cast({x} as decimal(24,12))) as double) / count({x}), 9)"
 
 
 def whole(x: str) -> str:

@@ -15,8 +15,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom.functions.numbers import clean_numeric
-from tradeloom.operators.rollup import derive_margin, fix_decimal_percent
-from tradeloom.sources.roles import KEY_HEADERS, has_role, missing_required, role_columns
+from tradeloom.operators.rollup import as_percent, derive_margin
+from tradeloom.sources.roles import KEY_HEADERS, REQUIRED, ROLES, has_role, missing_required, role_columns
 from tradeloom.staging import staged
 
 # Delimiters considered; the first one wins a tie.
@@ -60,7 +60,9 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
             lines = [first_line(p) for p in batch["path"]]
             yield pd.DataFrame({"file": batch["path"], "header": lines, "delimiter": [delimiter_of(h) for h in lines]})
 
-    return files.mapInPandas(heads, "file string, header string, delimiter string")
+    # A split per file would be a task per file; opening a head is cheap, so tasks take many.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return files.coalesce(tasks).mapInPandas(heads, "file string, header string, delimiter string")
 
 
 def drop_empty(df: DataFrame, keep: tuple = ("dataset_id", "row_id")) -> DataFrame:
@@ -75,12 +77,14 @@ def drop_empty(df: DataFrame, keep: tuple = ("dataset_id", "row_id")) -> DataFra
 
 
 def read_group(spark: SparkSession, files: list[str], delimiter: str, dataset: Column) -> DataFrame:
-    """Files of one delimiter and one header as strings, with dataset and file order."""
+    """Files of one delimiter and one header as strings, with dataset and file order.
+    Unnamed columns and rows without a value are left out."""
     raw = spark.read.csv(files, sep=delimiter, header=True, enforceSchema=False)
-    names = [f"Unnamed: {i}" if re.fullmatch(r"_c\d+", c) else c for i, c in enumerate(raw.columns)]
+    named = [c for c in raw.columns if not re.fullmatch(r"_c\d+", c) and not c.strip().startswith("Unnamed:")]
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("n"))
-    return raw.select(dataset.alias("dataset_id"), order.alias("row_id"), *[filled(c).alias(n) for c, n in zip(raw.columns, names)])
+    sheet = raw.select(dataset.alias("dataset_id"), order.alias("row_id"), *[filled(c).alias(c.strip()) for c in named])
+    return sheet.where(F.coalesce(*[F.col(f"`{c.strip()}`") for c in named]).isNotNull())
 
 
 def filled(column: str) -> Column:
@@ -104,27 +108,59 @@ def scan_delimited(spark: SparkSession, path: str, dataset: Column | None = None
     groups = found.groupBy("delimiter", "header").agg(F.collect_list("file").alias("files")).collect()
     parts, reasons = [], [("", "File is empty.")]
     for g in (g for g in groups if g["header"]):
-        df = drop_empty(read_group(spark, g["files"], g["delimiter"], file_stem() if dataset is None else dataset))
-        reason = missing_required([c for c in df.columns if c not in ("dataset_id", "row_id")])
+        sheet = read_group(spark, g["files"], g["delimiter"], file_stem() if dataset is None else dataset)
+        reason = missing_required(sheet.columns[2:])
         if reason:
             reasons.append((g["header"], reason))
         else:
-            parts.append(role_columns(df))
+            parts.append(role_columns(sheet))
     rejected = found.join(spark.createDataFrame(reasons, "header string, reason string"), "header").select("file", "reason")
     return (reduce(DataFrame.unionByName, parts) if parts else None), rejected
 
 
+PERCENTS = ["margin_pct", "sell_through"]
+
+
+def number_in(role: str) -> Column:
+    return clean_numeric(F.coalesce(role, F.lit("")))
+
+
+def dataset_facts(raw: DataFrame, percents: list[str]) -> DataFrame:
+    """Per dataset: the roles that hold any value at all, and the largest percentages.
+
+    A column that is empty in every row of a dataset counts as absent there, whatever the
+    same header holds in other datasets.
+    """
+    bits = [F.when(F.count(r) > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(ROLES)]
+    largest = [F.max(F.when(F.col(r).isNotNull(), number_in(r))).alias(f"max_{r}") for r in percents]
+    return raw.groupBy("dataset_id").agg(reduce(lambda a, b: a + b, bits).cast("int").alias("role_mask"), *largest)
+
+
+def complete(mask: str = "role_mask") -> Column:
+    return reduce(lambda a, b: a & b, [has_role(r, mask) for r in REQUIRED])
+
+
 def clean_lines(raw: DataFrame, fix_cover: bool = False) -> DataFrame:
     """Trading lines from role-mapped sheets: numbers cleaned, fractions turned into
-    percentages, margin derived. Roles a sheet lacks stay NULL."""
+    percentages, margin derived. Roles a dataset lacks stay NULL; datasets without SKU,
+    units or revenue are left out (see ``incomplete_datasets``)."""
     money = {"units": "decimal(18,2)", "revenue": "decimal(18,4)", "cost": "decimal(18,4)", "margin_value": "decimal(18,6)",
              "retail": "decimal(18,2)", "full_price_sales": "decimal(18,4)"}
-    out = raw
+    percents = PERCENTS + (["cover_weeks"] if fix_cover else [])
+    facts = staged(dataset_facts(raw, percents), "facts")
+    out = raw.drop("role_mask").join(facts.where(complete()), "dataset_id")
     for role in NUMERIC_ROLES:
-        value = F.when(has_role(role), clean_numeric(F.coalesce(role, F.lit(""))))
-        out = out.withColumn(role, value.cast(money.get(role, "double")))
-    percents = ["margin_pct", "sell_through"] + (["cover_weeks"] if fix_cover else [])
-    return derive_margin(fix_decimal_percent(out, percents))
+        out = out.withColumn(role, F.when(has_role(role), number_in(role)).cast(money.get(role, "double")))
+    for role in percents:
+        out = out.withColumn(role, as_percent(role, f"max_{role}"))
+    return derive_margin(out.drop(*[f"max_{r}" for r in percents]))
+
+
+def incomplete_datasets(raw: DataFrame) -> DataFrame:
+    """Datasets whose SKU, units or revenue column holds no value, with the reason."""
+    absent = F.array_compact(F.array(*[F.when(~has_role(r), F.lit(label)) for r, label in REQUIRED.items()]))
+    return dataset_facts(raw, []).where(~complete()).select(
+        "dataset_id", F.concat(F.lit("Missing required columns: "), F.array_join(absent, ", "), F.lit(".")).alias("reason"))
 
 
 def pick_best_table(tables: DataFrame) -> DataFrame:

@@ -7,5 +7,6 @@ from tradeloom.llm.common import ORACLES, QUERIES
 # isort: off
 from tradeloom.llm import query_lines  # noqa: F401
 from tradeloom.llm import query_mixing  # noqa: F401
+from tradeloom.llm import query_benchmark  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

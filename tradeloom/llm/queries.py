@@ -8,6 +8,7 @@ from tradeloom.llm.common import ORACLES, QUERIES
 from tradeloom.llm import query_lines  # noqa: F401
 from tradeloom.llm import query_quality  # noqa: F401
 from tradeloom.llm import query_mixing  # noqa: F401
+from tradeloom.llm import query_similar  # noqa: F401
 from tradeloom.llm import query_benchmark  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,7 @@ from tradeloom.llm import query_chat  # noqa: F401
 from tradeloom.llm import query_lines  # noqa: F401
 from tradeloom.llm import query_quality  # noqa: F401
 from tradeloom.llm import query_mixing  # noqa: F401
+from tradeloom.llm import query_nearest  # noqa: F401
 from tradeloom.llm import query_secrets  # noqa: F401
 from tradeloom.llm import query_similar  # noqa: F401
 from tradeloom.llm import query_benchmark  # noqa: F401

@@ -13,5 +13,5 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(secrets.corpus_samples(docs)))
     base = F.filter("spans", lambda s: s["kind"] != "markov")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    counts = [F.size(secrets.of_kind(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))

@@ -96,42 +96,49 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return rows.groupBy("secret", "pair").agg(F.count("*").alias("n"))
 
 
-def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
-    """Log-likelihood ratio of each pair of ASCII characters, at 128 x first + second."""
+def train(samples: DataFrame, smooth: float = 0.5) -> list[int]:
+    """Log-likelihood ratio of each pair of token characters, in hundredths, first character by first character."""
     counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for r in pair_counts(samples).where(F.col("pair").rlike(rf"^[{TOKEN_CHARS[:-1]}\-]{{2}}$")).collect():
         counts[r["secret"]][r["pair"]] += r["n"]
-    model = [0.0] * (128 * 128)
+    for pair, n in list(counts[False].items()):  # constants are written in capitals
+        counts[False][pair.upper()] += 0.1 * n
     if not counts[True] or not counts[False]:
-        return model
+        return [0] * len(TOKEN_CHARS) ** 2
     before = {kind: Counter() for kind in counts}
     for kind, seen in counts.items():
         for pair, n in seen.items():
             before[kind][pair[0]] += n
     share = lambda kind, a, b: (counts[kind][a + b] + smooth) / (before[kind][a] + smooth * len(TOKEN_CHARS))
-    for a in TOKEN_CHARS:
-        for b in TOKEN_CHARS:
-            model[128 * ord(a) + ord(b)] = round(math.log(share(True, a, b) / share(False, a, b)), 6)
-    return model
+    return [round(100 * math.log(share(True, a, b) / share(False, a, b))) for a in TOKEN_CHARS for b in TOKEN_CHARS]
 
 
-def ratio(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a token: random string against ordinary identifier."""
-    held = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+def ratio(token: Column, model: list[int]) -> Column:
+    """Log-likelihood ratio of a token, random string against ordinary identifier, in hundredths."""
+    held = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
+    place = lambda c: F.instr(F.lit(TOKEN_CHARS), c) - 1
     pairs = F.regexp_extract_all(token, F.lit(_PAIRS), F.lit(1))
-    return F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.coalesce(F.get(held, F.ascii(p) * 128 + F.ascii(F.substring(p, 2, 1))), F.lit(0.0)))
+    return F.aggregate(pairs, F.lit(0), lambda total, p: total + F.get(held, place(F.substring(p, 1, 1)) * len(TOKEN_CHARS) + place(F.substring(p, 2, 1))))
 
 
-def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): array<struct<start,rank,end,kind>> in order of start, then kind as listed."""
     rows = base_spans(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text")), "_text")
     rows = rows.withColumn("_markov", F.regexp_extract_all("_text", F.lit(_TOKEN), F.lit(0)))
-    random = lambda s: (ratio(s["token"], model) >= F.greatest(F.lit(MIN_RATIO), MIN_RATIO_PER_CHAR * (s["end"] - s["start"])))
+    random = lambda s: ratio(s["token"], model) >= 100 * F.greatest(F.lit(MIN_RATIO), MIN_RATIO_PER_CHAR * (s["end"] - s["start"]))
     known = F.concat(*[F.col(f"_{k}") for k in KINDS[:-1]])
     new = lambda s: ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     rows = rows.withColumn("_markov", F.filter(placed(F.col("_text"), _TOKEN, F.col("_markov")), lambda s: new(s) & random(s)))
-    named = [F.transform(f"_{k}", lambda s, k=k, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end"), F.lit(k).alias("kind"))) for i, k in enumerate(KINDS)]
-    return rows.select("id", F.array_sort(F.concat(*named)).alias("spans"))
+    return rows.select("id", F.array_sort(F.concat(*[named(k) for k in KINDS])).alias("spans"))
+
+
+def named(kind: str) -> Column:
+    """The spans of one kind, in a form that sorts by start and then by kind as listed."""
+    return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def of_kind(kind: str, spans: str = "spans") -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
 
 
 def listed(spans: Column) -> Column:

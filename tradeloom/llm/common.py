@@ -48,6 +48,11 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().translate(TO_SPACE).split()
 
 
+def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``max_rows`` (narrow) rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def struct_array(fields: dict[str, pa.Array]) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
 

@@ -6,6 +6,8 @@ from tradeloom.llm.common import ORACLES, QUERIES
 
 # isort: off
 from tradeloom.llm import query_chat  # noqa: F401
+from tradeloom.llm import query_toxicity  # noqa: F401
+from tradeloom.llm import query_urls  # noqa: F401
 from tradeloom.llm import query_lines  # noqa: F401
 from tradeloom.llm import query_quality  # noqa: F401
 from tradeloom.llm import query_mixing  # noqa: F401

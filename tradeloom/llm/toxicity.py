@@ -36,7 +36,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def features_of(text: str | None) -> set[str]:
     words = set(_WORD.findall((text or "").lower()))
-    return words | {f"{w[:4]}-" for w in words if len(w) > 4} | {f"{w[:5]}-" for w in words if len(w) > 5}
+    return words | {f"{w[:4]}-" for w in words if len(w) >= 4} | {f"{w[:5]}-" for w in words if len(w) >= 5}
 
 
 def count_features(rows: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ class Linear:
         return 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def fit_linear(sets: list[np.ndarray], columns: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 300, ridge: float = 1e-4) -> Linear:
+def fit_linear(sets: list[np.ndarray], columns: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 400, ridge: float = 1e-5) -> Linear:
     """Gradient descent with per-weight step sizes (Adagrad) on the ridge-penalised mean loss."""
     n, k = len(y), columns.shape[1]
     model = Linear(np.zeros(n_features), np.zeros(k), 0.0)
@@ -144,7 +144,7 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, n_fe
     return Chain(models)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", max_features: int = 4096, min_docs: int = 3,
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", max_features: int = 4096, min_docs: int = 4,
           max_rows: int = 20_000, folds: int = 3) -> tuple[dict[str, int], Chain]:
     """Vocabulary and chain. A category is a boolean column over the labels' columns and ``found``,
     the number of telling features in the text; the first category can't use ``found``.

@@ -83,3 +83,46 @@ def test_inventory(spark, folder):
     got = {r.filename: r for r in delimited.file_inventory(spark, folder).collect()}
     raw = open(f"{folder}/bad.csv", "rb").read()
     assert (got["bad.csv"].size, got["bad.csv"].sha256, got["bad.csv"].extension) == (len(raw), hashlib.sha256(raw).hexdigest(), "csv")
+
+
+def scanned(spark, tmp_path, **files):
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    return delimited.scan_delimited(spark, str(tmp_path))
+
+
+def test_quoted_cells(spark, tmp_path):
+    text = '\n\nSKU,Product Name,Qty,Sales\r\nA1,"Red ""big"", shirt",1,"1,000"\r\nA2,"line one\nline two",2,20\r\nA3,plain,3,30,extra\r\nA4,short\r\n'
+    raw, rejected = scanned(spark, tmp_path, quoted=text)
+    rows = {r.sku: r for r in raw.collect()}
+    assert set(rows) == {"A1", "A2", "A3", "A4"} and rejected.count() == 0
+    assert (rows["A1"].name, rows["A1"].revenue, rows["A2"].name, rows["A2"].units) == ('Red "big", shirt', "1,000", "line one\nline two", "2")
+    assert (rows["A3"].revenue, rows["A4"].name, rows["A4"].units) == ("30", "short", None)
+    assert [r.sku for r in raw.orderBy("row_id").collect()] == ["A1", "A2", "A3", "A4"]
+
+
+def test_headers_equal_but_for_case(spark, tmp_path):
+    raw, _ = scanned(spark, tmp_path, case="SKU,sku,Qty,Sales\nfirst,second,1,2\n", same="SKU,SKU,Qty,Sales\nthird,fourth,1,2\n")
+    assert {r.sku for r in raw.collect()} == {"second", "third"}
+
+
+def test_numbers_beyond_their_column(spark, tmp_path):
+    raw, _ = scanned(spark, tmp_path, good="SKU,Qty,Sales\nx,1,10\n", huge="SKU,Qty,Sales,Stock,GM%\na,1,5012345678901234567,1e400,1e300\nb,1e400,£7,3,20%\nc,n/a,text,1,1\n")
+    lines = {r.sku: r for r in delimited.clean_lines(raw).collect()}
+    assert (float(lines["a"].revenue), lines["a"].stock, float(lines["b"].units), float(lines["b"].revenue), float(lines["x"].revenue)) == (0, 0, 0, 7, 10)
+    lost = {(r.role, r.cell) for r in delimited.unreadable_cells(raw).collect()}
+    assert lost == {("revenue", "5012345678901234567"), ("stock", "1e400"), ("units", "1e400")}
+    from tradeloom.operators.rollup import dataset_kpis, sku_rollup
+
+    assert dataset_kpis(sku_rollup(delimited.clean_lines(raw))).count() == 2
+
+
+def test_odd_files(spark, tmp_path):
+    raw, rejected = scanned(spark, tmp_path, blank="\n \n", header="SKU,Qty,Sales", single="SKU,Qty,Sales\nz,1,2", open='SKU,Qty,Sales\ny,1,"2\n3')
+    assert {r.sku for r in raw.collect()} == {"z", "y"}
+    assert {(r.file.rsplit("/", 1)[1], r.reason) for r in rejected.collect()} == {("blank.csv", "File is empty.")}
+
+
+def test_many_headers_make_one_plan(spark, tmp_path):
+    raw, _ = scanned(spark, tmp_path, **{f"f{i}": f"SKU,Qty,Sales,Extra {i}\ns{i},1,2,3\n" for i in range(60)})
+    assert raw.count() == 60 and "Union" not in raw._jdf.queryExecution().optimizedPlan().toString()

@@ -11,19 +11,28 @@ PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_number(text: Column) -> Column:
-    """Double, or NULL when the text is not a plain decimal number.
+    """Double, or NULL when the text is not a plain decimal number. ``1e400`` reads as infinity.
 
     The pattern guard is needed because a bare cast also accepts ``12d`` and ``nan``.
     """
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
+def without_marks(text: Column) -> Column:
+    """Cell without currency, grouping and percent signs."""
+    return F.regexp_replace(F.regexp_replace(text, CURRENCY_AND_GROUPING, ""), "%$", "")
+
+
+def in_range(number: Column, kind: str) -> Column:
+    """The number as the given type, NULL when it is not finite or too large for it."""
+    return F.when(F.abs(number) < float("inf"), number.try_cast(kind))
+
+
 def clean_numeric(text: Column) -> Column:
-    """Number held in a free-form cell; anything unreadable counts as 0."""
-    bare = F.regexp_replace(text, CURRENCY_AND_GROUPING, "")
-    bare = F.regexp_replace(bare, "%$", "")
+    """Number held in a free-form cell; anything unreadable or not finite counts as 0."""
+    bare = without_marks(text)
     return F.when(bare.isin(NO_VALUE), F.lit(0.0)).otherwise(
-        F.coalesce(parse_number(bare), F.lit(0.0)))
+        F.coalesce(in_range(parse_number(bare), "double"), F.lit(0.0)))
 
 
 def safe_float(value: Column, default: float = 0.0) -> Column:
@@ -51,7 +60,7 @@ def whole(value: Column) -> Column:
 def exact_mean(value: Column) -> Column:
     """Mean that does not depend on the order rows arrive in: the sum is kept in decimal, and
     the result is rounded far below any threshold so that thirds add up."""
-    return F.round(F.try_divide(F.sum(value.cast("decimal(24,12)")).cast("double"), F.count(value).cast("double")), 9)
+    return F.round(F.try_divide(F.sum(value.try_cast("decimal(38,12)")).cast("double"), F.count(value).cast("double")), 9)
 
 
 def clamp(value: Column, low, high) -> Column:

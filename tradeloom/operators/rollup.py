@@ -92,7 +92,7 @@ def margin_present(mask: str = "role_mask") -> Column:
 
 def margin_sums() -> list[Column]:
     """Aggregates the blended margin is computed from."""
-    weighted = (F.col("margin_pct") * F.col("revenue").cast("double")).cast("decimal(38,6)")
+    weighted = (F.col("margin_pct") * F.col("revenue").cast("double")).try_cast("decimal(38,6)")
     return [
         F.max("role_mask").alias("role_mask"),
         F.sum("revenue").cast("double").alias("_total"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tradeloom.operators import rollup
 from tradeloom.plans.registry import CTES, register
 from tradeloom.sources import delimited, testtables as tt
-from tradeloom.staging import scratch
+from tradeloom.staging import scratch, staged
 from tradeloom.streaming import billing, limits, lockout
 
 stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
@@ -250,16 +250,9 @@ def _(spark, d):
 SELECT ['SKU', 'product_code', 'Item Code', 'Style'][y % 4 + 1] AS sku_header, count(*) AS n FROM (SELECT cast(split_part(dataset_id, ':', 2) as int) AS y FROM trading_lines) GROUP BY 1""")
 def _(spark, d):
     """Lines per header the SKU role was found under, over all written sheets."""
-    from tradeloom.sources.roles import resolve_roles
-
-    groups = delimited.headers(spark, written_sheets(spark, d)).groupBy("delimiter", "header").agg(F.collect_list("file").alias("files")).collect()
-    out = None
-    for g in groups:
-        sku = resolve_roles(g["header"].split(g["delimiter"]))["sku"]
-        df = spark.read.csv(g["files"], sep=g["delimiter"], header=True)
-        part = df.agg(F.count(f"`{sku}`").alias("n")).select(F.lit(sku).alias("sku_header"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = staged(delimited.parsed(spark, written_sheets(spark, d)), "sheets")
+    names = found.where("n < 0").select("file", F.col("found")["sku"].alias("sku_header"))
+    return found.where("n >= 0").groupBy("file").agg(F.count("sku").alias("n")).join(names, "file").groupBy("sku_header").agg(F.sum("n").alias("n"))
 
 
 @register("require_roles", """
@@ -287,7 +280,26 @@ def _(spark, d):
     return delimited.drop_empty(sheet)
 
 
-@register("file_inventory")
+@register("file_inventory", """
+SELECT n_nationkey AS key, cast(strlen(n_name) + 1 as bigint) AS size, sha256(n_name || chr(10)) AS sha256, 'txt' AS extension FROM nation""")
+def _(spark, d):
+    """Inventory of one text file per nation."""
+    path = scratch(spark, "files")
+    tt.table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name").repartition("key").write.partitionBy("key").text(path)
+    files = delimited.file_inventory(spark, path)
+    return files.select(F.regexp_extract("path", "key=([0-9]+)/", 1).cast("int").alias("key"), "size", "sha256", "extension")
+
+
+@register("unreadable_cells", """
+SELECT l_orderkey AS sku, CASE WHEN l_orderkey % 2 = 0 THEN 'revenue' ELSE 'units' END AS role,
+  CASE WHEN l_orderkey % 2 = 0 THEN '5012345678901234567' ELSE '1e400' END AS cell, count(*) AS n FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1, 2, 3""")
 def _(spark, d):
-    """Inventory of the written sheets."""
-    return delimited.file_inventory(spark, written_sheets(spark, d) + "/*")
+    """Sheets in which every fifth order has a number beyond its column."""
+    path, big, odd = scratch(spark, "huge"), F.col("l_orderkey") % 5 == 0, F.col("l_orderkey") % 2 == 1
+    cells = tt.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("SKU"), F.lit("red").alias("Colour"), F.when(big & odd, "1e400").otherwise(F.col("l_quantity").cast("string")).alias("Units"),
+        F.when(big & ~odd, "5012345678901234567").otherwise(F.col("l_extendedprice").cast("string")).alias("Sales"))
+    cells.write.option("header", True).csv(path)
+    raw, _ = delimited.scan_delimited(spark, path)
+    lost = delimited.unreadable_cells(raw).join(raw.select("dataset_id", "row_id", F.col("sku").cast("bigint").alias("sku")), ["dataset_id", "row_id"])
+    return lost.groupBy("sku", "role", "cell").agg(F.count("*").alias("n"))

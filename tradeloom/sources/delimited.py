@@ -1,47 +1,41 @@
 """Reading delimited sheets (CSV, TSV, TXT) with the delimiter found per file.
 
-Only the first line of each file is looked at to find its delimiter and header. Files
-with the same delimiter and header are then read by one ``spark.read.csv``.
+Lines come through Spark's text reader, from any store it reads, in splits of any size. They
+are dealt out by file and sorted by position, and each task streams through its files once:
+the first non-blank line gives the delimiter and the header, the header gives the position of
+every role, and the records below are cut into cells as spreadsheets write them, with doubled
+quotes and line breaks inside quotes. No file is held whole, no list of files or headers
+leaves the executors, and the plan doesn't grow with the number of headers.
 """
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tradeloom.functions.numbers import clean_numeric
+from tradeloom.functions.numbers import clean_numeric, in_range, parse_number, without_marks
 from tradeloom.operators.rollup import as_percent, derive_margin
-from tradeloom.sources.roles import KEY_HEADERS, REQUIRED, ROLES, has_role, missing_required, role_columns
+from tradeloom.sources.roles import KEY_HEADERS, REQUIRED, ROLES, has_role, mask_of, missing_required, role_positions
 from tradeloom.staging import staged
 
 # Delimiters considered; the first one wins a tie.
 DELIMITERS = [",", ";", "\t", "|"]
-HEAD_BYTES = 65536
 # Cell texts that count as empty.
 EMPTY_CELLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
                "NaN", "None", "n/a", "nan", "null"]
 NUMERIC_ROLES = ["units", "revenue", "stock", "cost", "full_price_sales", "buy_qty", "margin_value", "retail",
                  "margin_pct", "sell_through", "cover_weeks"]
-
-
-def first_line(uri: str) -> str:
-    """First non-blank line of a file, reading no more than needed."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(path) as stream:
-        text = ""
-        while chunk := stream.read(HEAD_BYTES):
-            text += chunk.decode("utf-8", errors="replace")
-            line = text.lstrip("\ufeff\r\n ").splitlines()
-            if len(line) > 1:
-                return line[0]
-        return line[0] if text.strip() and line else ""
+MONEY = {"units": "decimal(18,2)", "revenue": "decimal(18,4)", "cost": "decimal(18,4)", "margin_value": "decimal(18,6)",
+         "retail": "decimal(18,2)", "full_price_sales": "decimal(18,4)"}
+CHUNK = 5000
+_PARSED = ("file string, dataset_id string, n long, " + ", ".join(f"{r} string" for r in ROLES)
+           + ", role_mask int, header string, delimiter string, found map<string,string>, reason string")
 
 
 def delimiter_of(header: str) -> str:
@@ -50,19 +44,60 @@ def delimiter_of(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (bare.count(d), -DELIMITERS.index(d)))
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """file, header and delimiter of every file. Listing files reads no content, and of
-    each file only its head is opened, on the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+def parsed_file(lines: Iterator[str]) -> Iterator[dict]:
+    """Of one file's lines in order: what its header says, then its records by role."""
+    first = next((x for x in (x.lstrip("\ufeff") for x in lines) if x.strip()), None)
+    if first is None:
+        return
+    delimiter, empty = delimiter_of(first), set(EMPTY_CELLS)
+    csv.field_size_limit(1 << 30)
+    records = csv.reader((x + "\n" for x in chained(first, lines)), delimiter=delimiter, doublequote=True)
+    columns = [c.strip() for c in next(records)]
+    positions = role_positions(columns)
+    named = [i for i, c in enumerate(columns) if c and not c.startswith("Unnamed:")]
+    mask, reason = mask_of(positions), missing_required([columns[i] for i in named])
+    yield {"n": -1, "header": first, "delimiter": delimiter, "found": {r: columns[i] for r, i in positions.items()}, "reason": reason}
+    if reason:
+        return
+    for n, cells in enumerate(records):
+        if any(i < len(cells) and cells[i] not in empty for i in named):
+            held = {r: cells[i] for r, i in positions.items() if i < len(cells) and cells[i] not in empty}
+            yield {"n": n, "role_mask": mask, **held}
+
+
+def chained(first: str, rest: Iterator[str]) -> Iterator[str]:
+    yield first
+    yield from rest
+
+
+def parsed(spark: SparkSession, path: str, dataset: Column | None = None) -> DataFrame:
+    """All files of a folder, read once: a row for each header (n = -1) and each record."""
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = text.select(F.col("_metadata.file_path").alias("file"), (file_stem() if dataset is None else dataset).alias("dataset_id"), place.alias("place"), "value")
+    lines = lines.repartition("file").sortWithinPartitions("file", "place").select("file", "dataset_id", "value")
+    fields = [f.split()[0] for f in _PARSED.split(", ")]
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, flat = [], (r for pdf in batches for r in zip(pdf["file"], pdf["dataset_id"], pdf["value"]))
+        for (file, dataset_id), own in groupby(flat, key=lambda r: r[:2]):
+            for row in parsed_file(r[2] for r in own):
+                rows.append({"file": file, "dataset_id": dataset_id, **row})
+                if len(rows) == CHUNK:
+                    yield table_of(rows, fields)
+                    rows = []
+        yield table_of(rows, fields)
+
+    return lines.mapInPandas(records, _PARSED)
+
+
+def table_of(rows: list[dict], fields: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({f: pd.Series([r.get(f) for r in rows], dtype="Int32" if f == "role_mask" else "int64" if f == "n" else "object") for f in fields})
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lines = [first_line(p) for p in batch["path"]]
-            yield pd.DataFrame({"file": batch["path"], "header": lines, "delimiter": [delimiter_of(h) for h in lines]})
 
-    # A split per file would be a task per file; opening a head is cheap, so tasks take many.
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    return files.coalesce(tasks).mapInPandas(heads, "file string, header string, delimiter string")
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, header, delimiter and the header name found for each role, of every file with a line."""
+    return parsed(spark, path).where("n < 0").select("file", "header", "delimiter", "found")
 
 
 def drop_empty(df: DataFrame, keep: tuple = ("dataset_id", "row_id")) -> DataFrame:
@@ -76,46 +111,29 @@ def drop_empty(df: DataFrame, keep: tuple = ("dataset_id", "row_id")) -> DataFra
     return out.dropna("all", subset=[f"`{c}`" for c in live]) if live else out.limit(0)
 
 
-def read_group(spark: SparkSession, files: list[str], delimiter: str, dataset: Column) -> DataFrame:
-    """Files of one delimiter and one header as strings, with dataset and file order.
-    Unnamed columns and rows without a value are left out."""
-    raw = spark.read.csv(files, sep=delimiter, header=True, enforceSchema=False)
-    named = [c for c in raw.columns if not re.fullmatch(r"_c\d+", c) and not c.strip().startswith("Unnamed:")]
-    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("n"))
-    sheet = raw.select(dataset.alias("dataset_id"), order.alias("row_id"), *[filled(c).alias(c.strip()) for c in named])
-    return sheet.where(F.coalesce(*[F.col(f"`{c.strip()}`") for c in named]).isNotNull())
-
-
-def filled(column: str) -> Column:
-    cell = F.col(f"`{column}`")
-    return F.when(~cell.isin(EMPTY_CELLS), cell)
-
-
 def file_stem() -> Column:
     """One file, one dataset."""
     return F.col("_metadata.file_name")
 
 
-def scan_delimited(spark: SparkSession, path: str, dataset: Column | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """Role-mapped raw sheets of a folder (None when no sheet is readable), and the
-    rejected files with their reason.
+def scan_delimited(spark: SparkSession, path: str, dataset: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Role-mapped raw sheets of a folder, and the rejected files with their reason. The files
+    are read once; both results come from the stored records. A file of no bytes is one that
+    Spark's readers don't list, so it is neither read nor rejected."""
+    found = staged(parsed(spark, path, dataset), "sheets")
+    raw = found.where("n >= 0").select("dataset_id", F.struct("file", "n").alias("row_id"), *ROLES, "role_mask")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file"))
+    blank = files.join(found.where("n < 0").select("file"), "file", "left_anti").select("file", F.lit("File is empty.").alias("reason"))
+    return raw, found.where("reason IS NOT NULL").select("file", "reason").unionByName(blank)
 
-    One read per distinct (delimiter, header), not per file. The driver sees file names and
-    distinct headers only, as any file listing does.
-    """
-    found = staged(headers(spark, path), "headers")
-    groups = found.groupBy("delimiter", "header").agg(F.collect_list("file").alias("files")).collect()
-    parts, reasons = [], [("", "File is empty.")]
-    for g in (g for g in groups if g["header"]):
-        sheet = read_group(spark, g["files"], g["delimiter"], file_stem() if dataset is None else dataset)
-        reason = missing_required(sheet.columns[2:])
-        if reason:
-            reasons.append((g["header"], reason))
-        else:
-            parts.append(role_columns(sheet))
-    rejected = found.join(spark.createDataFrame(reasons, "header string, reason string"), "header").select("file", "reason")
-    return (reduce(DataFrame.unionByName, parts) if parts else None), rejected
+
+def unreadable_cells(raw: DataFrame) -> DataFrame:
+    """Cells of numeric roles that hold a number no column can keep: not finite, or too large
+    for its type. They count as 0, as any unreadable cell does; this table names them."""
+    number = lambda r: parse_number(without_marks(F.col(r)))
+    lost = [F.when(number(r).isNotNull() & ~F.coalesce(in_range(number(r), MONEY.get(r, "double")).isNotNull(), F.lit(False)), F.struct(F.lit(r).alias("role"), F.col(r).alias("cell"))) for r in NUMERIC_ROLES]
+    cells = raw.select("dataset_id", "row_id", F.explode(F.array_compact(F.array(*lost))).alias("c"))
+    return cells.select("dataset_id", "row_id", "c.role", "c.cell")
 
 
 PERCENTS = ["margin_pct", "sell_through"]
@@ -144,13 +162,12 @@ def clean_lines(raw: DataFrame, fix_cover: bool = False) -> DataFrame:
     """Trading lines from role-mapped sheets: numbers cleaned, fractions turned into
     percentages, margin derived. Roles a dataset lacks stay NULL; datasets without SKU,
     units or revenue are left out (see ``incomplete_datasets``)."""
-    money = {"units": "decimal(18,2)", "revenue": "decimal(18,4)", "cost": "decimal(18,4)", "margin_value": "decimal(18,6)",
-             "retail": "decimal(18,2)", "full_price_sales": "decimal(18,4)"}
     percents = PERCENTS + (["cover_weeks"] if fix_cover else [])
     facts = staged(dataset_facts(raw, percents), "facts")
     out = raw.drop("role_mask").join(facts.where(complete()), "dataset_id")
     for role in NUMERIC_ROLES:
-        out = out.withColumn(role, F.when(has_role(role), number_in(role)).cast(money.get(role, "double")))
+        kind = MONEY.get(role, "double")
+        out = out.withColumn(role, F.when(has_role(role), F.coalesce(in_range(number_in(role), kind), F.lit(0).cast(kind))))
     for role in percents:
         out = out.withColumn(role, as_percent(role, f"max_{role}"))
     return derive_margin(out.drop(*[f"max_{r}" for r in percents]))
@@ -176,8 +193,9 @@ def pick_best_table(tables: DataFrame) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Size, SHA-256 and extension of raw files."""
-    files = spark.read.format("binaryFile").load(path)
+    """Size, SHA-256 and extension of raw files of a folder and the folders below it. A hash is
+    over one file's bytes, so a file has to fit into a cell (2 GB), far above any upload."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("filename"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
+    return files.select("path", name.alias("filename"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
                         F.lower(F.element_at(F.split(name, r"\."), -1)).alias("extension"))

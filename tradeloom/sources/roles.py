@@ -1,7 +1,6 @@
 """Column roles: which header of an uploaded sheet means what.
 
-Role matching looks at header names only, so it happens while the plan is built and
-costs no pass over the data. The roles a sheet has are carried on its lines as one
+Role matching looks at header names only, once per file. The roles a sheet has are carried on its lines as one
 integer (``role_mask``), which keeps "column absent" apart from "cell empty" without a
 join of every line with the dataset table.
 """
@@ -45,15 +44,20 @@ def squash(header: str) -> str:
     return header.lower().replace(" ", "").replace("_", "")
 
 
+def role_positions(columns: list[str]) -> dict[str, int]:
+    """Role -> position of its column. Of headers that differ in case, spaces or underscores
+    only, the last counts; of those that are spelt alike, the first."""
+    present = {}
+    for i, c in enumerate(columns):
+        if c not in columns[:i]:
+            present[squash(c)] = i
+    hits = {role: next((present[squash(n)] for n in names if squash(n) in present), None) for role, names in ROLE_HEADERS.items()}
+    return {role: i for role, i in hits.items() if i is not None}
+
+
 def resolve_roles(columns: list[str]) -> dict[str, str]:
-    """Role -> actual column. Of equal headers the last column counts."""
-    present = {squash(c): c for c in columns}
-    found = {}
-    for role, names in ROLE_HEADERS.items():
-        hit = next((present[squash(n)] for n in names if squash(n) in present), None)
-        if hit is not None:
-            found[role] = hit
-    return found
+    """Role -> name of its column."""
+    return {role: columns[i] for role, i in role_positions(columns).items()}
 
 
 def missing_required(columns: list[str]) -> str | None:
@@ -78,12 +82,3 @@ def has_role(role: str, mask: str = "role_mask") -> Column:
 def roles_present(mask: str = "role_mask") -> Column:
     """The mask as an array of role names."""
     return F.array_compact(F.array(*[F.when(has_role(r, mask), F.lit(r)) for r in ROLES]))
-
-
-def role_columns(df: DataFrame) -> DataFrame:
-    """Rename matched headers to their role and add absent roles as NULL columns."""
-    found = resolve_roles(df.columns)
-    taken = [F.col(f"`{found[r]}`").cast("string").alias(r) if r in found
-             else F.lit(None).cast("string").alias(r) for r in ROLES]
-    rest = [c for c in ("dataset_id", "row_id") if c in df.columns]
-    return df.select(*rest, *taken, F.lit(mask_of(found)).alias("role_mask"))

@@ -19,13 +19,10 @@ def test_file_stages(spark):
                    "mz.txt": "dangerous_content", "elf.txt": "dangerous_content", "f.csv": "formula_injection"}
 
 
-def test_scan_limits(spark):
+def test_whole_files_are_scanned(spark):
     late = b"x," * 40000 + b"<script"
-    assert verdicts(spark, [("a.csv", late)]) == {"a.csv": "accepted"}
-    assert verdicts(spark, [("a.csv", late)], scan_bytes=None) == {"a.csv": "dangerous_content"}
     rows = b"1,2\n" * 60 + b"=A,=B\n" * 20
-    assert verdicts(spark, [("a.csv", rows)]) == {"a.csv": "accepted"}
-    assert verdicts(spark, [("a.csv", rows)], scan_bytes=None) == {"a.csv": "formula_injection"}
+    assert verdicts(spark, [("a.csv", late), ("b.csv", rows)]) == {"a.csv": "dangerous_content", "b.csv": "formula_injection"}
 
 
 @pytest.mark.parametrize("cell, bad", [("-20%", 0), ("+15.5", 0), ('"-1"', 0), ("(1200)", 0), ("£-1200.50", 0), ("=SUM(A1)", 1), ("@cmd", 1), ("-cmd", 1), ("- ", 1), ("", 0), ("x", 0)])
@@ -48,13 +45,13 @@ def test_masking(spark):
 
 
 def test_sanitise(spark):
-    df = spark.createDataFrame([(" ＜b＞ & 'q' \u2003",), (None,), ("x" * 3000,)], "t string").select(tx.sanitise(F.col("t")).alias("c"), tx.sanitise_raw(F.col("t"), "uuid").alias("r"))
+    df = spark.createDataFrame([(" ＜b＞ & 'q' \u2003",), (None,), ("x" * 3000,)], "t string").select(tx.page_text(F.col("t")).alias("c"), tx.too_long(tx.plain_text(F.col("t")), "uuid").alias("r"))
     a, b, c = df.collect()
-    assert a.c == "&lt;b&gt; &amp; &#x27;q&#x27;" and b.c == "" and len(c.c) == 2000 and len(c.r) == 36
+    assert a.c == "&lt;b&gt; &amp; &#x27;q&#x27;" and b.c == "" and len(c.c) == 3000 and c.r and not a.r
 
 
 def test_safe_filename(spark):
-    cases = {"../../etc/passwd": "passwd", "C:\\x\\y.csv": "y.csv", "a:b*?.txt": "a_b__.txt", "...hid": "hid", "": "upload", "a/": "upload", "n\x00ul.csv": "nul.csv", "x" * 300: "x" * 255}
+    cases = {"../../etc/passwd": "passwd", "C:\\x\\y.csv": "y.csv", "a:b*?.txt": "a_b__.txt", "...hid": "hid", "": "upload", "a/": "upload", "n\x00ul.csv": "nul.csv", "x" * 300: "x" * 300, "\x01.\x02..a": "a", "a/..": "upload", "x\ny/z\n": "z"}
     df = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("n", tx.safe_filename(F.col("t")))
     assert {r.t: r.n for r in df.collect()} == cases
 

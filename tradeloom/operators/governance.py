@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom.operators.alerts import top_per
@@ -26,7 +28,7 @@ OTHER_PLAN_LIMITS = (10, 5)
 PAID_PLANS = ["starter", "growth", "studio"]
 AUDIT_STATUSES = ["SUCCESS", "FAILURE", "BLOCKED"]
 DEFAULT_RETENTION_HOURS, MAX_RETENTION_HOURS, TRIAL_DAYS = 24, 8760, 14
-SECURITY_EVENTS_KEPT, RECENT_AUDIT_MAX = 50, 200
+SECURITY_EVENTS_KEPT = 50
 
 
 def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
@@ -207,10 +209,8 @@ def client_ip(forwarded: Column, proxy: Column, real: Column, remote: Column) ->
 
 
 def audit_records(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid audit rows, and rows whose status is outside the allowed set."""
-    cut = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n)
-    shaped = events.withColumn("user_agent", cut("user_agent", 500)).withColumn(
-        "resource", F.substring("resource", 1, 500)).withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
+    """Valid audit rows, and rows whose status is outside the allowed set. Values are kept whole."""
+    shaped = events.fillna({"user_agent": "", "metadata": "{}"})
     valid = F.coalesce(F.col("status").isin(AUDIT_STATUSES), F.lit(False))
     return shaped.where(valid), shaped.where(~valid)
 
@@ -219,9 +219,9 @@ BLOCKED = ["FAILURE", "BLOCKED"]
 
 
 def recent_audit(logs: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest records per company."""
+    """The newest ``limit`` records per company."""
     order = [F.desc("timestamp"), F.desc("log_id")]
-    return top_per(logs.where(F.col("company_id").isNotNull()), ["company_id"], order, min(limit, RECENT_AUDIT_MAX))
+    return top_per(logs.where(F.col("company_id").isNotNull()), ["company_id"], order, limit)
 
 
 def audit_security_events(logs: DataFrame) -> DataFrame:
@@ -331,32 +331,47 @@ def alias_of(value: Column, prefix: str = "VENDOR") -> Column:
                   F.concat(F.lit(prefix + "-"), F.upper(F.substring(F.sha2(text, 256), 1, 8))))
 
 
+def bare_name(column: str) -> str:
+    return re.sub("[_ ]", "", column.lower())
+
+
+#: What happens to a column whose bare name contains one of these.
+TREATMENTS = {bare_name(f): "alias" if f in ALIASED_FIELDS else "drop" for f in HIDDEN_FIELDS}
+
+
 def field_treatment(column: str) -> str:
-    """``keep``, ``alias`` or ``drop``, by substring of the bare column name."""
-    bare = column.lower().replace("_", "").replace(" ", "")
-    inside = lambda names: any(n.replace("_", "") in bare for n in names)
-    if not inside(HIDDEN_FIELDS):
-        return "keep"
-    return "alias" if inside(ALIASED_FIELDS) else "drop"
+    """``alias``, ``drop`` or ``keep``; one name that asks for an alias is enough."""
+    matched = {how for name, how in TREATMENTS.items() if name in bare_name(column)}
+    return next((how for how in ("alias", "drop") if how in matched), "keep")
 
 
 def mask_standard(items: DataFrame) -> DataFrame:
-    """Item table with sensitive columns aliased or dropped; decided from names alone."""
-    kept = []
-    for c in items.columns:
-        how = field_treatment(c)
-        if how != "drop":
-            kept.append(alias_of(F.col(f"`{c}`")).alias(c) if how == "alias" else F.col(f"`{c}`"))
-    return items.select(*kept)
+    """Item table with sensitive columns aliased or left out; decided from names alone."""
+    shown = {"keep": lambda c: F.col(f"`{c}`"), "alias": lambda c: alias_of(F.col(f"`{c}`")).alias(c)}
+    return items.select(*[shown[how](c) for c in items.columns if (how := field_treatment(c)) in shown])
 
 
 def mask_private(kpis: DataFrame, categories: DataFrame, reorder: DataFrame, markdown: DataFrame) -> DataFrame:
-    """Aggregates only: one row per category without its name, with the dataset's figures."""
-    size = lambda df, name: df.groupBy("dataset_id").agg(F.count("*").alias(name))
-    base = kpis.select("dataset_id", "total_revenue", "avg_sell_through", "avg_margin_pct", F.col("sku_count").alias("dataset_skus"))
-    base = base.join(size(reorder, "reorder_count"), "dataset_id", "left").join(
-        size(markdown, "markdown_count"), "dataset_id", "left").fillna(0, ["reorder_count", "markdown_count"])
+    """Aggregates only: all KPIs of a dataset, how many categories it has and alerts it lists,
+    and one row per category without its name. No row names a product, supplier or SKU."""
+    listed = lambda df, name: df.groupBy("dataset_id").agg(F.count("*").alias(name))
+    counts = [listed(categories, "category_count"), listed(reorder, "listed_reorders"), listed(markdown, "listed_markdowns")]
+    base = kpis.drop("role_mask")
+    for c in counts:
+        base = base.join(c, "dataset_id", "left")
+    base = base.fillna(0, ["category_count", "listed_reorders", "listed_markdowns"])
     cats = categories.select("dataset_id", "health", F.col("revenue").alias("category_revenue"),
                              F.col("avg_sell_through").alias("category_sell_through"),
                              F.col("avg_margin_pct").alias("category_margin_pct"), F.col("sku_count").alias("category_skus"))
     return base.join(cats, "dataset_id", "left")
+
+
+def private_datasets(datasets: DataFrame, companies: DataFrame) -> DataFrame:
+    """Datasets of the companies that chose private processing."""
+    private = companies.where(F.coalesce("private_processing_mode", F.lit(False))).select("company_id")
+    return datasets.join(private, "company_id", "left_semi").select("dataset_id")
+
+
+def outgoing_items(items: DataFrame, private: DataFrame) -> DataFrame:
+    """Rows of an item table that may leave: none of a private dataset, the others masked."""
+    return mask_standard(items.join(private, "dataset_id", "left_anti"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tradeloom.functions.money import fixed, grouped, pounds
 from tradeloom.functions.templates import render
 from tradeloom.operators.alerts import top_per
+from tradeloom.operators.governance import outgoing_items
 from tradeloom.operators.health import health_label, health_total, trading_verdict
 from tradeloom.operators.role_view import commercial_impact, executive_summary_text, opportunity_texts, risk_texts
 
@@ -99,12 +100,16 @@ BLOCK_ROWS, REPORT_ROWS, REPORT_CATEGORIES = 8, 5, 8
 
 
 def context_lines(kpis: DataFrame, best: DataFrame, reorder: DataFrame, markdown: DataFrame, categories: DataFrame,
-                  alerts: int = BLOCK_ROWS) -> DataFrame:
-    """Data block for an assistant as ordered JSON lines per dataset.
+                  private: DataFrame, alerts: int = BLOCK_ROWS) -> DataFrame:
+    """Data block for an assistant as ordered JSON lines per dataset. Of the datasets in
+    ``private`` only figures leave: no items, and categories without their names.
 
     One row per line, not one text per dataset, so a dataset with very many categories
     never becomes one oversized value.
     """
+    best, reorder, markdown = (outgoing_items(x, private) for x in (best, reorder, markdown))
+    hidden = categories.join(private.withColumn("_private", F.lit(True)), DS, "left")
+    categories = hidden.withColumn("category", F.when(F.col("_private").isNull(), F.col("category"))).drop("_private")
     line = lambda df, section, order: df.select(
         DS, F.lit(section).alias("section"), order.cast("double").alias("seq"),
         F.to_json(F.struct(*[c for c in df.columns if c not in (DS, "rank", "role_mask")])).alias("line"))
@@ -127,9 +132,12 @@ MARKDOWN_LINE = "{sku} ({category}): {st}% ST, {severity}"
 SELLER_LINE = "{sku}: {rev}, {st}% ST"
 
 
-def report_context(kpis: DataFrame, best: DataFrame, reorder: DataFrame, markdown: DataFrame, categories: DataFrame, trend: DataFrame) -> DataFrame:
-    """Data block of the trade report as text lines per dataset and section."""
+def report_context(kpis: DataFrame, best: DataFrame, reorder: DataFrame, markdown: DataFrame, categories: DataFrame, trend: DataFrame, private: DataFrame) -> DataFrame:
+    """Data block of the trade report as text lines per dataset and section; of the datasets in
+    ``private`` the summary alone."""
     f = F.col
+    best, reorder, markdown = (outgoing_items(x, private) for x in (best, reorder, markdown))
+    categories = categories.join(private, DS, "left_anti")
     known = lambda c, other: F.coalesce(f(c).cast("string"), F.lit(other))
     fields = {
         "rev": pounds(f("total_revenue")), "units": grouped(f("total_units")), "profit": pounds(f("gross_profit")), "mg": fixed(f("avg_margin_pct"), 1),

@@ -1,27 +1,24 @@
 """Development of a user's datasets over time.
 
-The catalogue of a user is cut to its newest 200 datasets first (a limit of the
-workspace itself), so the windows per user below never see a large group.
+Datasets of a user are numbered in slices, and each is joined with the one before by its
+number: no step needs all datasets of a user in one task, however many there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeloom.functions.money import fixed, gbp_compact, pounds, signed
 from tradeloom.functions.numbers import percent_of
 from tradeloom.functions.templates import render
 from tradeloom.operators.health import health_label, key_recommendation
+from tradeloom.operators.ordering import numbered
 from tradeloom.operators.rollup import week_order
 from tradeloom.operators.workspace import DS, catalogue, dataset_cards
 
 METRICS = {"Revenue": ("revenue", "£"), "Margin": ("margin", "%"), "Sell-Through": ("sell_through", "%"), "Health Score": ("health", "")}
 
 
-def in_time() -> "Window":
-    return Window.partitionBy("user_id").orderBy("date", DS)
-
-
 def timeline(datasets: DataFrame, kpis: DataFrame) -> DataFrame:
     """Non-trashed datasets per user, oldest first."""
     cards = dataset_cards(catalogue(datasets), kpis).where(~F.col("trashed"))
@@ -29,13 +26,13 @@ def timeline(datasets: DataFrame, kpis: DataFrame) -> DataFrame:
         "user_id", DS, F.col("display_name").alias("label"), F.col("upload_date").alias("date"), "revenue", "margin",
         "sell_through", F.col("health_score").alias("health"), F.col("record_count").alias("records"),
         key_recommendation(F.col("sell_through"), F.col("margin")).alias("key_rec"))
-    return points.withColumn("seq", F.row_number().over(in_time()))
+    return numbered(points, ["user_id"], [F.col("date"), F.col(DS)], "seq")
 
 
 def with_previous(points: DataFrame, columns: list[str]) -> DataFrame:
-    for c in columns:
-        points = points.withColumn(f"prev_{c}", F.lag(c).over(in_time()))
-    return points
+    """Points with figures of the dataset before as ``prev_``; only those figures are moved."""
+    before = points.select("user_id", (F.col("seq") + 1).alias("seq"), *[F.col(c).alias(f"prev_{c}") for c in columns])
+    return points.join(before, ["user_id", "seq"], "left")
 
 
 MOVING = [c for c, _ in METRICS.values()]
@@ -43,7 +40,8 @@ MOVING = [c for c, _ in METRICS.values()]
 
 def timeline_delta(points: DataFrame) -> DataFrame:
     """Moves of each dataset against the one before; ``is_latest`` marks the newest step."""
-    df = with_previous(points, MOVING).withColumn("is_latest", F.lead(DS).over(in_time()).isNull())
+    newest = points.groupBy("user_id").agg(F.max("seq").alias("newest"))
+    df = with_previous(points, MOVING).join(newest, "user_id").withColumn("is_latest", F.col("seq") == F.col("newest"))
     rows = []
     for name, (c, unit) in METRICS.items():
         cur, prev = F.col(c).cast("double"), F.col(f"prev_{c}").cast("double")
@@ -79,7 +77,7 @@ def risk_diff(points: DataFrame, risks: DataFrame) -> DataFrame:
 
     ``risks``: dataset_id and an array of three sentences.
     """
-    df = points.select("user_id", DS, "date").join(risks, DS).withColumn("prev", F.lag("risks").over(in_time()))
+    df = with_previous(points.select("user_id", DS, "seq").join(risks, DS), ["risks"]).withColumnRenamed("prev_risks", "prev")
     kinds = {"new": F.array_except("risks", "prev"), "resolved": F.array_except("prev", "risks"),
              "recurring": F.array_intersect("risks", "prev")}
 

@@ -11,7 +11,7 @@ from tradeloom.operators.health import health_total
 
 DS = "dataset_id"
 # Rows of a user's catalogue, of the upload list, and limits of an update.
-CATALOGUE_ROWS, RECENT_UPLOADS, NAME_LENGTH, TAG_LENGTH, TAGS_KEPT = 200, 20, 120, 32, 12
+RECENT_UPLOADS, NAME_LENGTH, TAG_LENGTH, TAGS_SHOWN = 20, 120, 32, 12
 
 NEWEST_FIRST = ["created_at", DS]
 
@@ -64,9 +64,9 @@ def stock_value_estimate() -> Column:
     return whole(F.col("total_revenue") * 0.5 / 12)
 
 
-def catalogue(datasets: DataFrame) -> DataFrame:
-    """The newest rows of each user that the workspace looks at."""
-    return top_per(datasets, ["user_id"], newest(), CATALOGUE_ROWS, "_n").drop("_n")
+def catalogue(datasets: DataFrame, rows: int | None = None) -> DataFrame:
+    """The datasets the workspace looks at: all, or the newest ``rows`` of each user."""
+    return datasets if rows is None else top_per(datasets, ["user_id"], newest(), rows, "_n").drop("_n")
 
 
 def dataset_cards(datasets: DataFrame, kpis: DataFrame) -> DataFrame:
@@ -121,9 +121,15 @@ def tag_cloud(cards: DataFrame) -> DataFrame:
 
 
 def clean_tags(tags: Column) -> Column:
-    """Trimmed, non-blank, at most 32 characters each and 12 in all."""
-    trimmed = F.transform(F.filter(tags, lambda t: F.trim(t) != ""), lambda t: F.substring(F.trim(t), 1, TAG_LENGTH))
-    return F.slice(trimmed, 1, TAGS_KEPT)
+    """Trimmed and non-blank; all of them, whole."""
+    return F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")
+
+
+def over_limits(display_name: Column, tags: Column) -> Column:
+    """Which limits of the workspace's forms a change exceeds; it is applied whole all the same."""
+    return F.array_compact(F.array(
+        F.when(F.char_length(F.trim(display_name)) > NAME_LENGTH, "name_too_long"), F.when(F.size(clean_tags(tags)) > TAGS_SHOWN, "too_many_tags"),
+        F.when(F.exists(clean_tags(tags), lambda t: F.char_length(t) > TAG_LENGTH), "tag_too_long")))
 
 
 def workspace_update(datasets: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
@@ -132,7 +138,7 @@ def workspace_update(datasets: DataFrame, changes: DataFrame, now: Column) -> Da
     ``changes``: dataset_id, user_id, ts, display_name, tags, archived, trashed (NULL = untouched).
     Only changes by the owner apply.
     """
-    name = F.substring(F.nullif(F.trim(F.col("display_name")), F.lit("")), 1, NAME_LENGTH)
+    name = F.nullif(F.trim(F.col("display_name")), F.lit(""))
     wanted = changes.select(DS, "user_id", "ts", name.alias("display_name"), clean_tags(F.col("tags")).alias("tags"), "archived", "trashed")
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"new_{c}")
     fields = ("display_name", "tags", "archived", "trashed")

@@ -171,6 +171,7 @@ CTES["companies"] = """
   SELECT cast(n_nationkey as varchar) AS company_id, n_name AS name, 'trial' AS plan,
     nullif(24 * (n_nationkey % 4), 0) AS retention_hours, n_nationkey % 3 = 0 AS private_processing_mode FROM nation"""
 
+CTES["private_sets"] = "SELECT dataset_id AS pd FROM datasets d JOIN companies c ON c.company_id = d.company_id WHERE private_processing_mode"
 CTES["profiles"] = f"""
   SELECT cast(c_custkey as varchar) AS user_id, lower(replace(c_name, '#', '.')) || '@' || lower(c_mktsegment) || '.example.com' AS email,
     c_name AS full_name, ['trial', 'starter', 'growth', 'studio', 'legacy'][c_custkey % 5 + 1] AS plan,

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.operators import alerts, compare, role_view, rollup, timeline
+from tradeloom.operators import alerts, compare, governance, role_view, rollup, timeline
 from tradeloom.sources import testtables
 from tradeloom.staging import staged
 
@@ -39,7 +39,10 @@ class AnalysisBook:
 
     @cached_property
     def datasets(self) -> DataFrame:
-        return staged(self._catalogue(self.kpis if "kpis" in self.__dict__ else self.lines), "datasets")
+        return staged(self._catalogue(self.lines), "datasets")
+
+    def private_datasets(self, companies: DataFrame) -> DataFrame:
+        return staged(governance.private_datasets(self.datasets, companies), "private")
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -283,8 +283,8 @@ def _(spark, d):
 
 # Every dataset is changed twice; owners rename, tag, archive; changes of strangers are ignored.
 @register("workspace_update", f"""
-SELECT dataset_id, coalesce(case when y % 4 = 0 then substr('Renamed ' || repeat('x', 130), 1, 120) when y % 4 = 1 then 'Plan B' end, display_name) AS display_name,
-  case when y % 2 = 1 then 'late,' || substr(repeat('t', 40), 1, 32) else array_to_string(tags, ',') end AS tags, case when y % 3 = 0 then true else archived end AS archived, trashed,
+SELECT dataset_id, coalesce(case when y % 4 = 0 then 'Renamed ' || repeat('x', 130) when y % 4 = 1 then 'Plan B' end, display_name) AS display_name,
+  case when y % 2 = 1 then 'late,' || repeat('t', 40) else array_to_string(tags, ',') end AS tags, case when y % 3 = 0 then true else archived end AS archived, trashed,
   '2024-01-15 00:00:00' AS updated_at FROM (SELECT *, year(created_at) AS y FROM datasets)""")
 def _(spark, d):
     data = book(spark, d).datasets

@@ -10,7 +10,7 @@ from tradeloom.functions.templates import ACTION_TEXTS, TEXT_FIELDS
 from tradeloom.operators import actions, category, reports, role_view, timeline
 from tradeloom.plans.book import STORED, AnalysisBook
 from tradeloom.plans.registry import CTES, compact, fixed, grouped, pounds, register, text, whole
-from tradeloom.sources import publish
+from tradeloom.sources import publish, testtables as tt
 from tradeloom.staging import scratch
 
 book = AnalysisBook.of_test_tables
@@ -414,10 +414,22 @@ def _(spark, d):
     return reports.trade_report(book(spark, d).heads)
 
 
-@register("assistant_context")
+CONTEXT = ["SELECT dataset_id, 'kpis' AS section, cast(1 as double) AS seq, NULL AS sku, NULL AS category, total_revenue AS revenue, cast(sku_count as double) AS skus FROM kpis"] + [
+    f"SELECT dataset_id, '{k}', cast(rank as double), sku, {c}, {r}, NULL FROM {t} WHERE rank <= 8 AND dataset_id NOT IN (SELECT pd FROM private_sets)"
+    for k, t, c, r in (("top_reorders", "reorder", "category", "NULL"), ("top_markdown_risk", "markdown", "category", "NULL"), ("best_sellers", "best", "NULL", "revenue"))] + [
+    "SELECT dataset_id, 'categories', -revenue, NULL, case when pd IS NULL then category end, revenue, cast(sku_count as double) FROM cats LEFT JOIN private_sets ON pd = dataset_id"]
+
+
+@register("assistant_context", " UNION ALL ".join(CONTEXT))
 def _(spark, d):
+    """Fields read back from every JSON line."""
     b = book(spark, d).prepare(*STORED)
-    return reports.context_lines(b.kpis, b.best_sellers, b.reorder_alerts, b.markdown_risk, b.categories)
+    lines = reports.context_lines(b.kpis, b.best_sellers, b.reorder_alerts, b.markdown_risk, b.categories, b.private_datasets(tt.companies(spark, d)))
+    field = lambda name, kind="string": F.get_json_object("line", f"$.{name}").cast(kind)
+    section = F.col("section")
+    return lines.select(
+        "dataset_id", "section", "seq", field("sku").alias("sku"), F.when(section != "best_sellers", field("category")).alias("category"),
+        F.when(section == "kpis", field("total_revenue", "double")).when(section.isin("best_sellers", "categories"), field("revenue", "double")).alias("revenue"), field("sku_count", "double").alias("skus"))
 
 
 LINE_FIELDS = {"rev": pounds("total_revenue"), "units": grouped("total_units"), "profit": pounds("gross_profit"), "mg": fixed("avg_margin_pct", 1), "st": fixed("avg_sell_through", 1),
@@ -427,17 +439,17 @@ CTES["trends"] = """SELECT dataset_id AS td, case when n >= 2 and l > f then 'im
     FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY week DESC) AS r FROM weekly) WHERE r <= 6 GROUP BY 1)"""
 LINES = [f"SELECT dataset_id, 'summary' AS section, {i + 1} AS pos, {text(t, **LINE_FIELDS)} AS line FROM kpis JOIN trends ON td = dataset_id" for i, t in enumerate(reports.REPORT_LINES)] + [
     f"""SELECT dataset_id, 'categories', pos, {text(reports.CATEGORY_LINE, category='category', rev=pounds('revenue'), st='avg_sell_through', mg='avg_margin_pct', health='health')}
-      FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY revenue DESC, category) AS pos FROM cats) WHERE pos <= 8""",
-    f"SELECT dataset_id, 'reorders', rank, {text(reports.REORDER_LINE, sku='sku', category='category', urgency='urgency', cover='cover_weeks', st='sell_through')} FROM reorder WHERE rank <= 5",
-    f"SELECT dataset_id, 'markdowns', rank, {text(reports.MARKDOWN_LINE, sku='sku', category='category', st='sell_through', severity='severity')} FROM markdown WHERE rank <= 5",
-    f"SELECT dataset_id, 'sellers', rank, {text(reports.SELLER_LINE, sku='sku', rev=pounds('revenue'), st='sell_through')} FROM best WHERE rank <= 5",
+      FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY revenue DESC, category) AS pos FROM cats) WHERE pos <= 8 AND dataset_id NOT IN (SELECT pd FROM private_sets)""",
+    f"SELECT dataset_id, 'reorders', rank, {text(reports.REORDER_LINE, sku='sku', category='category', urgency='urgency', cover='cover_weeks', st='sell_through')} FROM reorder WHERE rank <= 5 AND dataset_id NOT IN (SELECT pd FROM private_sets)",
+    f"SELECT dataset_id, 'markdowns', rank, {text(reports.MARKDOWN_LINE, sku='sku', category='category', st='sell_through', severity='severity')} FROM markdown WHERE rank <= 5 AND dataset_id NOT IN (SELECT pd FROM private_sets)",
+    f"SELECT dataset_id, 'sellers', rank, {text(reports.SELLER_LINE, sku='sku', rev=pounds('revenue'), st='sell_through')} FROM best WHERE rank <= 5 AND dataset_id NOT IN (SELECT pd FROM private_sets)",
 ]
 
 
 @register("report_context", " UNION ALL ".join(LINES))
 def _(spark, d):
     b = book(spark, d).prepare(*STORED, "weekly")
-    return reports.report_context(b.kpis, b.best_sellers, b.reorder_alerts, b.markdown_risk, b.categories, role_view.trend_direction(b.weekly))
+    return reports.report_context(b.kpis, b.best_sellers, b.reorder_alerts, b.markdown_risk, b.categories, role_view.trend_direction(b.weekly), b.private_datasets(tt.companies(spark, d)))
 
 
 CENTRE_MEMORY = """(SELECT dataset_id AS sd, coalesce(string_agg(text, '; ' ORDER BY text) FILTER (outcome = 'improved'), '') AS improved,

@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.common import NO_WORD, as_bytes, mix, slices
+from tradeloom.llm.common import NO_WORD, as_bytes, mix, slices, small
 from tradeloom.llm.components import components
 from tradeloom.staging import staged
 
@@ -133,8 +133,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, bands: int, rows:
 
 
 def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """The sets of one document of every node of ``members`` (node, cluster, n_blocks, copies, rep, h1, h2)."""
+    """The sets of one document of every node of ``members`` (node, cluster, n_blocks, copies, rep, h1, h2).
+
+    Texts of other documents aren't shuffled as long as the wanted ids are few enough to broadcast."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    wanted = small(members.select("rep"), 2_000_000)
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     rows = texts.join(members, F.col("id").eqNullSafe(F.col("rep"))).select("text", "h1", "h2", "node", "cluster", "n_blocks", "copies")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

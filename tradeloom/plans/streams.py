@@ -46,27 +46,80 @@ def _(spark, d):
     return billing.billing_dedup(events, done).select(*BILL.split(", "))
 
 
+def delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Billing events as a stream of files, a batch each: what arrives twice does so in another
+    batch, and every third event arrives long after newer ones."""
+    path = scratch(spark, "deliveries")
+    events = tt.billing_events(tt.table(spark, d, "events"))
+    part = F.when(F.col("delivery") > 1, 2).otherwise(F.when(F.pmod(F.xxhash64("id"), F.lit(3)) == 0, 1).otherwise(0))
+    for i in range(3):
+        events.where(part == i).coalesce(1).write.parquet(f"{path}/part={i}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+def run_batches(stream: DataFrame, step, folder: str) -> None:
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 @register("billing_dedup_stream", f"SELECT {BILL} FROM first_billing")
 def _(spark, d):
-    return drained(billing.billing_dedup_stream(tt.billing_events(events_stream(spark, d))), "dedup").select(*BILL.split(", "))
+    folder, stream = scratch(spark, "dedup"), delivered(spark, d)
+    dedup = billing.DurableDedup(folder)
+    run_batches(stream, dedup, folder)
+    return dedup.rows(spark, stream.schema).select(*BILL.split(", "))
+
+
+@register("billing_from_messages", f"SELECT id, type, customer, status, cast(epoch_us(ts) // 1000000 as bigint) AS created FROM first_billing")
+def _(spark, d):
+    """The same events as JSON messages of a queue."""
+    e = billing.billing_dedup(tt.billing_events(tt.table(spark, d, "events")))
+    obj = F.struct("customer", "status")
+    body = F.to_json(F.struct("id", "type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"), F.struct(obj.alias("object")).alias("data")))
+    rows = billing.billing_from_messages(e.select(body.cast("binary").alias("value")))
+    return rows.select("id", "type", "customer", "status", F.unix_seconds("ts").alias("created"))
 
 
 PLAN = "case price_id when 'price_starter' then 'starter' when 'price_growth' then 'growth' when 'price_studio' then 'studio' else 'starter' end"
-CTES["fold_profiles"] = "SELECT DISTINCT cast(user_id as varchar) AS user_id, 'user.' || user_id || '@example.com' AS email, 'trial' AS plan FROM events"
-CTES["bought"] = f"""SELECT coalesce(reference_id, p.user_id) AS user_id, id, ts, customer, {PLAN} AS plan FROM first_billing b LEFT JOIN fold_profiles p ON p.email = lower(b.email)
+# Every fifth user has bought in an earlier run: a stored customer and no checkout now.
+CTES["fold_profiles"] = """SELECT DISTINCT cast(user_id as varchar) AS user_id, 'user.' || user_id || '@example.com' AS email, case when user_id % 5 = 0 then 'growth' else 'trial' end AS plan,
+  case when user_id % 5 = 0 then 'cus_' || user_id end AS customer FROM events"""
+CTES["fold_billing"] = "SELECT * FROM first_billing WHERE type <> 'checkout.session.completed' OR cast(substr(customer, 5) as bigint) % 5 <> 0"
+CTES["bought"] = f"""SELECT coalesce(reference_id, p.user_id) AS user_id, id, ts, b.customer, {PLAN} AS plan FROM fold_billing b LEFT JOIN fold_profiles p ON p.email = lower(b.email)
   WHERE type = 'checkout.session.completed'"""
 CTES["subscribed"] = f"""SELECT customer, ts, id, case when type = 'customer.subscription.deleted' or status = 'canceled' then 'trial' else {PLAN} end AS plan
-  FROM first_billing WHERE type <> 'checkout.session.completed'"""
+  FROM fold_billing WHERE type <> 'checkout.session.completed'"""
+
+
+FOLDED = """
+SELECT p.user_id, case when c.user_id IS NULL then p.customer else c.customer end AS customer,
+  coalesce((SELECT arg_max(s.plan, s.ts) FROM subscribed s WHERE s.customer = case when c.user_id IS NULL then p.customer else c.customer end AND (c.ts IS NULL OR s.ts > c.ts)), c.plan, p.plan) AS plan
+FROM fold_profiles p LEFT JOIN (SELECT user_id, arg_max(customer, ts) AS customer, arg_max(plan, ts) AS plan, max(ts) AS ts FROM bought GROUP BY 1) c ON c.user_id = p.user_id"""
+
+
+def fold_profiles(spark: SparkSession, d: str) -> DataFrame:
+    known, name = F.col("user_id") % 5 == 0, F.col("user_id").cast("string")
+    return tt.table(spark, d, "events").select("user_id").distinct().select(
+        name.alias("user_id"), F.concat(F.lit("user."), name, F.lit("@example.com")).alias("email"), F.when(known, "growth").otherwise("trial").alias("plan"),
+        F.when(known, F.concat(F.lit("cus_"), name)).alias("customer"))
+
+
+def without_known_checkouts(events: DataFrame) -> DataFrame:
+    return events.where((F.col("type") != billing.CHECKOUT) | (F.substring("customer", 5, 20).cast("bigint") % 5 != 0))
+
+
+@register("plan_fold", FOLDED)
+def _(spark, d):
+    events = billing.billing_dedup(tt.billing_events(tt.table(spark, d, "events")))
+    return billing.plan_fold(without_known_checkouts(events), fold_profiles(spark, d))
 
 
-@register("plan_fold", """
-SELECT p.user_id, c.customer, coalesce((SELECT arg_max(s.plan, s.ts) FROM subscribed s WHERE s.customer = c.customer AND s.ts > c.ts), c.plan, p.plan) AS plan
-FROM fold_profiles p LEFT JOIN (SELECT user_id, arg_max(customer, ts) AS customer, arg_max(plan, ts) AS plan, max(ts) AS ts FROM bought GROUP BY 1) c ON c.user_id = p.user_id""")
+@register("plan_fold_stream", FOLDED)
 def _(spark, d):
-    events = tt.table(spark, d, "events")
-    people = events.select("user_id").distinct().select(
-        F.col("user_id").cast("string").alias("user_id"), F.concat(F.lit("user."), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"), F.lit("trial").alias("plan"))
-    return billing.plan_fold(billing.billing_dedup(tt.billing_events(events)), people)
+    """The same over batches that arrive late, out of order and twice."""
+    folder = scratch(spark, "plans")
+    fold = billing.PlanFold(folder, staged(fold_profiles(spark, d), "profiles"))
+    run_batches(without_known_checkouts(delivered(spark, d)), fold, folder)
+    return fold.plans(spark)
 
 
 @register("scan_billing_events", "SELECT id, type, customer, price_id, reference_id, email, status, cast(epoch_us(ts) // 1000000 as bigint) AS created FROM billing")

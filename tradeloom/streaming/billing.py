@@ -42,8 +42,28 @@ def billing_dedup(events: DataFrame, processed: DataFrame | None = None) -> Data
     return fresh.groupBy("id").agg(F.min_by(F.struct(*rest), key).alias("e")).select("id", "e.*")
 
 
-def billing_dedup_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+class DurableDedup:
+    """foreachBatch writer that appends each event id once, however late it is delivered again.
+
+    Batch n writes ``rows/batch=n`` and compares with the batches before it, so a replayed
+    batch rewrites its own folder and gives the same rows. An event counts as processed only
+    when its rows are written: one whose batch failed is taken again.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        before = [self.batch(i) for i in range(number)]
+        done = batch.sparkSession.read.schema(batch.schema).parquet(*before) if before else None
+        billing_dedup(batch, done).select(*batch.columns).write.mode("overwrite").parquet(self.batch(number))
+
+    def batch(self, number: int) -> str:
+        return f"{self.folder}/rows/batch={number}"
+
+    def rows(self, spark: SparkSession, schema) -> DataFrame:
+        """All events processed so far."""
+        return spark.read.schema(schema).parquet(f"{self.folder}/rows")
 
 
 def plan_of(price: Column) -> Column:
@@ -53,28 +73,75 @@ def plan_of(price: Column) -> Column:
     return rule
 
 
+LATEST = ("ts", "id")
+
+
+def latest_of(rows: DataFrame, key: str) -> DataFrame:
+    """The newest row of each key; partial results combine before the shuffle."""
+    kept = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct(*LATEST)).alias("r")).select(key, "r.*")
+
+
+def checkouts(events: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Last checkout of each profile, found by its id, else by e-mail."""
+    bought = events.where(F.col("type") == CHECKOUT).select(
+        *LATEST, "customer", F.nullif("reference_id", F.lit("")).alias("reference_id"), F.lower("email").alias("email"), plan_of(F.col("price_id")).alias("plan"))
+    by_id = bought.where(F.col("reference_id").isNotNull()).select(F.col("reference_id").alias("user_id"), *LATEST, "customer", "plan")
+    people = profiles.select("email", "user_id")
+    by_mail = bought.where(F.col("reference_id").isNull()).join(people, "email").select("user_id", *LATEST, "customer", "plan")
+    return latest_of(by_id.unionByName(by_mail), "user_id")
+
+
+def subscriptions(events: DataFrame) -> DataFrame:
+    """Newest subscription event of each customer."""
+    ended = (F.col("type") == DELETED) | (F.col("status") == "canceled")
+    moved = events.where(F.col("type").isin(UPDATED, DELETED)).select("customer", *LATEST, F.when(ended, "trial").otherwise(plan_of(F.col("price_id"))).alias("plan"))
+    return latest_of(moved, "customer")
+
+
+def current_plans(profiles: DataFrame, bought: DataFrame, moved: DataFrame) -> DataFrame:
+    """user_id, plan and customer. A checkout replaces what is stored; the customer's newest
+    subscription event counts if it is later than the checkout, and always for a customer
+    known from earlier runs."""
+    stored = profiles.select("user_id", F.col("plan").alias("old_plan"), (F.col("customer") if "customer" in profiles.columns else F.lit(None).cast("string")).alias("old_customer"))
+    last = bought.select("user_id", F.struct("ts", "customer", "plan").alias("c"))
+    newest = moved.select("customer", F.struct("ts", "plan").alias("s"))
+    held = stored.join(last, "user_id", "left").withColumn("customer", F.when(F.col("c").isNotNull(), F.col("c.customer")).otherwise(F.col("old_customer")))
+    later = F.col("s").isNotNull() & (F.col("c").isNull() | (F.col("s.ts") > F.col("c.ts")))
+    return held.join(newest, "customer", "left").select("user_id", F.when(later, F.col("s.plan")).otherwise(F.coalesce("c.plan", "old_plan")).alias("plan"), "customer")
+
+
 def plan_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Current plan per profile after all events.
+    """Current plan per profile after all events; ``profiles`` may hold a stored ``customer``."""
+    return current_plans(profiles, checkouts(events, profiles), subscriptions(events))
+
+
+class PlanFold:
+    """foreachBatch writer that folds billing events across batches.
 
-    The last checkout of a profile overrides everything before it, and of the later
-    subscription events of that customer only the newest counts. Both are one aggregate
-    per key, so a customer with very many events is reduced map-side.
+    What is kept is the last checkout per profile and the newest subscription event per
+    customer. Both merge in any order and any number of times, so late, repeated and replayed
+    events give what a batch over all of them gives. Batch n writes version n from n - 1.
     """
-    latest = F.struct("ts", "id")
-    bought = events.where(F.col("type") == CHECKOUT).select(
-        "id", "ts", "customer", F.nullif("reference_id", F.lit("")).alias("reference_id"),
-        F.lower("email").alias("email"), plan_of(F.col("price_id")).alias("plan"))
-    by_mail = profiles.select(F.col("email"), F.col("user_id").alias("mail_user"))
-    owners = bought.where(F.col("reference_id").isNotNull()).select(F.col("reference_id").alias("user_id"), "id", "ts", "customer", "plan").unionByName(
-        bought.where(F.col("reference_id").isNull()).join(by_mail, "email").select(F.col("mail_user").alias("user_id"), "id", "ts", "customer", "plan"))
-    checkout = owners.groupBy("user_id").agg(F.max_by(F.struct("ts", "customer", "plan"), latest).alias("c"))
-    subscription = events.where(F.col("type").isin(UPDATED, DELETED)).withColumn(
-        "plan", F.when((F.col("type") == DELETED) | (F.col("status") == "canceled"), "trial").otherwise(plan_of(F.col("price_id"))))
-    newest = subscription.groupBy("customer").agg(F.max_by(F.struct("ts", "plan"), latest).alias("s"))
-    joined = profiles.select("user_id", F.col("plan").alias("old_plan")).join(checkout, "user_id", "left").withColumn(
-        "customer", F.col("c.customer")).join(newest, "customer", "left")
-    plan = F.when(F.col("s.ts") > F.col("c.ts"), F.col("s.plan")).otherwise(F.coalesce("c.plan", "old_plan"))
-    return joined.select("user_id", plan.alias("plan"), "customer")
+
+    def __init__(self, folder: str, profiles: DataFrame):
+        self.folder, self.profiles, self.version = folder, profiles, -1
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        for name, key, fresh in (("checkouts", "user_id", checkouts(batch, self.profiles)), ("subscriptions", "customer", subscriptions(batch))):
+            if number:
+                fresh = latest_of(fresh.unionByName(batch.sparkSession.read.schema(fresh.schema).parquet(f"{self.folder}/{name}/{number - 1}")), key)
+            fresh.write.mode("overwrite").parquet(f"{self.folder}/{name}/{number}")
+        self.version = number
+
+    def plans(self, spark: SparkSession) -> DataFrame:
+        """Current plans after the last batch."""
+        read = lambda name: spark.read.parquet(f"{self.folder}/{name}/{self.version}")
+        return current_plans(self.profiles, read("checkouts"), read("subscriptions")) if self.version >= 0 else current_plans_unchanged(self.profiles)
+
+
+def current_plans_unchanged(profiles: DataFrame) -> DataFrame:
+    return profiles.select("user_id", "plan", (F.col("customer") if "customer" in profiles.columns else F.lit(None).cast("string")).alias("customer"))
 
 
 def billing_sink(target: str):

@@ -31,6 +31,11 @@ DEFAULT_RETENTION_HOURS, MAX_RETENTION_HOURS, TRIAL_DAYS = 24, 8760, 14
 SECURITY_EVENTS_KEPT = 50
 
 
+def valid_role(text: Column) -> Column:
+    """Whether a text names a role, spaces around it aside."""
+    return F.coalesce(F.trim(text).isin(list(ROLE_LEVELS)), F.lit(False))
+
+
 def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """Small constant table built inside the plan."""
     structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]

@@ -454,6 +454,26 @@ def _(spark, d):
     return tt.table(spark, d, "documents").select("doc_id", (back == t).alias("same"), F.length(blob).cast("bigint").alias("blob_bytes"), crypto.sha256_hex(t).alias("digest"))
 
 
+@register("encrypt_json", "SELECT doc_id, lang, source, n_chars, true AS hidden FROM documents")
+def _(spark, d):
+    """Round trip of three fields as one encrypted JSON value."""
+    key = F.unhex(F.sha2(F.lit("check key"), 256))
+    blob = crypto.encrypt_json(F.struct("lang", "source", "n_chars"), key)
+    rows = tt.table(spark, d, "documents").withColumn("blob", blob)
+    back = crypto.decrypt_json(F.col("blob"), key, "lang string, source string, n_chars bigint")
+    return rows.select("doc_id", back.alias("b"), (~F.contains("blob", F.lit("source"))).alias("hidden")).select("doc_id", "b.*", "hidden")
+
+
+@register("validate_role", """
+SELECT user_id, asked IN ('MA', 'AM', 'Merchandiser', 'Director', 'Admin') AS ok FROM (
+  SELECT user_id, CASE cast(user_id as bigint) % 4 WHEN 0 THEN role WHEN 1 THEN lower(role) WHEN 2 THEN ' ' || role || ' ' ELSE 'Owner' END AS given,
+    CASE cast(user_id as bigint) % 4 WHEN 0 THEN role WHEN 1 THEN lower(role) WHEN 2 THEN role ELSE 'Owner' END AS asked FROM profiles)""")
+def _(spark, d):
+    n = F.col("user_id").cast("bigint") % 4
+    given = F.when(n == 0, F.col("role")).when(n == 1, F.lower("role")).when(n == 2, F.concat(F.lit(" "), "role", F.lit(" "))).otherwise("Owner")
+    return tt.profiles(spark, d).select("user_id", gov.valid_role(given).alias("ok"))
+
+
 @register("pick_best_table", """
 SELECT dataset_id, position, score FROM (SELECT dataset_id, position, score, row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, position) AS r FROM (
   SELECT cast(l_orderkey as varchar) AS dataset_id, l_linenumber * 100000000 + l_partkey AS position, max([2, 3, 1, 0][l_partkey % 4 + 1]) AS score FROM lineitem GROUP BY 1, 2)) WHERE r = 1""")

@@ -158,7 +158,7 @@ def _(spark, d):
     return lockout.lockout_batch(tt.auth_attempts(tt.table(spark, d, "events")), TWO_DAYS).selectExpr(*LOCK_COLS)
 
 
-@register("login_lockout_stream", LOCK_SQL)
+@register("login_lockout_stream", f"""SELECT * FROM ({LOCK_SQL}) WHERE attempt_id IN (SELECT attempt_id FROM attempts WHERE ts < (SELECT max(ts) - to_minutes(10) FROM attempts))""")
 def _(spark, d):
     return drained(lockout.lockout_stream(tt.auth_attempts(events_stream(spark, d)), TWO_DAYS), "lockout").selectExpr(*LOCK_COLS)
 

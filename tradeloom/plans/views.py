@@ -511,25 +511,35 @@ export("export_reorder_alerts", "Reorder Alerts", "reorder", lambda b: b.reorder
 export("export_markdown_risk", "Markdown Risk", "markdown", lambda b: b.markdown_risk)
 
 
-@register("export_tables", """
-SELECT 'Summary' AS sheet, 10 * count(*) AS n FROM kpis UNION ALL SELECT 'Categories', count(*) FROM cats UNION ALL SELECT 'Best Sellers', count(*) FROM best
-UNION ALL SELECT 'Reorder Alerts', count(*) FROM reorder UNION ALL SELECT 'Markdown Risk', count(*) FROM markdown""")
+SHEETS_BACK = {"Categories": ("cats", "category"), "Best Sellers": ("best", "sku"), "Reorder Alerts": ("reorder", "sku"), "Markdown Risk": ("markdown", "sku")}
+
+
+@register("export_tables", " UNION ALL ".join(
+    ["SELECT dataset_id, 'Summary' AS sheet, metric AS key, value FROM (" + " UNION ALL ".join(f"SELECT dataset_id, '{m}' AS metric, {v} AS value FROM kpis" for m, v in SUMMARY) + ")"]
+    + [f"SELECT dataset_id, '{k}', cast({c} as varchar), NULL FROM {t}" for k, (t, c) in SHEETS_BACK.items()]))
 def _(spark, d):
-    """Write the five export tables, then count the rows of each."""
+    """Write the five export tables, then read their rows back."""
     path = scratch(spark, "export")
     publish.export_tables(book(spark, d).prepare(*STORED).tables(), path)
-    sheets = ["Summary", *publish.EXPORT_COLUMNS]
-    return reduce(DataFrame.unionByName, [spark.read.csv(f"{path}/{s}", header=True).agg(F.count("*").alias("n")).select(F.lit(s).alias("sheet"), "n") for s in sheets])
+    read = lambda sheet: spark.read.csv(f"{path}/{sheet}", header=True)
+    back = [read("Summary").select("dataset_id", F.lit("Summary").alias("sheet"), F.col("metric").alias("key"), "value")]
+    for sheet, (_, column) in SHEETS_BACK.items():
+        label = publish.EXPORT_COLUMNS[sheet][column]
+        back.append(read(sheet).select("dataset_id", F.lit(sheet).alias("sheet"), F.col(f"`{label}`").alias("key"), F.lit(None).cast("string").alias("value")))
+    return reduce(DataFrame.unionByName, back)
+
+
+PUBLISHED = {"sku_rollup": ("sku_rollup", "sku", "revenue"), "kpis": ("kpis", "NULL", "total_revenue"), "best_sellers": ("best", "sku", "revenue"), "reorder_alerts": ("reorder", "sku", "cover_weeks"),
+             "markdown_risk": ("markdown", "sku", "sell_through"), "category_scorecard": ("cats", "category", "revenue"), "weekly_trend": ("weekly", "week", "revenue"),
+             "channel_split": ("(SELECT dataset_id, channel, round(sum(revenue), 2) AS revenue FROM trading_lines GROUP BY 1, 2)", "channel", "revenue")}
 
 
-@register("publish_analysis", """
-SELECT 'sku_rollup' AS table_name, count(*) AS n FROM sku_rollup UNION ALL SELECT 'kpis', count(*) FROM kpis UNION ALL SELECT 'best_sellers', count(*) FROM best
-UNION ALL SELECT 'reorder_alerts', count(*) FROM reorder UNION ALL SELECT 'markdown_risk', count(*) FROM markdown UNION ALL SELECT 'category_scorecard', count(*) FROM cats
-UNION ALL SELECT 'weekly_trend', count(*) FROM weekly UNION ALL SELECT 'channel_split', count(DISTINCT (dataset_id, channel)) FROM trading_lines""")
+@register("publish_analysis", " UNION ALL ".join(
+    f"SELECT '{k}' AS table_name, dataset_id, cast({c} as varchar) AS key, round(cast({v} as double), 4) AS amount FROM {t}" for k, (t, c, v) in PUBLISHED.items()))
 def _(spark, d):
-    """Publish all tables, then count what was written."""
+    """Publish all tables, then read their rows back."""
     path = scratch(spark, "published")
-    tables = book(spark, d).prepare(*STORED, "weekly").tables()
-    publish.publish_analysis(tables, path)
-    counts = [spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n in tables]
-    return reduce(DataFrame.unionByName, counts)
+    publish.publish_analysis(book(spark, d).prepare(*STORED, "weekly").tables(), path)
+    key = lambda c: F.lit(None).cast("string") if c == "NULL" else F.col(c).cast("string")
+    back = [spark.read.parquet(f"{path}/{k}").select(F.lit(k).alias("table_name"), "dataset_id", key(c).alias("key"), F.round(F.col(v).cast("double"), 4).alias("amount")) for k, (_, c, v) in PUBLISHED.items()]
+    return reduce(DataFrame.unionByName, back)

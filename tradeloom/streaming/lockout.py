@@ -120,8 +120,10 @@ def outcomes(entry: dict, lock_us: int):
 def lockout_stream(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, late: str = "10 minutes") -> DataFrame:
     """The same outcomes over a stream of attempts, one small state per account.
 
-    An event-time timer drops the state of an account once a lock and the decay of its
-    counter have both passed in silence.
+    Attempts wait in the state until the watermark has passed them and are then walked in
+    order, so one that arrives a batch late, but within ``late``, is judged in its place. An
+    account's state is dropped once a lock and the decay of its counter have both passed in
+    silence.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -131,23 +133,33 @@ def lockout_stream(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, late:
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.state = handle.getValueState("lock", "fails bigint, last bigint, until bigint")
+            self.waiting = handle.getListState("attempts", "ts_us bigint, attempt_id bigint, success boolean")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            for pdf in rows:
+                self.waiting.appendList([(int(t), int(i), bool(s)) for t, i, s in zip(pdf["ts_us"], pdf["attempt_id"], pdf["success"])])
+                self.handle.registerTimer(int(pdf["ts_us"].min()) // 1000 + 1)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+            ready, rest = [x for x in held if x[0] < passed], [x for x in held if x[0] >= passed]
             entry = tuple(int(v) for v in self.state.get()) if self.state.exists() else CLEAR
-            done, state = walk(in_order(pd.concat(list(rows))), entry, lock_us)
-            if state == CLEAR:
+            if ready:
+                rows = pd.DataFrame(ready, columns=["ts_us", "attempt_id", "success"]).assign(account=key[0])
+                done, entry = walk(rows, entry, lock_us)
+                yield pd.DataFrame(done, columns=["account", "ts_us", "attempt_id", "status", "fails", "locked", "delay"])
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            elif held:
+                self.waiting.clear()
+            if entry == CLEAR or not rest and entry[1] + 2 * lock_us < passed:
                 self.state.clear()
             else:
-                self.state.update(state)
-                self.handle.registerTimer((state[1] + 2 * lock_us) // 1000)
-            yield pd.DataFrame(done, columns=["account", "ts_us", "attempt_id", "status", "fails", "locked", "delay"])
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.state.exists():
-                last = int(self.state.get()[1])
-                if (last + 2 * lock_us) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-                    self.state.clear()
-            return iter(())
+                self.state.update(entry)
+                self.handle.registerTimer((entry[1] + 2 * lock_us) // 1000 + 1)
 
         def close(self) -> None:
             pass

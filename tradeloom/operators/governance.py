@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom.operators.alerts import top_per
+from tradeloom.staging import staged
 
 # Roles by rising level.
 ROLE_LEVELS = {"MA": 1, "AM": 2, "Merchandiser": 3, "Director": 4, "Admin": 5}
@@ -100,18 +101,19 @@ def tenant_rows(rows: DataFrame, principal: DataFrame) -> DataFrame:
 def tenant_scope(rows: DataFrame, principals: DataFrame, admin_sees_all: bool = False) -> DataFrame:
     """Number of rows each principal may see, without listing (principal, row) pairs.
 
-    Visible = rows of the company + own rows outside it. Both are counts per key joined
-    to the principal, so a company holding a third of all rows costs one counter.
+    Visible = rows of the company + own rows outside it. The rows are read once, into counts
+    per user and company; all other counts are sums of these, so a company holding a third of
+    all rows costs one counter.
     """
-    per_company = rows.where(F.col("company_id").isNotNull()).groupBy("company_id").agg(F.count("*").alias("in_company"))
-    per_user = rows.groupBy("user_id").agg(F.count("*").alias("own"))
-    both = rows.where(F.col("company_id").isNotNull()).groupBy("user_id", "company_id").agg(F.count("*").alias("own_in_company"))
+    both = staged(rows.groupBy("user_id", "company_id").agg(F.count("*").alias("own_in_company")), "scope-counts")
+    per_company = both.where(F.col("company_id").isNotNull()).groupBy("company_id").agg(F.sum("own_in_company").alias("in_company"))
+    per_user = both.groupBy("user_id").agg(F.sum("own_in_company").alias("own"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     seen = zero("in_company") + zero("own") - zero("own_in_company")
     out = principals.join(per_company, "company_id", "left").join(per_user, "user_id", "left").join(
         both, ["user_id", "company_id"], "left")
     if admin_sees_all:
-        seen = F.when(F.col("role") == "Admin", rows.agg(F.count("*")).scalar()).otherwise(seen)
+        seen = F.when(F.col("role") == "Admin", both.agg(F.coalesce(F.sum("own_in_company"), F.lit(0))).scalar()).otherwise(seen)
     return out.select("user_id", seen.cast("bigint").alias("visible_rows"))
 
 

@@ -9,6 +9,8 @@ from tradeloom.functions.templates import render
 from tradeloom.operators.alerts import top_per
 from tradeloom.operators.health import category_health_score
 
+# The sentences this module puts into results are given wording, word for word.
+
 DS = "dataset_id"
 # Lines listed per category.
 LISTED = 5

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tradeloom.functions.money import fixed
 from tradeloom.functions.numbers import clamp, or_default
 
+# The sentences this module puts into results are given wording, word for word.
+
 DS = "dataset_id"
 
 

@@ -15,6 +15,8 @@ from tradeloom.functions.templates import render
 from tradeloom.operators.alerts import top_per
 from tradeloom.operators.rollup import week_order
 
+# The sentences this module puts into results are given wording, word for word.
+
 DS = "dataset_id"
 AT_RISK = ["AT RISK", "CRITICAL"]
 

@@ -16,6 +16,8 @@ from tradeloom.operators.ordering import numbered
 from tradeloom.operators.rollup import week_order
 from tradeloom.operators.workspace import DS, catalogue, dataset_cards
 
+# The sentences this module puts into results are given wording, word for word.
+
 METRICS = {"Revenue": ("revenue", "£"), "Margin": ("margin", "%"), "Sell-Through": ("sell_through", "%"), "Health Score": ("health", "")}
 
 

@@ -13,6 +13,7 @@ from tradeloom.plans.book import AnalysisBook
 from tradeloom.plans.registry import CTES, register
 from tradeloom.sources import delimited, testtables as tt
 
+# Patterns and messages in the SQL below are those results must match.
 book = AnalysisBook.of_test_tables
 stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 stamp_sql = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"

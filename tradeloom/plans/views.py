@@ -13,6 +13,7 @@ from tradeloom.plans.registry import CTES, compact, fixed, grouped, pounds, regi
 from tradeloom.sources import publish, testtables as tt
 from tradeloom.staging import scratch
 
+# Report and action wording in the SQL below is that of the results.
 book = AnalysisBook.of_test_tables
 
 # ---- role view -----------------------------------------------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +77,13 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def in_parts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch, some megabytes at a time, with the position of the first of each part."""
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield a, as_bytes(column.slice(a, b - a))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers (uint64 in and out)."""
     x = x ^ (x >> np.uint64(30))

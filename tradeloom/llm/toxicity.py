@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tradeloom.llm.common import list_array, small, struct_array
+from tradeloom.llm.common import in_parts, list_array, small, struct_array
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(text: str | None) -> set[str]:
-    words = set(_WORD.findall((text or "").lower()))
+def features_of(raw: bytes) -> set[str]:
+    words = set(_WORD.findall(raw.decode().lower()))
     return words | {f"{w[:4]}-" for w in words if len(w) >= 4} | {f"{w[:5]}-" for w in words if len(w) >= 5}
 
 
@@ -43,14 +43,15 @@ def count_features(rows: DataFrame) -> DataFrame:
     """(feature, n, n_first) over rows (text, first): documents with it, and those of the category."""
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = features_of(text)
-                seen[0].update(found)
-                if first:
-                    seen[1].update(found)
-            names = list(seen[0])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[0][x] for x in names], pa.int64()), pa.array([seen[1][x] for x in names], pa.int64())], ["feature", "n", "n_first"])
+            for at, part in in_parts(batch.column(0)):
+                seen: tuple[Counter, Counter] = (Counter(), Counter())
+                for raw, first in zip(part, batch.column(1).slice(at, len(part)).to_pylist()):
+                    found = features_of(raw)
+                    seen[0].update(found)
+                    if first:
+                        seen[1].update(found)
+                names = list(seen[0])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[0][x] for x in names], pa.int64()), pa.array([seen[1][x] for x in names], pa.int64())], ["feature", "n", "n_first"])
 
     return rows.mapInArrow(per_batch, "feature string, n long, n_first long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
 
@@ -74,7 +75,7 @@ def index_column(docs: DataFrame, vocabulary: dict[str, int], text_col: str = "t
 
     def index(texts: pa.Array) -> pa.Array:
         known = sent.value
-        return list_array([np.array(sorted(known[f] for f in features_of(t) & known.keys()), dtype=np.int32) for t in texts.to_pylist()], pa.int32())
+        return list_array([np.array(sorted(known[f] for f in features_of(t) & known.keys()), dtype=np.int32) for _, part in in_parts(texts) for t in part], pa.int32())
 
     return arrow_udf(index, "array<int>")(F.col(text_col))
 
@@ -86,14 +87,20 @@ class Linear:
         self.weights, self.dense, self.bias = weights, dense, bias
 
     def probability(self, sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
-        sizes = np.array([len(s) for s in sets])
-        row = np.repeat(np.arange(len(sets)), sizes)
-        flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.int64)
-        margin = self.bias + np.bincount(row, self.weights[flat.astype(np.int64)], minlength=len(sets)) + columns @ self.dense
+        return self.of_pairs(*pairs_of(sets), columns)
+
+    def of_pairs(self, row: np.ndarray, feature: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        margin = self.bias + np.bincount(row, self.weights[feature], minlength=len(columns)) + columns @ self.dense
         return 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def fit_linear(sets: list[np.ndarray], columns: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 400, ridge: float = 1e-5) -> Linear:
+def pairs_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature number of every element of the sets."""
+    feature = np.concatenate(sets).astype(np.int64) if len(sets) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))), feature
+
+
+def fit_linear(sets: list[np.ndarray], columns: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 250, ridge: float = 1e-5) -> Linear:
     """Gradient descent with per-weight step sizes (Adagrad) on the ridge-penalised mean loss."""
     n, k = len(y), columns.shape[1]
     model = Linear(np.zeros(n_features), np.zeros(k), 0.0)
@@ -101,12 +108,11 @@ def fit_linear(sets: list[np.ndarray], columns: np.ndarray, y: np.ndarray, n_fea
     model.bias = float(np.log(share / (1 - share)))
     if not n or y.min() == y.max():
         return model
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    flat = np.concatenate(sets).astype(np.int64)
+    row, feature = pairs_of(sets)
     speed_w, speed_d, speed_b = np.full(n_features, 1e-8), np.full(k, 1e-8), 1e-8
     for _ in range(rounds):
-        error = (model.probability(sets, columns) - y) / n
-        gw = np.bincount(flat, error[row], minlength=n_features) + ridge * model.weights
+        error = (model.of_pairs(row, feature, columns) - y) / n
+        gw = np.bincount(feature, error[row], minlength=n_features) + ridge * model.weights
         gd, gb = columns.T @ error + ridge * model.dense, float(error.sum())
         speed_w += gw ** 2
         speed_d += gd ** 2
@@ -174,7 +180,7 @@ def toxicity_column(docs: DataFrame, vocabulary: dict[str, int], chain: Chain, n
 
     def score(texts: pa.Array) -> pa.Array:
         known, model = sent.value
-        p = model.probabilities([np.array([known[f] for f in features_of(t) & known.keys()], dtype=np.int64) for t in texts.to_pylist()])
+        p = model.probabilities([np.array([known[f] for f in features_of(t) & known.keys()], dtype=np.int64) for _, part in in_parts(texts) for t in part])
         return struct_array({name: pa.array(p[:, i], pa.float64()) for i, name in enumerate(names)})
 
     return arrow_udf(score, "struct<" + ",".join(f"{n}:double" for n in names) + ">")(F.col(text_col))

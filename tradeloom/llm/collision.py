@@ -4,9 +4,9 @@ The largest inner product is turned into the smallest distance: every vector get
 coordinate that brings it to the largest length M of all, queries are scaled to M and get 0.
 Vectors are dealt into shards by a hash of their id. A shard's index is, for each of ``m``
 random projections, the array of its vectors sorted by projected value. A query opens a window
-around its own value in every array; virtual rehashing widens the windows step by step, and
-only what a step adds is counted. A vector that lies in at least ``SHARE`` of the windows is
-verified by its exact inner product. A query is done in a shard when its k-th best distance is
+around its own value in every array; virtual rehashing widens the windows step by step. A
+vector's collisions are the windows that hold its place in the arrays; one with at least
+``SHARE`` of them is verified by its exact inner product. A query is done in a shard when its k-th best distance is
 so small against the windows that nearer vectors have collided (``SAFE``), or when ``VERIFY``
 of the shard's vectors were verified; should the windows end before, the whole shard is.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SHARD, QUERIES = 8192, 1024
 PROJECTIONS, SHARE, SAFE, VERIFY = 64, 0.8, 1.6, 0.3
-FIRST, WIDEN, STEPS = 0.25, 1.25, 11
+FIRST, WIDEN, STEPS = 0.5, 1.5, 5
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -39,7 +39,7 @@ def usable(vector: Column) -> Column:
 
 
 class Shard:
-    """Sorted projections of one shard's vectors."""
+    """Sorted projections (at most 255, so that a byte counts them) of one shard's vectors."""
 
     def __init__(self, vectors: np.ndarray, longest: float, projections: int = PROJECTIONS):
         self.x, self.longest = vectors, longest
@@ -47,8 +47,12 @@ class Shard:
         self.lines = np.random.default_rng(d).standard_normal((projections, d + 1))
         extra = np.sqrt(np.maximum(0.0, longest ** 2 - (vectors ** 2).sum(axis=1)))
         values = vectors @ self.lines[:, :d].T + extra[:, None] * self.lines[None, :, d]
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
+        order = np.argsort(values, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(values.T, order, axis=1)
+        # Where each vector stands in each sorted array: it lies in a window if its place does.
+        self.place = np.empty(order.shape, dtype=np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[None, :], axis=1)
+        self.offset, self.inside = np.empty_like(self.place), np.empty(self.place.shape, dtype=bool)
         self.radii = longest * FIRST * WIDEN ** np.arange(STEPS)
 
     def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,33 +66,32 @@ class Shard:
         """Rows and scores of the k best vectors found; ``own`` marks rows that don't count, ``low``
         and ``high`` are the query's windows by step."""
         n, length = len(self.x), np.sqrt((query ** 2).sum())
-        counts, tested, scores = np.zeros(n, dtype=np.int64), own.copy(), np.full(n, -np.inf)
+        tested, best, kinds = own.copy(), np.full(k, -np.inf), self.place.dtype
+        scores = np.full(n, -np.inf)
         needed, enough, n_own = int(np.ceil(SHARE * len(self.lines))), k + VERIFY * n, int(own.sum())
         for step in range(STEPS + 1):
             if step == STEPS:
                 new = np.flatnonzero(~tested)
             else:
-                if step:
-                    rings = [o[a:b] for o, a, b in zip(self.order, low[step], low[step - 1])] + [o[a:b] for o, a, b in zip(self.order, high[step - 1], high[step])]
-                else:
-                    rings = [o[a:b] for o, a, b in zip(self.order, low[0], high[0])]
-                counts += np.bincount(np.concatenate(rings), minlength=n)
-                new = np.flatnonzero((counts >= needed) & ~tested)
+                np.subtract(self.place, low[step].astype(kinds)[:, None], out=self.offset)
+                np.less(self.offset, (high[step] - low[step]).astype(kinds)[:, None], out=self.inside)
+                collisions = self.inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
+                new = np.flatnonzero((collisions >= needed) & ~tested)
             if len(new):
                 tested[new] = True
-                scores[new] = (self.x[new] * query).sum(axis=1)
-            n_tested = int(tested.sum())
+                scores[new] = self.x[new] @ query
+                best = np.partition(np.concatenate([best, scores[new]]), len(new))[len(new):]
+            n_tested = int(np.count_nonzero(tested))
             if n_tested == n or n_tested >= enough:
                 break
             if n_tested - n_own >= k and step < STEPS:
-                kth = np.partition(scores, n - k)[n - k]
-                if np.sqrt(max(0.0, 2 * self.longest ** 2 - 2 * self.longest * kth / length)) * SAFE <= self.radii[step]:
+                if np.sqrt(max(0.0, 2 * self.longest ** 2 - 2 * self.longest * best.min() / length)) * SAFE <= self.radii[step]:
                     break
-        found = np.flatnonzero(scores > -np.inf)
-        if len(found) > k:
-            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
-        found = found[np.lexsort((ids[found], -scores[found]))][:k]
-        return found, scores[found]
+        # The k best are scored once more, term by term in one order, so that equal vectors tie.
+        found = np.flatnonzero((scores >= best.min() - 1e-9 * max(1.0, self.longest * length)) & (scores > -np.inf))
+        exact = (self.x[found] * query).sum(axis=1)
+        order = np.lexsort((ids[found], -exact))[:k]
+        return found[order], exact[order]
 
 
 def search_shard(vectors: pd.DataFrame, queries: pd.DataFrame, longest: float, k: int) -> pd.DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tradeloom.llm.common import as_bytes, list_array, slices, struct_array, words_of
+from tradeloom.llm.common import as_bytes, in_parts, list_array, slices, struct_array, words_of
 
 WIDTH = 13
 SHARD_WORDS = 1 << 18
@@ -205,7 +205,7 @@ def searcher(sent):
     def search(texts: pa.Array, before: pa.Array) -> pa.Array:
         phrases, docs, n_words = sent.value, [], []
         code = phrases["alphabet"].get
-        for raw in as_bytes(texts):
+        for raw in (x for _, part in in_parts(texts) for x in part):
             words = words_of(raw)
             n_words.append(len(words))
             docs.append(np.fromiter((code(w, 0) for w in words), dtype=np.int32, count=len(words)))

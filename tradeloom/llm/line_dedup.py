@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tradeloom.llm.common import BLANKS, as_bytes, mix, struct_array
+from tradeloom.llm.common import BLANKS, in_parts, mix, struct_array
 from tradeloom.staging import staged
 
 SLOTS = 4
@@ -54,11 +54,12 @@ def count_lines(docs: DataFrame, text_col: str = "text", min_chars: int = 1) ->
     """Reference counts of all line keys with at least ``min_chars`` code points."""
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter[bytes] = Counter()
-            for raw in as_bytes(batch.column(0)):
-                seen.update({k for k in keys_of(raw) if len(k) >= min_chars and len(k.decode()) >= min_chars})
-            h = key_hash(list(seen))
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(seen.values()), pa.int64())], ["h1", "h2", "n"])
+            for _, raws in in_parts(batch.column(0)):
+                seen: Counter[bytes] = Counter()
+                for raw in raws:
+                    seen.update({k for k in keys_of(raw) if len(k) >= min_chars and len(k.decode()) >= min_chars})
+                h = key_hash(list(seen))
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(seen.values()), pa.int64())], ["h1", "h2", "n"])
 
     return docs.select(text_col).mapInArrow(per_batch, _REFS).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
@@ -206,23 +207,23 @@ def frequent(h: np.ndarray, block: dict) -> np.ndarray:
 def marker(sent, last: bool, min_chars: int):
     """Arrow function that marks the lines one block of filters holds; the last block drops them."""
     def mark(texts: pa.Array, before: pa.Array) -> pa.Array:
-        raw, marks = as_bytes(texts), before.to_pylist()
-        keys = [keys_of(x) for x in raw]
-        index: dict[bytes, int] = {}
-        for ks in keys:
-            for k in ks:
-                if len(k) >= min_chars and k not in index and len(k.decode()) >= min_chars:
-                    index[k] = len(index)
-        often = frequent(key_hash(list(index)), sent.value)
         out, n_lines, n_dropped = [], [], []
-        for text, ks, old in zip(raw, keys, marks):
-            gone = [old is not None and old[i] == 1 or (k in index and bool(often[index[k]])) for i, k in enumerate(ks)]
-            if last:
-                n_lines.append(len(ks))
-                n_dropped.append(sum(gone))
-                out.append(b"\n".join(x for x, g in zip(text.split(b"\n"), gone) if not g) if any(gone) else text)
-            else:
-                out.append(bytes(gone))
+        for first, raw in in_parts(texts):
+            keys = [keys_of(x) for x in raw]
+            index: dict[bytes, int] = {}
+            for ks in keys:
+                for k in ks:
+                    if len(k) >= min_chars and k not in index and len(k.decode()) >= min_chars:
+                        index[k] = len(index)
+            often = frequent(key_hash(list(index)), sent.value)
+            for text, ks, old in zip(raw, keys, before.slice(first, len(raw)).to_pylist()):
+                gone = [old is not None and old[i] == 1 or (k in index and bool(often[index[k]])) for i, k in enumerate(ks)]
+                if last:
+                    n_lines.append(len(ks))
+                    n_dropped.append(sum(gone))
+                    out.append(b"\n".join(x for x, g in zip(text.split(b"\n"), gone) if not g) if any(gone) else text)
+                else:
+                    out.append(bytes(gone))
         if not last:
             return pa.array(out, pa.binary())
         return struct_array({"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept": pa.array(out, pa.binary()).cast(pa.string())})

@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.common import NO_WORD, as_bytes, mix, slices, small
+from tradeloom.llm.common import NO_WORD, in_parts, mix, slices, small
 from tradeloom.llm.components import components
 from tradeloom.staging import staged
 
@@ -123,11 +123,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, bands: int, rows:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(as_bytes(batch.column(1)), width)
-            names = [set_name(s) if len(s) else (None, None) for s in sets]
-            signed = np.concatenate([band_hashes(s, bands, rows) if len(s) else np.zeros(bands, np.int64) for s in sets]) if sets else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(signed, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), lists], ["id", "h1", "h2", "bands"])
+            for first, texts in in_parts(batch.column(1)):
+                sets = shingle_sets(texts, width)
+                names = [set_name(s) if len(s) else (None, None) for s in sets]
+                signed = np.concatenate([band_hashes(s, bands, rows) if len(s) else np.zeros(bands, np.int64) for s in sets])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(signed, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), lists], ["id", "h1", "h2", "bands"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(per_batch, f"id {kind}, h1 long, h2 long, bands array<long>")
 
@@ -143,11 +144,13 @@ def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, w
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, (h1, h2) = shingle_sets(as_bytes(batch.column(0)), width), (batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            # Rows that repeat an id may hold another text; the node's own is known by its name.
-            same = [i for i, s in enumerate(sets) if len(s) and set_name(s) == (h1[i], h2[i])]
-            kept = batch.select(["node", "cluster", "n_blocks", "copies"]).take(pa.array(same, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([sets[i].tobytes() for i in same], pa.binary())], [*kept.schema.names, "shingles"])
+            for first, texts in in_parts(batch.column(0)):
+                part, sets = batch.slice(first, len(texts)), shingle_sets(texts, width)
+                h1, h2 = part.column(1).to_pylist(), part.column(2).to_pylist()
+                # Rows that repeat an id may hold another text; the node's own is known by its name.
+                same = [i for i, s in enumerate(sets) if len(s) and set_name(s) == (h1[i], h2[i])]
+                kept = part.select(["node", "cluster", "n_blocks", "copies"]).take(pa.array(same, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([sets[i].tobytes() for i in same], pa.binary())], [*kept.schema.names, "shingles"])
 
     return rows.mapInArrow(per_batch, "node long, cluster long, n_blocks int, copies long, shingles binary")
 

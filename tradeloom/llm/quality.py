@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tradeloom.llm.common import as_bytes, slices
+from tradeloom.llm.common import in_parts, slices
 
 FEATURES = ("log_words", "log_bytes", "mean_word", "distinct_words", "immediate_repeats", "top_word_share", "upper_share", "letter_share", "digit_share",
             "blank_share", "mark_share", "strong_mark_share", "pipe_share", "words_with_mark_tail", "doubled_marks", "lines", "mean_line", "distinct_lines",
@@ -52,13 +52,15 @@ def statistics(raw: bytes) -> list[float]:
     ]
 
 
-def matrix_of(texts: list[bytes]) -> np.ndarray:
-    return np.array([statistics(x) for x in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
+def matrix_of(texts: pa.Array) -> np.ndarray:
+    """The features of a batch of texts, a row each."""
+    rows = [statistics(x) for _, part in in_parts(texts) for x in part]
+    return np.array(rows, dtype=np.float64).reshape(len(rows), len(FEATURES))
 
 
 def feature_column(text_col: str = "text") -> Column:
     def measure(texts: pa.Array) -> pa.Array:
-        values = matrix_of(as_bytes(texts))
+        values = matrix_of(texts)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * len(FEATURES), pa.int32()), pa.array(values.ravel()))
 
     return arrow_udf(measure, "array<double>")(F.col(text_col))
@@ -170,6 +172,6 @@ def score_column(docs: DataFrame, forest: Forest, text_col: str = "text") -> Col
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(sent.value.score(matrix_of(as_bytes(texts))), pa.float64())
+        return pa.array(sent.value.score(matrix_of(texts)), pa.float64())
 
     return arrow_udf(score, "double")(F.col(text_col))

@@ -76,7 +76,8 @@ def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float
     held = staged(held.select(F.when(F.col("block"), F.array_append("items", F.lit(BLOCK_ITEM))).otherwise(F.col("items")).alias("items")), "url-baskets")
     if not n or held.isEmpty():
         return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / held.count()), minConfidence=min_confidence).fit(held)
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / held.count()), minConfidence=min_confidence, numPartitions=parts).fit(held)
     found = model.associationRules.where((F.element_at("consequent", 1) == BLOCK_ITEM) & (F.size("antecedent") <= longest))
     rules = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = staged(rules.withColumn("rule_id", F.xxhash64("tokens")), "url-rules")

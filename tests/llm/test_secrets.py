@@ -64,3 +64,36 @@ def test_empty_tables_and_plan(documents, spark):
     assert set(model) == {0} and secrets.scan(none, model).count() == 0
     plan = secrets.scan(documents([(1, "a")]), model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def strange(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(n)]
+
+
+def found_by_model(docs):
+    spans = secrets.scan(docs, secrets.train(secrets.corpus_samples(docs))).select("id", F.filter("spans", lambda s: s["kind"] == "markov").alias("s"))
+    return {r["id"]: [(s["start"], s["end"]) for s in r["s"]] for r in spans.collect()}
+
+
+def test_copies_of_a_secret_are_found(documents, ordinary):
+    keys, known = strange(1, 11), strange(1, 12)[0]
+    rows = [(i, " ".join(ordinary[10 * i:10 * i + 10] + keys[i % 3:])) for i in range(300)]
+    rows += [(i, f'token="{known}" ') for i in range(300, 400)] + [(400, known)]
+    got = found_by_model(documents(rows))
+    assert all(got[i] == ([(len(t) - 40, len(t))] if i % 3 == 0 else []) for i, t in rows[:300])
+    assert not any(got[i] for i in range(300, 400)) and got[400] == [(0, 40)]
+
+
+def test_many_different_secrets_are_found(documents, ordinary):
+    keys = strange(1000, 13)
+    rows = [(i, f"{ordinary[i]} {keys[i] if i < 1000 else ordinary[-i]}") for i in range(3000)]
+    got = found_by_model(documents(rows))
+    assert all(got[i] == ([(len(t) - 40, len(t))] if i < 1000 else []) for i, t in rows)
+
+
+def test_values_of_assignments_are_secret_samples(documents):
+    key = strange(1, 14)[0]
+    samples = secrets.corpus_samples(documents([(1, f"token={key}"), (2, f"some_long_identifier {key}")]))
+    got = samples.where(F.col("token").contains(key) | F.col("token").contains("identifier")).collect()
+    assert {(r["token"], r["secret"]) for r in got} == {(key, True), (key, False), ("some_long_identifier", False)}

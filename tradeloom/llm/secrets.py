@@ -7,7 +7,8 @@ log-likelihood ratio of its character pairs under a first-order Markov model of
 and one of ordinary identifiers. Both are trained from labelled samples, a table of (token,
 secret); ``corpus_samples`` labels what the patterns find and generated random strings as
 secrets, and all other long tokens of the corpus, also joined as identifiers are, as ordinary.
-Only pair counts leave the cluster, at most two per pair of token characters.
+A token counts once, so copies of a secret teach nothing, and ordinary samples that look random
+are left out. Only pair counts leave the cluster, at most four per pair of token characters.
 
 Defined results: a null text is an empty one and has no spans; texts of any length are searched
 whole; each row is scanned by itself, so repeated rows give the same twice; without samples the
@@ -22,6 +23,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom.llm.common import text_of
+from tradeloom.staging import staged
 
 #: Kind, pattern, group whose length counts, and its least length.
 PATTERNS = (
@@ -78,30 +80,57 @@ def generated(spark: SparkSession, n: int = 4096) -> DataFrame:
 
 
 def corpus_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, secret) of all long tokens of the corpus, and the generated random strings."""
-    text = docs.select(text_of(text_col).alias("text"))
-    tokens = text.select(F.explode(F.regexp_extract_all("text", F.lit(_SAMPLE), F.lit(0))).alias("token"))
-    secret = F.col("token").rlike(f"^{PATTERNS[2][1]}$") | F.col("token").rlike("^AKIA[A-Z0-9]{16,}$")
-    return tokens.select("token", secret.alias("secret")).unionByName(generated(docs.sparkSession))
+    """(token, secret) of all long tokens of the corpus, and the generated random strings. What
+    the patterns find, values of assignments too, is secret and leaves the text before the
+    ordinary tokens are read."""
+    text = text_of(text_col)
+    found, rest = [], text
+    for _, pattern, group, least in PATTERNS:
+        found.append(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.char_length(v) >= least))
+        rest = F.regexp_replace(rest, F.lit(pattern), F.lit(" "))
+    long = lambda t: F.regexp_extract_all(t, F.lit(_SAMPLE), F.lit(0))
+    tagged = lambda tokens, secret: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(secret).alias("secret")))
+    tokens = docs.select(F.inline(F.concat(tagged(F.flatten(F.transform(F.concat(*found), long)), True), tagged(long(rest), False))))
+    return tokens.unionByName(generated(docs.sparkSession))
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """(secret, pair, n). An ordinary token also stands for identifiers that join it with another
+    """(secret, half, pair, n). An ordinary token also stands for identifiers that join it with another
     word: camel case, underscore, hyphen, a leading capital or a number behind it."""
     first, last = F.substring("token", 1, 1), F.substring("token", -1, 1)
     joints = F.array(F.concat(F.lower(last), F.upper(first)), F.concat(last, F.lit("_")), F.concat(F.lit("_"), first), F.concat(last, F.lit("-")), F.concat(F.lit("-"), first),
                      F.concat(F.upper(first), F.substring("token", 2, 1)), F.concat(last, F.lit("1")))
     pairs = F.regexp_extract_all("token", F.lit(_PAIRS), F.lit(1))
-    rows = samples.select("secret", F.explode(F.when(F.col("secret"), pairs).otherwise(F.concat(pairs, joints))).alias("pair"))
-    return rows.groupBy("secret", "pair").agg(F.count("*").alias("n"))
-
-
-def train(samples: DataFrame, smooth: float = 0.5) -> list[int]:
-    """Log-likelihood ratio of each pair of token characters, in hundredths, first character by first character."""
-    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    for r in pair_counts(samples).where(F.col("pair").rlike(rf"^[{TOKEN_CHARS[:-1]}\-]{{2}}$")).collect():
-        counts[r["secret"]][r["pair"]] += r["n"]
-    for pair, n in list(counts[False].items()):  # constants are written in capitals
+    rows = samples.select("secret", "half", F.explode(F.when(F.col("secret"), pairs).otherwise(F.concat(pairs, joints))).alias("pair"))
+    return rows.where(F.col("pair").rlike(rf"^[{TOKEN_CHARS[:-1]}\-]{{2}}$")).groupBy("secret", "half", "pair").agg(F.count("*").alias("n"))
+
+
+def train(samples: DataFrame, smooth: float = 0.5, rounds: int = 8) -> list[int]:
+    """Log-likelihood ratio of each pair of token characters, in hundredths, first character by first character.
+
+    A token counts once, however often it is found, and as a secret if it is one anywhere. Plain
+    text holds secrets no pattern knows: an ordinary sample leaves its class if a model whose
+    ordinary samples are the other half of them, so not itself, finds it likelier random. That
+    is done again with the models of those that stay, until they no longer change."""
+    tokens = samples.groupBy("token").agg(F.max("secret").alias("secret")).withColumn("half", F.pmod(F.xxhash64("token"), F.lit(2)).cast("int"))
+    tokens = kept = staged(tokens, "secret-samples")
+    judges = None
+    for _ in range(rounds):
+        random, ordinary = Counter(), [Counter(), Counter()]
+        for r in pair_counts(kept).collect():
+            (random if r["secret"] else ordinary[r["half"]])[r["pair"]] += r["n"]
+        last, judges = judges, [fitted(random, ordinary[1], smooth), fitted(random, ordinary[0], smooth)]
+        if judges == last:
+            break
+        judged = F.when(F.col("half") == 0, ratio(F.col("token"), judges[0])).otherwise(ratio(F.col("token"), judges[1]))
+        kept = tokens.where(F.col("secret") | (judged <= 0))
+    return fitted(random, ordinary[0] + ordinary[1], smooth)
+
+
+def fitted(random: Counter, ordinary: Counter, smooth: float) -> list[int]:
+    """The model of the pairs counted in both classes."""
+    counts = {True: random, False: ordinary.copy()}
+    for pair, n in ordinary.items():  # constants are written in capitals
         counts[False][pair.upper()] += 0.1 * n
     if not counts[True] or not counts[False]:
         return [0] * len(TOKEN_CHARS) ** 2

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,32 @@ def test_method_decides_where_no_rule_fits(spark):
 def test_empty_tables(spark):
     assert judged(spark, [], []) == []
     assert [r["verdict"] for r in judged(spark, [(1, "http://a.net/b")], [(1, False)])] == ["allow"]
+
+
+def test_rules_of_all_sizes_against_brute_force(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    r, rows = random.Random(9), []
+    for c in itertools.chain(*[itertools.combinations(words, size) for size in range(1, 6)]):
+        p = r.random()
+        rows += [(list(c), r.random() < p) for _ in range(10)]
+    labelled = staged(spark.createDataFrame(rows, "tokens array<string>, block boolean"), "labelled")
+    got = {tuple(r["tokens"]): (r["confidence"], r["support"]) for r in url_rules.mine(labelled, 0.001, 0.6).collect()}
+    rules = {}
+    for size in range(1, 6):
+        for c in itertools.combinations(sorted(words), size):
+            held = [b for x, b in rows if set(c) <= set(x)]
+            if sum(held) >= 5 and sum(held) / len(held) >= 0.6:
+                rules[c] = sum(held) / len(held), sum(held) / len(rows)
+    parts = lambda c: (p for k in range(1, len(c)) for p in itertools.combinations(c, k))
+    want = {c: v for c, v in rules.items() if not any(rules.get(p, (0,))[0] >= v[0] for p in parts(c))}
+    nearly = {c: v for c, v in rules.items() if not any(rules.get(p, (0,))[0] >= v[0] for p in parts(c) if len(p) == len(c) - 1)}
+    assert max(map(len, want)) >= 4 and len(want) < len(nearly)  # between a rule and its needless extension no rule need be
+    assert got.keys() == want.keys() and all(abs(g - w) < 1e-9 for c in want for g, w in zip(got[c], want[c]))
+
+
+def test_a_page_that_only_a_long_rule_fits_is_blocked(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    urls = [("/".join(w for w in words if w != out), False) for out in words for _ in range(20)] + [("/".join(words), True)] * 15
+    pages = [(i, f"http://h{i}.net/{u}/{i}") for i, (u, _) in enumerate(urls)]
+    got = {r["id"]: r["verdict"] for r in judged(spark, [*pages, (999, "http://new.net/alpha/beta/gamma/delta/1")], [(i, b) for i, (_, b) in enumerate(urls)])}
+    assert got[999] == "block" and all(got[i] == ("block" if b else "allow") for i, (_, b) in enumerate(urls))

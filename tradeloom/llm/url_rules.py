@@ -4,7 +4,7 @@ A URL becomes a set of tokens: its host, up to four domains above it, the words
 path's folders, file ending, query keys and scheme. Spark's FP-growth mines token combinations
 of the labelled URLs together with their label; a rule "these tokens, therefore block" is kept
 if its support and confidence reach the limits, and if no rule with fewer of its tokens is as
-confident. Rules are matched through an inverted index: each rule is filed under its rarest
+confident, whatever number of tokens it has. Rules are matched through an inverted index: each rule is filed under its rarest
 token, a URL's tokens look up the rules filed under them, and a rule that fits whole counts.
 A URL is blocked if a rule fits.
 
@@ -21,6 +21,9 @@ as many tokens as they have, but mining looks only at tokens frequent enough for
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -64,7 +67,7 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.length(host) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 5, longest: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 5) -> DataFrame:
     """(rule_id, tokens, confidence, support) from (tokens, block). ``labelled`` is staged. Tokens
     that are too rare for any rule, or that nearly all rows share, are left out before mining."""
     n = labelled.count()
@@ -77,16 +80,30 @@ def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float
     if not n or held.isEmpty():
         return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / held.count()), minConfidence=min_confidence, numPartitions=parts).fit(held)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BLOCK_ITEM) & (F.size("antecedent") <= longest))
-    rules = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = staged(rules.withColumn("rule_id", F.xxhash64("tokens")), "url-rules")
-    # A rule adds nothing if some of its tokens alone are as good a reason: subsets are looked up by name.
-    parts = F.filter(F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.filter("tokens", lambda t: t != F.get("tokens", i))), lambda p: F.size(p) > 0)
-    parts = F.array_union(parts, F.transform("tokens", lambda t: F.array(t)))
-    smaller = rules.where(F.size("tokens") > 1).select("rule_id", F.col("confidence").alias("own"), F.explode(parts).alias("part"))
-    needless = smaller.join(rules.select(F.col("tokens").alias("part"), "confidence"), "part").where("confidence >= own").select("rule_id").distinct()
-    return rules.join(needless, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "support")
+    n_held = held.count()
+    # Spark takes the least count from the share again, rounded up: half a row less than it gives no other.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (math.ceil(least) - 0.5) / n_held), numPartitions=parts).fit(held)
+    sets = model.freqItemsets.select(F.array_contains("items", BLOCK_ITEM).alias("block"), F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("tokens"), "freq")
+    sets = staged(sets.where(F.size("tokens") > 0), "url-sets")
+    blocked = sets.where("block").select("tokens", F.col("freq").alias("n_block"))
+    scored = blocked.join(sets.where("NOT block").select("tokens", "freq"), "tokens").withColumn("confidence", F.col("n_block") / F.col("freq"))
+    scored = staged(scored.select("tokens", "confidence", (F.col("n_block") / n_held).alias("support"), F.size("tokens").alias("size")), "url-scored")
+    # A rule adds nothing if some of its tokens alone are as good a reason. Sets are met size by size, in
+    # rising order; each hands on the best confidence of itself and its parts, also below the limit.
+    best, kept = None, []
+    for size in range(1, (scored.agg(F.max("size")).first()[0] or 0) + 1):
+        found = scored.where(F.col("size") == size)
+        if best is None:
+            found = found.withColumn("smaller", F.lit(0.0))
+        else:
+            part = F.explode(F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.filter("tokens", lambda t: t != F.get("tokens", i)))).alias("part")
+            smaller = found.select("tokens", part).join(best, "part").groupBy("tokens").agg(F.max("best").alias("smaller"))
+            found = found.join(smaller, "tokens")
+        found = staged(found, "url-rules")
+        best = found.select(F.col("tokens").alias("part"), F.greatest("confidence", "smaller").alias("best"))
+        kept.append(found.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("smaller"))))
+    rules = functools.reduce(DataFrame.unionByName, kept) if kept else scored
+    return rules.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support")
 
 
 def matched(urls: DataFrame, rules: DataFrame, labelled: DataFrame, id_col: str = "row") -> DataFrame:

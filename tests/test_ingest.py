@@ -85,6 +85,19 @@ def test_inventory(spark, folder):
     assert (got["bad.csv"].size, got["bad.csv"].sha256, got["bad.csv"].extension) == (len(raw), hashlib.sha256(raw).hexdigest(), "csv")
 
 
+def test_inventory_of_all_lines(spark, sf_dir):
+    import hashlib
+
+    from tradeloom.plans import catalogue
+
+    lines = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").collect():
+        lines.setdefault(r[0], []).append("|".join(map(str, r[1:])) + "\n")
+    files = {k: "".join(sorted(v)).encode() for k, v in lines.items()}
+    got = {r["key"]: (r["size"], r["sha256"]) for r in catalogue.QUERIES["supplier_inventory"](spark, sf_dir).collect()}
+    assert got == {k: (len(f), hashlib.sha256(f).hexdigest()) for k, f in files.items()}
+
+
 def scanned(spark, tmp_path, **files):
     for name, text in files.items():
         (tmp_path / f"{name}.csv").write_bytes(text.encode())

@@ -343,6 +343,19 @@ def _(spark, d):
     return files.select(F.regexp_extract("path", "key=([0-9]+)/", 1).cast("int").alias("key"), "size", "sha256", "extension")
 
 
+@register("supplier_inventory", """
+SELECT l_suppkey AS key, cast(sum(strlen(line) + 1) as bigint) AS size, sha256(string_agg(line || chr(10), '' ORDER BY line)) AS sha256, 'txt' AS extension
+FROM (SELECT l_suppkey, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus) AS line FROM lineitem) GROUP BY 1""")
+def _(spark, d):
+    """Inventory of one text file per supplier, of all its lines in order."""
+    path = scratch(spark, "files")
+    line = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    lines = tt.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), line.alias("line"))
+    lines.repartition("key").sortWithinPartitions("key", "line").write.partitionBy("key").text(path)
+    files = delimited.file_inventory(spark, path)
+    return files.select(F.regexp_extract("path", "key=([0-9]+)/", 1).cast("long").alias("key"), "size", "sha256", "extension")
+
+
 @register("unreadable_cells", """
 SELECT l_orderkey AS sku, CASE WHEN l_orderkey % 2 = 0 THEN 'revenue' ELSE 'units' END AS role,
   CASE WHEN l_orderkey % 2 = 0 THEN '5012345678901234567' ELSE '1e400' END AS cell, count(*) AS n FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1, 2, 3""")

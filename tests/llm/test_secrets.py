@@ -97,3 +97,13 @@ def test_values_of_assignments_are_secret_samples(documents):
     samples = secrets.corpus_samples(documents([(1, f"token={key}"), (2, f"some_long_identifier {key}")]))
     got = samples.where(F.col("token").contains(key) | F.col("token").contains("identifier")).collect()
     assert {(r["token"], r["secret"]) for r in got} == {(key, True), (key, False), ("some_long_identifier", False)}
+
+
+def test_short_secrets_are_found_and_numbers_are_not(documents, ordinary):
+    r = random.Random(15)
+    keys = ["qX7bT2vLk9Rw", "Zk4Wq8Jx2VbN7", "gH3xQz9LpW5vKd81", "B7fXw2Kq9ZtR4vJm6Ys"]
+    rows = [(i, f"{ordinary[i]} {r.randrange(10 ** 15, 10 ** 16)} {ordinary[-i][:18]}") for i in range(1000)] + [(1000 + i, f"the key {k}, once") for i, k in enumerate(keys)]
+    rows += [(2000 + i, k) for i, k in enumerate(strange(1000, 16))]
+    got = found_by_model(documents(rows))
+    assert not any(got[i] for i in range(1000))
+    assert [got[1000 + i] for i in range(4)] == [[(8, 8 + len(k))] for k in keys]

@@ -32,9 +32,9 @@ PATTERNS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-MIN_CHARS, MIN_RATIO, MIN_RATIO_PER_CHAR = 20, 12.0, 0.4
+MIN_CHARS, MIN_RATIO, MIN_RATIO_PER_CHAR = 12, 12.0, 0.4
 _TOKEN = rf"[A-Za-z0-9+/_=\-]{{{MIN_CHARS},}}"
-_SAMPLE = r"[A-Za-z0-9+/_=\-]{12,}"
+_NUMBER = r"^[0-9+/_=\-]+$"
 _PAIRS = "(?=(..))"
 KINDS = [p[0] for p in PATTERNS] + ["markov"]
 
@@ -88,7 +88,7 @@ def corpus_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for _, pattern, group, least in PATTERNS:
         found.append(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.char_length(v) >= least))
         rest = F.regexp_replace(rest, F.lit(pattern), F.lit(" "))
-    long = lambda t: F.regexp_extract_all(t, F.lit(_SAMPLE), F.lit(0))
+    long = lambda t: F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
     tagged = lambda tokens, secret: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(secret).alias("secret")))
     tokens = docs.select(F.inline(F.concat(tagged(F.flatten(F.transform(F.concat(*found), long)), True), tagged(long(rest), False))))
     return tokens.unionByName(generated(docs.sparkSession))
@@ -111,7 +111,8 @@ def train(samples: DataFrame, smooth: float = 0.5, rounds: int = 8) -> list[int]
     A token counts once, however often it is found, and as a secret if it is one anywhere. Plain
     text holds secrets no pattern knows: an ordinary sample leaves its class if a model whose
     ordinary samples are the other half of them, so not itself, finds it likelier random. That
-    is done again with the models of those that stay, until they no longer change."""
+    is done again with the models of those that stay, until they no longer change. Numbers stay:
+    card and order numbers look random, too."""
     tokens = samples.groupBy("token").agg(F.max("secret").alias("secret")).withColumn("half", F.pmod(F.xxhash64("token"), F.lit(2)).cast("int"))
     tokens = kept = staged(tokens, "secret-samples")
     judges = None
@@ -123,7 +124,7 @@ def train(samples: DataFrame, smooth: float = 0.5, rounds: int = 8) -> list[int]
         if judges == last:
             break
         judged = F.when(F.col("half") == 0, ratio(F.col("token"), judges[0])).otherwise(ratio(F.col("token"), judges[1]))
-        kept = tokens.where(F.col("secret") | (judged <= 0))
+        kept = tokens.where(F.col("secret") | F.col("token").rlike(_NUMBER) | (judged <= 0))
     return fitted(random, ordinary[0] + ordinary[1], smooth)
 
 

@@ -15,5 +15,6 @@ from tradeloom.llm import query_nearest  # noqa: F401
 from tradeloom.llm import query_secrets  # noqa: F401
 from tradeloom.llm import query_similar  # noqa: F401
 from tradeloom.llm import query_benchmark  # noqa: F401
+from tradeloom.llm import query_structure  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

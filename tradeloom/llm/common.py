@@ -54,28 +54,33 @@ def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def looked_up(asked: DataFrame, known: DataFrame, key: str, weight: str, max_hot: int = 250_000, max_bytes: int = 32 << 20) -> DataFrame:
-    """``asked`` with the columns of ``known`` (one row a key, both staged), null where a key is unknown.
-
-    ``weight`` says how often a key is asked at most. The heaviest keys, by powers of two, are
-    broadcast as far as ``max_hot`` rows and ``max_bytes`` go; the others are shuffled, and none
-    of those meets many rows in one task."""
-    size = sum((F.coalesce(F.length(c), F.lit(0)) if known.schema[c].dataType.simpleString() in ("string", "binary") else F.lit(8) for c in known.columns), F.lit(64))
-    rows = known.groupBy(F.floor(F.log2(F.greatest(weight, F.lit(1)))).alias("level")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
+def heaviest(known: DataFrame, weight: str, max_hot: int = 250_000, max_bytes: int = 32 << 20) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of the staged ``known`` whose ``weight`` reaches a power of two, as far as ``max_hot``
+    rows and ``max_bytes`` go, and the others; None where one of the two holds no row."""
+    text = lambda c: known.schema[c].dataType.simpleString() in ("string", "binary")
+    size = sum((F.coalesce(F.length(c), F.lit(0)) if text(c) else F.lit(8) for c in known.columns), F.lit(64))
+    rows = known.groupBy(F.floor(F.log2(F.greatest(F.col(weight), F.lit(1)))).alias("level")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
     least, n, n_bytes = None, 0, 0
     for r in sorted(rows, key=lambda r: -r["level"]):
         n, n_bytes = n + r["n"], n_bytes + r["bytes"]
         if n > max_hot or n_bytes > max_bytes:
-            break
+            return (None if least is None else known.where(F.col(weight) >= least)), (known if least is None else known.where(F.col(weight) < least))
         least = 2 ** r["level"]
-    else:
-        return asked.join(F.broadcast(known), key, "left")
-    if least is None:
-        return asked.join(known, key, "left")
-    hot = known.where(F.col(weight) >= least)
-    met = asked.join(F.broadcast(hot.select(key)), key, "left_semi").join(F.broadcast(hot), key)
-    rest = asked.join(F.broadcast(hot.select(key)), key, "left_anti").join(known.where(F.col(weight) < least), key, "left")
-    return met.unionByName(rest)
+    return known, None
+
+
+def looked_up(asked: DataFrame, known: DataFrame, key: str, weight: str, max_hot: int = 250_000) -> DataFrame:
+    """``asked`` with the columns of ``known`` (one row a key, both staged), null where a key is unknown.
+
+    ``weight`` says how often a key is asked at most. The heaviest keys are broadcast, bounded in
+    number and bytes; the others are shuffled, and none of those meets many rows in one task."""
+    hot, rest = heaviest(known, weight, max_hot)
+    if rest is None:
+        return asked.join(F.broadcast(hot), key, "left")
+    if hot is None:
+        return asked.join(rest, key, "left")
+    keys = F.broadcast(hot.select(key))
+    return asked.join(F.broadcast(hot), key).unionByName(asked.join(keys, key, "left_anti").join(rest, key, "left"))
 
 
 def struct_array(fields: dict[str, pa.Array]) -> pa.StructArray:

@@ -17,5 +17,6 @@ from tradeloom.llm import query_similar  # noqa: F401
 from tradeloom.llm import query_benchmark  # noqa: F401
 from tradeloom.llm import query_structure  # noqa: F401
 from tradeloom.llm import query_whitening  # noqa: F401
+from tradeloom.llm import query_language  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 CURRENCY_AND_GROUPING = r"[£$€¥₹,\s]"
 NO_VALUE = ["nan", "None", "", "-", "N/A", "n/a"]
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+WHOLE_NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 
 
 def parse_number(text: Column) -> Column:
@@ -28,11 +29,20 @@ def in_range(number: Column, kind: str) -> Column:
     return F.when(F.abs(number) < float("inf"), number.try_cast(kind))
 
 
+def cell_number(text: Column, kind: str = "double") -> Column:
+    """Number held in a free-form cell, NULL when it is unreadable, not finite or too large for the
+    type. The cell stands once in the expression, so that many such columns compile together;
+    the texts that mean "no value" are no plain numbers either."""
+    plain = F.regexp_extract(without_marks(text), WHOLE_NUMBER, 0)
+    if kind.startswith("decimal"):
+        return plain.try_cast("double").try_cast(kind)
+    # Infinity is the one double that no decimal text within the range stands for.
+    return F.nullif(F.nullif(plain.try_cast(kind), F.lit(float("inf"))), F.lit(float("-inf")))
+
+
 def clean_numeric(text: Column) -> Column:
     """Number held in a free-form cell; anything unreadable or not finite counts as 0."""
-    bare = without_marks(text)
-    return F.when(bare.isin(NO_VALUE), F.lit(0.0)).otherwise(
-        F.coalesce(in_range(parse_number(bare), "double"), F.lit(0.0)))
+    return F.coalesce(cell_number(text), F.lit(0.0))
 
 
 def safe_float(value: Column, default: float = 0.0) -> Column:

@@ -257,20 +257,34 @@ SHEETS = [
 ]
 
 
+#: A cell with what sheets hold in notes: doubled quotes, line ends, every delimiter.
+NOTE = 'first "line"\r\nsecond, line; with | and \t in it'
+
+
 def written_sheets(spark: SparkSession, d: str) -> str:
-    """All trading lines as sheets in four dialects by year, with marks a spreadsheet export has."""
+    """All trading lines as sheets in four dialects by year, two a dataset, with marks a spreadsheet
+    export has and notes in quoted cells of several lines."""
     path = scratch(spark, "sheets")
-    y = F.element_at(F.split("dataset_id", ":"), 2).cast("int")
-    base = tt.trading_lines(spark, d)
-    for i, (sep, names) in enumerate(SHEETS):
-        rows = base.where(F.pmod(y, F.lit(4)) == i)
+    base = tt.trading_lines(spark, d).withColumn("folder", F.replace("dataset_id", F.lit(":"), F.lit("_"))).withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(2)))
+    dialect = F.pmod(F.element_at(F.split("folder", "_"), 2).cast("int"), F.lit(len(SHEETS)))
+    note = F.when(F.pmod(F.xxhash64("row_id"), F.lit(7)) == 0, NOTE)
+
+    def cells(i: int, names: dict) -> dict:
         # Every fourth year gives margins as fractions.
         margin = F.when(F.lit(i == 3), F.col("margin_pct") / 100).otherwise(F.col("margin_pct"))
-        rows.select(
-            F.replace("dataset_id", F.lit(":"), F.lit("_")).alias("folder"), F.col("sku").alias(names["sku"]), F.col("units").cast("string").alias(names["units"]),
-            F.concat(F.lit("£"), F.format_number("revenue", 4)).alias(names["revenue"]), F.concat(margin.cast("string"), F.lit("%" if i == 0 else "")).alias(names["margin"]),
-            F.col("category").alias(names["category"]), F.col("name").alias(names["name"]), F.col("channel").alias(names["channel"]), F.lit(None).cast("string").alias("Blank"),
-        ).write.partitionBy("folder").option("sep", sep).option("header", True).mode("append").csv(path)
+        return {names["sku"]: F.col("sku"), names["units"]: F.col("units").cast("string"), names["revenue"]: F.concat(F.lit("£"), F.format_number("revenue", 4)),
+                names["margin"]: F.concat(margin.cast("string"), F.lit("%" if i == 0 else "")), names["category"]: F.col("category"), names["name"]: F.col("name"),
+                names["channel"]: F.col("channel"), "Blank": F.lit(None).cast("string"), "Notes": note}
+
+    line = header = F.lit(None).cast("string")
+    for i, (sep, names) in enumerate(SHEETS):
+        made = cells(i, names)
+        line = F.when(dialect == i, F.to_csv(F.struct(*[c.alias(k) for k, c in made.items()]), {"sep": sep, "escape": '"', "quote": '"'})).otherwise(line)
+        header = F.when(dialect == i, F.lit(sep.join(made))).otherwise(header)
+    rows = base.select("folder", "part", F.lit(1).alias("place"), line.alias("value"))
+    heads = base.select("folder", "part").distinct().select("folder", "part", F.lit(0).alias("place"), header.alias("value"))
+    sheets = rows.unionByName(heads).repartition("folder", "part").sortWithinPartitions("folder", "part", "place")
+    sheets.select("folder", "part", "value").write.partitionBy("folder", "part").text(path)
     return path
 
 

@@ -1,31 +1,29 @@
 """Reading delimited sheets (CSV, TSV, TXT) with the delimiter found per file.
 
-Lines come through Spark's text reader, from any store it reads, in splits of any size. They
-are dealt out by file and sorted by position, and each task streams through its files once:
-the first non-blank line gives the delimiter and the header, the header gives the position of
-every role, and the records below are cut into cells as spreadsheets write them, with doubled
-quotes and line breaks inside quotes. No file is held whole, no list of files or headers
-leaves the executors, and the plan doesn't grow with the number of headers.
+Lines come through Spark's text reader, from any store it reads, in splits of any size, and are
+not moved: a task cuts its split into records on its own (see ``splits``). The first non-blank line
+of a file gives the delimiter and the header, the header the position of every role. Files of a
+single split, the usual case, are read once. For larger ones a pass before finds out how each
+split starts; one small row a split tells its task, together with the header. Only records that lie across
+borders of splits are brought together. No file is held whole, no list of files or headers
+passes through the driver, and the plan doesn't grow with the number of headers.
 """
 
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tradeloom.functions.numbers import clean_numeric, in_range, parse_number, without_marks
+from tradeloom.functions.numbers import cell_number, clean_numeric, in_range, parse_number, without_marks
 from tradeloom.operators.rollup import as_percent, derive_margin
 from tradeloom.sources.roles import KEY_HEADERS, REQUIRED, ROLES, has_role, mask_of, missing_required, role_positions
+from tradeloom.sources.splits import OPEN, RECORD, cut, entries, header_of, stretches
 from tradeloom.staging import staged
 
-# Delimiters considered; the first one wins a tie.
-DELIMITERS = [",", ";", "\t", "|"]
 # Cell texts that count as empty.
 EMPTY_CELLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
                "NaN", "None", "n/a", "nan", "null"]
@@ -34,65 +32,161 @@ NUMERIC_ROLES = ["units", "revenue", "stock", "cost", "full_price_sales", "buy_q
 MONEY = {"units": "decimal(18,2)", "revenue": "decimal(18,4)", "cost": "decimal(18,4)", "margin_value": "decimal(18,6)",
          "retail": "decimal(18,2)", "full_price_sales": "decimal(18,4)"}
 CHUNK = 5000
-_PARSED = ("file string, dataset_id string, n long, " + ", ".join(f"{r} string" for r in ROLES)
-           + ", role_mask int, header string, delimiter string, found map<string,string>, reason string")
-
-
-def delimiter_of(header: str) -> str:
-    """The delimiter seen most outside quotes, a comma when there is none."""
-    bare = re.sub('"[^"]*"', "", header)
-    return max(DELIMITERS, key=lambda d: (bare.count(d), -DELIMITERS.index(d)))
-
-
-def parsed_file(lines: Iterator[str]) -> Iterator[dict]:
-    """Of one file's lines in order: what its header says, then its records by role."""
-    first = next((x for x in (x.lstrip("\ufeff") for x in lines) if x.strip()), None)
-    if first is None:
-        return
-    delimiter, empty = delimiter_of(first), set(EMPTY_CELLS)
-    csv.field_size_limit(1 << 30)
-    records = csv.reader((x + "\n" for x in chained(first, lines)), delimiter=delimiter, doublequote=True)
-    columns = [c.strip() for c in next(records)]
-    positions = role_positions(columns)
-    named = [i for i, c in enumerate(columns) if c and not c.startswith("Unnamed:")]
-    mask, reason = mask_of(positions), missing_required([columns[i] for i in named])
-    yield {"n": -1, "header": first, "delimiter": delimiter, "found": {r: columns[i] for r, i in positions.items()}, "reason": reason}
-    if reason:
-        return
-    for n, cells in enumerate(records):
-        if any(i < len(cells) and cells[i] not in empty for i in named):
-            held = {r: cells[i] for r, i in positions.items() if i < len(cells) and cells[i] not in empty}
-            yield {"n": n, "role_mask": mask, **held}
-
-
-def chained(first: str, rest: Iterator[str]) -> Iterator[str]:
-    yield first
-    yield from rest
+#: Rows of ``entries`` up to which they are broadcast: one for each further 128 MB of large files.
+MAX_SPLITS = 1_000_000
+NO_HEADER = "The header has to start and end in a file's first split."
+_FACTS = ["file", "dataset_id", "block"]
+_PARSED = ("file string, dataset_id string, block long, n long, " + ", ".join(f"{r} string" for r in ROLES)
+           + ", role_mask int, header string, delimiter string, found map<string,string>, reason string, kind string, text string, head string")
+_KINDS = {"block": pa.int64(), "n": pa.int64(), "role_mask": pa.int32(), "found": pa.map_(pa.string(), pa.string())}
+_FIELDS = [f.strip().split()[0] for f in _PARSED.replace("map<string,string>", "map").split(",")]
+
+
+class Sheet:
+    """What a header record says: positions of the roles, and a reason to reject the file."""
+
+    def __init__(self, head: str, delimiter: str):
+        csv.field_size_limit(1 << 30)
+        self.delimiter = delimiter
+        columns = [c.strip() for c in next(csv.reader([head], delimiter=delimiter), [])]
+        self.positions = role_positions(columns)
+        self.named = [i for i, c in enumerate(columns) if c and not c.startswith("Unnamed:")]
+        self.mask, self.reason = mask_of(self.positions), missing_required([columns[i] for i in self.named])
+        self.found = {r: columns[i] for r, i in self.positions.items()}
+
+    def rows(self, records: Iterator[str], facts: tuple) -> Iterator[pa.RecordBatch]:
+        """The cells of records by role; records without any cell are left out."""
+        empty, at = set(EMPTY_CELLS), list(self.positions.values())
+        columns, numbers = [[] for _ in at], []
+        for n, cells in enumerate(csv.reader(records, delimiter=self.delimiter, doublequote=True)):
+            size = len(cells)
+            held = [cells[i] if i < size and cells[i] not in empty else None for i in at]
+            if any(held) or any(i < size and cells[i] not in empty for i in self.named):
+                numbers.append(n)
+                for column, cell in zip(columns, held):
+                    column.append(cell)
+                if len(numbers) == CHUNK:
+                    yield self.batch(columns, numbers, facts)
+                    columns, numbers = [[] for _ in at], []
+        if numbers:
+            yield self.batch(columns, numbers, facts)
+
+    def batch(self, columns: list[list], numbers: list[int], facts: tuple) -> pa.RecordBatch:
+        return batch_of(len(numbers), {**dict(zip(self.positions, columns)), "n": numbers, **{k: [v] * len(numbers) for k, v in {**dict(zip(_FACTS, facts)), "role_mask": self.mask}.items()}})
+
+
+def batch_of(n: int, columns: dict[str, list]) -> pa.RecordBatch:
+    kinds = [(f, _KINDS.get(f, pa.string())) for f in _FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(columns[f], k) if f in columns else pa.nulls(n, k) for f, k in kinds], _FIELDS)
+
+
+def one_row(facts: tuple, **values) -> pa.RecordBatch:
+    return batch_of(1, {**{k: [v] for k, v in zip(_FACTS, facts)}, **{k: [list(v.items()) if k == "found" else v] for k, v in values.items()}})
+
+
+def lines_of(spark: SparkSession, path: str, dataset: Column | None) -> DataFrame:
+    """(file, dataset_id, block, whole, value) of all lines of a folder; a split's lines lie in one
+    partition, in order. ``whole`` says that the file has no other split."""
+    text = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    whole = F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")
+    return text.select(F.col("_metadata.file_path").alias("file"), (file_stem() if dataset is None else dataset).alias("dataset_id"),
+                       F.col("_metadata.file_block_start").alias("block"), whole.alias("whole"), "value")
+
+
+def sheet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Headers, records and fragments of a task's splits."""
+    for (file, dataset_id, block, whole, inside, delimiter, head), lines in stretches(batches, 7):
+        facts, left = (file, dataset_id, block), []
+        if block == 0:
+            found = header_of(lines)
+            if found is None and whole:
+                continue
+            first, delimiter, head, cuts = found or (None, None, None, None)
+            sheet = Sheet(head, delimiter) if head else None
+            reason = sheet.reason if sheet else NO_HEADER
+            yield one_row(facts, n=-1, header=first, delimiter=delimiter, found=sheet.found if sheet else {}, reason=reason)
+        elif inside is None:
+            raise RuntimeError(f"splits of {file} changed while it was read")
+        else:
+            sheet = Sheet(head, delimiter) if head else None
+            reason, cuts = sheet.reason if sheet else NO_HEADER, cut(lines, inside, delimiter)
+        if reason:
+            continue
+        yield from sheet.rows(whole_records(cuts, left, whole), facts)
+        for n, (kind, text) in left:
+            yield one_row(facts, n=n, kind=kind, text=text, delimiter=delimiter, head=head)
+
+
+def whole_records(cuts: Iterator[tuple[str, str]], left: list, whole: bool) -> Iterator[str]:
+    """Records of a split; fragments, numbered as records, go to ``left``."""
+    n = 0
+    for kind, text in cuts:
+        if kind == RECORD or kind == OPEN and whole:
+            yield text
+            n += 1
+        else:
+            left.append((n, (kind, text)))
+
+
+def records(lines: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """Headers (n = -1), records and fragments of ``lines``; ``starts`` are the staged ``entries``."""
+    if starts is None:
+        lines = lines.select("*", F.lit(None).cast("boolean").alias("inside"), *[F.lit(None).cast("string").alias(c) for c in ("delimiter", "head")])
+    elif starts.count() <= MAX_SPLITS:
+        lines = lines.join(F.broadcast(starts), ["file", "block"], "left")
+    else:
+        numbered = lines.withColumn("place", F.monotonically_increasing_id())
+        lines = numbered.join(starts, ["file", "block"], "left").sortWithinPartitions("file", "block", "place")
+    return lines.select("file", "dataset_id", "block", "whole", "inside", "delimiter", "head", "value").mapInArrow(sheet_rows, _PARSED)
+
+
+def stitched(fragments: DataFrame) -> DataFrame:
+    """Records whose parts lie in several splits, at the place they begin."""
+    order = Window.partitionBy("file").orderBy("block", F.col("kind") == OPEN)
+    begun = F.last(F.when(F.col("kind") == OPEN, F.struct("block", "n")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = fragments.select("file", "dataset_id", "delimiter", "head", begun.alias("begun"), F.struct("block", "text").alias("part"))
+    whole = parts.groupBy("file", "dataset_id", "delimiter", "head", "begun").agg(F.array_sort(F.collect_list("part"))["text"].alias("texts"))
+    whole = whole.select("file", "dataset_id", "begun.block", "begun.n", "delimiter", "head", F.array_join("texts", "\n").alias("text"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, dataset_id, block, n, delimiter, head), texts in stretches(batches, 6):
+            for batch in Sheet(head, delimiter).rows(texts, (file, dataset_id, block)):
+                yield batch.set_column(_FIELDS.index("n"), "n", pa.array([n] * batch.num_rows, pa.int64()))
+
+    return whole.mapInArrow(parse, _PARSED)
 
 
 def parsed(spark: SparkSession, path: str, dataset: Column | None = None) -> DataFrame:
-    """All files of a folder, read once: a row for each header (n = -1) and each record."""
-    text = spark.read.option("recursiveFileLookup", "true").text(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    lines = text.select(F.col("_metadata.file_path").alias("file"), (file_stem() if dataset is None else dataset).alias("dataset_id"), place.alias("place"), "value")
-    lines = lines.repartition("file").sortWithinPartitions("file", "place").select("file", "dataset_id", "value")
-    fields = [f.split()[0] for f in _PARSED.split(", ")]
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, flat = [], (r for pdf in batches for r in zip(pdf["file"], pdf["dataset_id"], pdf["value"]))
-        for (file, dataset_id), own in groupby(flat, key=lambda r: r[:2]):
-            for row in parsed_file(r[2] for r in own):
-                rows.append({"file": file, "dataset_id": dataset_id, **row})
-                if len(rows) == CHUNK:
-                    yield table_of(rows, fields)
-                    rows = []
-        yield table_of(rows, fields)
-
-    return lines.mapInPandas(records, _PARSED)
-
-
-def table_of(rows: list[dict], fields: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({f: pd.Series([r.get(f) for r in rows], dtype="Int32" if f == "role_mask" else "int64" if f == "n" else "object") for f in fields})
+    """All files of a folder, staged: a row for each header (n = -1) and each record."""
+    # The splits of both passes have to be the same, whatever cores come and go between them.
+    setting, confs = "spark.sql.files.minPartitionNum", [spark.conf.get(f"spark.sql.files.{c}") for c in ("maxPartitionBytes", "openCostInBytes")]
+    given = spark.conf.get(setting, None)
+    largest = sizes(spark, path).agg(F.max("length")).first()[0] or 0
+    if given is None:
+        spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    try:
+        lines, starts = lines_of(spark, path, dataset), None
+        if largest > min(map(in_bytes, confs)):
+            starts = staged(entries(lines.where("NOT whole")), "split-entries")
+        found = staged(records(lines, starts), "sheets")
+    finally:
+        if given is None:
+            spark.conf.unset(setting)
+    complete, fragments = found.where("kind IS NULL").drop("kind", "text", "head"), found.where("kind IS NOT NULL")
+    if starts is None or starts.isEmpty():
+        return complete
+    return complete.unionByName(staged(stitched(fragments), "stitched").drop("kind", "text", "head"))
+
+
+def in_bytes(setting: str) -> int:
+    """Bytes of a size setting such as 134217728b or 128MB."""
+    number = setting.rstrip("bBkKmMgGtT")
+    return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(setting[len(number):].lower().rstrip("b"), 0)
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of all files, without reading them."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("_metadata.file_path").alias("file"))
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
@@ -117,13 +211,12 @@ def file_stem() -> Column:
 
 
 def scan_delimited(spark: SparkSession, path: str, dataset: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Role-mapped raw sheets of a folder, and the rejected files with their reason. The files
-    are read once; both results come from the stored records. A file of no bytes is one that
-    Spark's readers don't list, so it is neither read nor rejected."""
-    found = staged(parsed(spark, path, dataset), "sheets")
-    raw = found.where("n >= 0").select("dataset_id", F.struct("file", "n").alias("row_id"), *ROLES, "role_mask")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file"))
-    blank = files.join(found.where("n < 0").select("file"), "file", "left_anti").select("file", F.lit("File is empty.").alias("reason"))
+    """Role-mapped raw sheets of a folder, and the rejected files with their reason. Both results
+    come from the stored records. A file of no bytes is one that Spark's readers don't list, so it
+    is neither read nor rejected."""
+    found = parsed(spark, path, dataset)
+    raw = found.where("n >= 0").select("dataset_id", F.struct("file", "block", "n").alias("row_id"), *ROLES, "role_mask")
+    blank = sizes(spark, path).select("file").join(found.where("n < 0").select("file"), "file", "left_anti").select("file", F.lit("File is empty.").alias("reason"))
     return raw, found.where("reason IS NOT NULL").select("file", "reason").unionByName(blank)
 
 
@@ -140,7 +233,7 @@ PERCENTS = ["margin_pct", "sell_through"]
 
 
 def number_in(role: str) -> Column:
-    return clean_numeric(F.coalesce(role, F.lit("")))
+    return clean_numeric(F.col(role))
 
 
 def dataset_facts(raw: DataFrame, percents: list[str]) -> DataFrame:
@@ -165,11 +258,11 @@ def clean_lines(raw: DataFrame, fix_cover: bool = False) -> DataFrame:
     percents = PERCENTS + (["cover_weeks"] if fix_cover else [])
     facts = staged(dataset_facts(raw, percents), "facts")
     out = raw.drop("role_mask").join(facts.where(complete()), "dataset_id")
-    for role in NUMERIC_ROLES:
-        kind = MONEY.get(role, "double")
-        out = out.withColumn(role, F.when(has_role(role), F.coalesce(in_range(number_in(role), kind), F.lit(0).cast(kind))))
-    for role in percents:
-        out = out.withColumn(role, as_percent(role, f"max_{role}"))
+    # One small function reads all cells: eleven copies of it in one compiled method are too large for the JVM to optimise.
+    out = out.withColumn("_numbers", F.transform(F.array(*[F.when(has_role(r), F.coalesce(r, F.lit(""))) for r in NUMERIC_ROLES]), lambda c: F.when(c.isNotNull(), clean_numeric(c))))
+    number = lambda i, kind: F.get("_numbers", F.lit(i)) if kind == "double" else F.coalesce(F.get("_numbers", F.lit(i)).try_cast(kind), F.when(F.get("_numbers", F.lit(i)).isNotNull(), F.lit(0).cast(kind)))
+    out = out.withColumns({r: number(i, MONEY.get(r, "double")) for i, r in enumerate(NUMERIC_ROLES)}).drop("_numbers")
+    out = out.withColumns({r: as_percent(r, f"max_{r}") for r in percents})
     return derive_margin(out.drop(*[f"max_{r}" for r in percents]))
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,45 @@ def test_hot_account_over_many_slices(spark, seed):
     assert got == brute_force(rows)
 
 
+def test_a_slice_as_a_function_of_its_entry():
+    """Any attempts, any state before: the function gives what a walk gives."""
+    rng = random.Random(11)
+    for _ in range(3000):
+        lock, clock, times = rng.choice([4, 10, 30]), rng.randint(1, 50), []
+        for _ in range(rng.randint(1, 25)):
+            clock += rng.choice([0, 1, 1, 2, lock, lock + 1, lock // 2])
+            times.append(clock)
+        ok = [rng.random() < rng.choice([0, 0, 0.2]) for _ in times]
+        table = lockout.Transition(np.array(times, dtype=np.int64), np.array(ok), lock).table()
+        for _ in range(12):
+            last = times[0] - rng.choice([0, 1, lock - 1, lock, lock + 1, 2 * lock])
+            fails = rng.choice([0, 1, 2, 3, 4, 5, 6, 9])
+            state = (fails, last, last + lock if fails >= 5 else 0) if fails else lockout.CLEAR
+            want = state
+            for t, success in zip(times, ok):
+                want, _, _ = lockout.step(want, t, success, lock)
+            assert lockout.applied(table, state) == want, (times, ok, lock, state)
+
+
+def jobs(spark, work):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup("lockout-jobs")
+    spark.sparkContext.setJobGroup("lockout-jobs", "counted")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup("lockout-jobs")) - len(before)
+
+
+def test_jobs_do_not_grow_with_slices(spark):
+    """One account that never pauses, over 4 and over 60 slices."""
+    rows = [("hot", 3 * i, False) for i in range(6000)]
+    frame = attempts(spark, rows)
+    few, n_few = jobs(spark, lambda: {r.attempt_id: r.status for r in lockout.lockout_batch(frame, slices=4).collect()})
+    many, n_many = jobs(spark, lambda: {r.attempt_id: r.status for r in lockout.lockout_batch(frame, slices=60).collect()})
+    assert few == many == brute_force(rows) and abs(n_many - n_few) <= 1
+
+
 def test_episodes(spark):
     rows = [("a", 0, False), ("a", 900, False), ("a", 1801, False), ("a", 1900, True), ("b", 5, False), ("b", 9000, False)]
     got = {(r.account, r.started, r.failures) for r in lockout.failure_episodes(attempts(spark, rows)).collect()}

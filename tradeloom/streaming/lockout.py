@@ -7,13 +7,16 @@ with very many attempts is spread over many tasks; see ``lockout_batch``.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeloom.operators.ordering import SLICE, sliced
+from tradeloom.staging import staged
 
 # Failures before a lock, seconds of a lock, delay steps in seconds.
 MAX_FAILS, LOCK_SECONDS, BASE_DELAY, MAX_DELAY = 5, 900, 0.5, 5.0
@@ -21,6 +24,9 @@ SECOND = 1_000_000
 ROWS_PER_SLICE = 1_000_000
 OUTPUT = "account string, ts_us bigint, attempt_id bigint, status string, fails int, locked boolean, delay double"
 CLEAR = (0, 0, 0)
+_FUNCTION = {"relative": "array<boolean>", "fails": "array<bigint>", "lasts": "array<bigint>", "until": "array<bigint>", "direct": "array<int>", "near": "array<bigint>",
+             "behind": "array<int>", "same": "array<int>", "end": "bigint", "lock": "bigint"}
+_TRANSITION = f"account string, {SLICE} int, state array<bigint>, " + ", ".join(f"{k} {v}" for k, v in _FUNCTION.items())
 
 
 def account_key(email: Column) -> Column:
@@ -70,11 +76,12 @@ def in_order(rows: pd.DataFrame) -> pd.DataFrame:
 def lockout_batch(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, slices: int | None = None) -> DataFrame:
     """Outcome of every attempt: SUCCESS, FAILURE or BLOCKED.
 
-    A slice needs to know in which state the account it starts with left the slice before.
-    All slices first assume a clear state; a slice whose assumption proves wrong is walked
-    again, until no state changes. Any success, pause or expired lock makes the outcome
-    independent of what came before, so one or two rounds are the rule. The driver sees one
-    state per slice, never attempts.
+    A slice needs to know in which state the account it starts with left the slice before. Where
+    an account fills a slice, the slice is summed up as a function from the state it is entered in
+    to the state it is left in (see ``Transition``), and the functions of an account are composed in order.
+    That takes the same few jobs however many slices an account fills; every slice is
+    sorted once for its function and once for its outcomes. The driver sees one state per slice,
+    never attempts.
     """
     lock_us = lock_seconds * SECOND
     shaped = attempts.select("account", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "attempt_id", "success")
@@ -84,31 +91,135 @@ def lockout_batch(attempts: DataFrame, lock_seconds: int = LOCK_SECONDS, slices:
         F.min("account").alias("first"), F.max("account").alias("last")).collect()}
     order = sorted(edges)
     follower = {a: b for a, b in zip(order, order[1:]) if edges[a][1] == edges[b][0]}
-    entry: dict[int, tuple] = {}
-    todo = list(follower)
-    while todo:
-        ends = parts.where(F.col(SLICE).isin(todo)).groupBy(SLICE).applyInPandas(
-            exit_states(dict(entry), lock_us), f"{SLICE} int, fails bigint, last bigint, until bigint").collect()
-        todo = []
-        for e in ends:
-            nxt, state = follower[e[SLICE]], (e["fails"], e["last"], e["until"])
-            if entry.get(nxt, CLEAR) != state:
-                entry[nxt] = state
-                if nxt in follower and edges[nxt][0] == edges[nxt][1]:
-                    todo.append(nxt)
-    return parts.groupBy(SLICE).applyInPandas(outcomes(dict(entry), lock_us), OUTPUT).withColumn(
+    entered = {b for a, b in follower.items() if edges[b][0] == edges[b][1]}
+    left = parts.where(F.col(SLICE).isin(list(follower))).groupBy(SLICE).applyInPandas(transitions(entered, lock_us), _TRANSITION)
+    dealt = staged(left, "lockout-transitions").repartition("account").sortWithinPartitions("account", SLICE)
+    entry = {follower[r[SLICE]]: (r["fails"], r["last"], r["until"]) for r in dealt.mapInPandas(composed, f"{SLICE} int, fails bigint, last bigint, until bigint").collect()}
+    return parts.groupBy(SLICE).applyInPandas(outcomes(entry, lock_us), OUTPUT).withColumn(
         "ts", F.timestamp_micros("ts_us")).drop("ts_us")
 
 
-def exit_states(entry: dict, lock_us: int):
-    """Per slice, the state its last account leaves it in."""
+class Transition:
+    """How one account's attempts in a slice change its state, for every state before.
+
+    An account that isn't locked enters with a count of 0 to 4 at the first attempt. One that
+    is locked waits for the first attempt at or behind the lock's end and, behind it, starts from 0 there;
+    a lock ends at most its length behind the slice's start, so only the attempts up to then
+    come into question. An attempt exactly at the end goes on counting, from any count the lock
+    has. Paths through the attempts that meet stay together, so each (attempt, count) is followed once.
+    """
+
+    def __init__(self, ts: np.ndarray, success: np.ndarray, lock_us: int):
+        self.ts, self.success, self.lock, self.n = ts, success, lock_us, len(ts)
+        self.known: dict[tuple[int, int], int] = {}
+        self.ids: dict[tuple, int] = {}
+        self.exits: list[tuple] = []
+
+    def exit_id(self, *state) -> int:
+        if state not in self.ids:
+            self.ids[state] = len(self.exits)
+            self.exits.append(state)
+        return self.ids[state]
+
+    def follow(self, j: int, count: int) -> int:
+        """Exit when attempt j is met with ``count`` failures in a row; a count of 5 stands for any
+        that goes on behind an expired lock, and the exit tells how many to add."""
+        path, more, found = [], 0, None
+        while found is None:
+            if (j, count) in self.known and not more:
+                found = self.known[j, count]
+                break
+            if not more:
+                path.append((j, count))
+            now = int(self.ts[j])
+            if self.success[j]:
+                j, count, more = j + 1, 0, 0
+                found = self.exit_id(False, *CLEAR) if j == self.n else None
+            elif count + 1 < MAX_FAILS:
+                if j + 1 == self.n:
+                    found = self.exit_id(False, count + 1, now, 0)
+                else:
+                    count = 0 if self.ts[j + 1] - now > self.lock else count + 1
+                    j += 1
+            else:
+                more += count == MAX_FAILS
+                relative = more > 0
+                until = now + self.lock
+                j = int(np.searchsorted(self.ts, until))
+                if j >= self.n:
+                    found = self.exit_id(relative, more if relative else MAX_FAILS, now, until)
+                elif self.ts[j] > until:
+                    count, more = 0, 0
+                elif not relative:
+                    # A lock made here, followed by an attempt at its very end: a plain walk from there.
+                    found = self.locked_at(j)
+                else:
+                    count = MAX_FAILS
+        for key in path:
+            self.known[key] = found
+        return found
+
+    def locked_at(self, j: int) -> int:
+        """Exit behind a lock of five failures whose end is the time of attempt j."""
+        relative, fails, last, until = self.exits[self.follow(j, MAX_FAILS)]
+        return self.exit_id(False, fails + MAX_FAILS if relative else fails, last, until)
+
+    def table(self) -> dict[str, list]:
+        """What ``apply`` needs, as columns."""
+        last = int(self.ts[-1])
+        near = min(self.n, int(np.searchsorted(self.ts, self.ts[0] + self.lock, "right")) + 1)
+        direct = [self.follow(0, c) for c in range(MAX_FAILS)]
+        behind, same = [], []
+        for j in range(near):
+            behind.append(self.follow(j, 0))
+            same.append(self.follow(j, MAX_FAILS))
+        relative, fails, lasts, until = zip(*self.exits)
+        return {"relative": list(relative), "fails": list(fails), "lasts": list(lasts), "until": list(until), "direct": direct,
+                "near": self.ts[:near].tolist(), "behind": behind, "same": same, "end": last, "lock": self.lock}
+
+
+def applied(t: dict, state: tuple) -> tuple:
+    """The state behind a slice that is entered in ``state``."""
+    fails, last, until = state
+    first = t["near"][0]
+    if fails >= MAX_FAILS and until >= first:
+        if until > t["end"]:
+            return state
+        j = bisect.bisect_left(t["near"], until)
+        i = t["same"][j] if t["near"][j] == until else t["behind"][j]
+    else:
+        i = t["direct"][0 if not fails or first - last > t["lock"] else fails]
+    return (t["fails"][i] + (fails if t["relative"][i] else 0), t["lasts"][i], t["until"][i])
+
+
+def transitions(entered: set, lock_us: int):
+    """Per slice, how its last account leaves it: a state, or a function of the one it enters with."""
     def of_slice(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows[SLICE].iloc[0])
-        _, state = walk(in_order(rows), entry.get(number, CLEAR), lock_us)
-        return pd.DataFrame([(number, *state)], columns=[SLICE, "fails", "last", "until"])
+        number, account = int(rows[SLICE].iloc[0]), rows["account"].max()
+        rows = in_order(rows[rows["account"] == account])
+        out = dict.fromkeys(_FUNCTION, None) | {"account": account, SLICE: number, "state": None}
+        if number in entered:
+            out |= Transition(rows["ts_us"].to_numpy(), rows["success"].to_numpy(dtype=bool), lock_us).table()
+        else:
+            out["state"] = list(walk(rows, CLEAR, lock_us)[1])
+        return pd.DataFrame({k: [v] for k, v in out.items()})
     return of_slice
 
 
+def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state each slice is left in, for slices that come in order of account and number."""
+    state = CLEAR
+    for pdf in batches:
+        out = []
+        for row in pdf.to_dict("records"):
+            if row["state"] is not None:
+                state = tuple(int(v) for v in row["state"])
+            else:
+                state = applied({k: row[k] for k in _FUNCTION}, state)
+            out.append((row[SLICE], *map(int, state)))
+        yield pd.DataFrame(out, columns=[SLICE, "fails", "last", "until"])
+
+
 def outcomes(entry: dict, lock_us: int):
     """Per slice, the outcome of every attempt."""
     def of_slice(rows: pd.DataFrame) -> pd.DataFrame:

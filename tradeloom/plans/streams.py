@@ -63,10 +63,7 @@ def run_batches(stream: DataFrame, step, folder: str) -> None:
 
 @register("billing_dedup_stream", f"SELECT {BILL} FROM first_billing")
 def _(spark, d):
-    folder, stream = scratch(spark, "dedup"), delivered(spark, d)
-    dedup = billing.DurableDedup(folder)
-    run_batches(stream, dedup, folder)
-    return dedup.rows(spark, stream.schema).select(*BILL.split(", "))
+    return drained(billing.billing_dedup_stream(delivered(spark, d)), "dedup").select(*BILL.split(", "))
 
 
 @register("billing_from_messages", f"SELECT id, type, customer, status, cast(epoch_us(ts) // 1000000 as bigint) AS created FROM first_billing")

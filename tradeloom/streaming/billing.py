@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Plan bought with each price; anything else counts as starter.
@@ -42,28 +45,36 @@ def billing_dedup(events: DataFrame, processed: DataFrame | None = None) -> Data
     return fresh.groupBy("id").agg(F.min_by(F.struct(*rest), key).alias("e")).select("id", "e.*")
 
 
-class DurableDedup:
-    """foreachBatch writer that appends each event id once, however late it is delivered again.
+def billing_dedup_stream(events: DataFrame) -> DataFrame:
+    """First delivery of each event id over a stream, however late it comes again.
 
-    Batch n writes ``rows/batch=n`` and compares with the batches before it, so a replayed
-    batch rewrites its own folder and gives the same rows. An event counts as processed only
-    when its rows are written: one whose batch failed is taken again.
+    The state store keeps the ids, so a batch looks up its own ids only and writes the new ones,
+    whatever the number of batches before. State and output are committed together: the ids of a
+    batch that failed are not kept, and it is taken again as a whole, also by a new driver.
     """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    order = ["ts", *(["delivery"] if "delivery" in events.columns else [])]
+    columns = list(events.columns)
 
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        before = [self.batch(i) for i in range(number)]
-        done = batch.sparkSession.read.schema(batch.schema).parquet(*before) if before else None
-        billing_dedup(batch, done).select(*batch.columns).write.mode("overwrite").parquet(self.batch(number))
+    class FirstDelivery(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", "seen boolean")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            first = None
+            if not self.seen.exists():
+                for pdf in rows:
+                    both = pdf if first is None else pd.concat([first, pdf])
+                    first = both.sort_values(order, kind="stable").head(1)
+                self.seen.update((True,))
+                yield first[columns]
 
-    def batch(self, number: int) -> str:
-        return f"{self.folder}/rows/batch={number}"
+        def close(self) -> None:
+            pass
 
-    def rows(self, spark: SparkSession, schema) -> DataFrame:
-        """All events processed so far."""
-        return spark.read.schema(schema).parquet(f"{self.folder}/rows")
+    return events.groupBy("id").transformWithStateInPandas(
+        statefulProcessor=FirstDelivery(), outputStructType=events.schema, outputMode="Append", timeMode="None")
 
 
 def plan_of(price: Column) -> Column:
@@ -119,29 +130,63 @@ def plan_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
 class PlanFold:
     """foreachBatch writer that folds billing events across batches.
 
-    What is kept is the last checkout per profile and the newest subscription event per
-    customer. Both merge in any order and any number of times, so late, repeated and replayed
-    events give what a batch over all of them gives. Batch n writes version n from n - 1.
+    Batch n appends its own last checkout per profile and newest subscription event per customer,
+    in proportion to its events. They merge in any order and any number of times, so late, repeated
+    and replayed events give what a batch over all of them gives; reading merges them.
+    ``compact`` sums up what is there, so that reading doesn't grow with the number of batches. All that is
+    known lies in the folder: a new driver reads the same plans.
     """
 
     def __init__(self, folder: str, profiles: DataFrame):
-        self.folder, self.profiles, self.version = folder, profiles, -1
+        self.folder, self.profiles = folder, profiles
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        for name, key, fresh in (("checkouts", "user_id", checkouts(batch, self.profiles)), ("subscriptions", "customer", subscriptions(batch))):
-            if number:
-                fresh = latest_of(fresh.unionByName(batch.sparkSession.read.schema(fresh.schema).parquet(f"{self.folder}/{name}/{number - 1}")), key)
-            fresh.write.mode("overwrite").parquet(f"{self.folder}/{name}/{number}")
-        self.version = number
+        for name, fresh in (("checkouts", checkouts(batch, self.profiles)), ("subscriptions", subscriptions(batch))):
+            fresh.write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={number}/{name}")
+
+    def compact(self, spark: SparkSession, through: int) -> None:
+        """Sum up the batches up to ``through``, which have all been written, and delete them."""
+        for name, (key, rows) in self.states(spark).items():
+            rows.where(F.col("batch") <= through).drop("batch").transform(latest_of, key).write.mode("overwrite").parquet(f"{self.folder}/sums/through={through}/{name}")
+        folders = self.written(spark)
+        for path, kind, number in folders:
+            if number < through or kind == "deltas" and number == through:
+                filesystem(spark, path).delete(path, True)
+
+    def written(self, spark: SparkSession) -> list[tuple]:
+        """(path, kind, number) of all folders whose two tables are complete."""
+        out = []
+        for kind in ("sums", "deltas"):
+            top = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+            store = filesystem(spark, top)
+            for entry in store.listStatus(top) if store.exists(top) else []:
+                whole = all(store.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), f"{name}/_SUCCESS")) for name in ("checkouts", "subscriptions"))
+                if whole:
+                    out.append((entry.getPath(), kind, int(entry.getPath().getName().split("=")[1])))
+        return out
+
+    def states(self, spark: SparkSession) -> dict[str, tuple[str, DataFrame]]:
+        """Per table its key and rows with the number of their batch: the newest sum and all batches behind it."""
+        folders = self.written(spark)
+        newest = max((n for _, kind, n in folders if kind == "sums"), default=-1)
+        kept = [(path, n) for path, kind, n in folders if kind == "sums" and n == newest or kind == "deltas" and n > newest]
+        out = {}
+        for name, key in (("checkouts", "user_id"), ("subscriptions", "customer")):
+            schema = f"{key} string, ts timestamp, id string, " + ("customer string, plan string" if name == "checkouts" else "plan string")
+            number = F.regexp_extract(F.col("_metadata.file_path"), "(?:batch|through)=([0-9]+)/", 1).cast("long")
+            paths = [f"{path.toString()}/{name}" for path, _ in kept]
+            rows = spark.read.schema(schema).parquet(*paths).withColumn("batch", number) if paths else spark.createDataFrame([], f"{schema}, batch long")
+            out[name] = key, rows
+        return out
 
     def plans(self, spark: SparkSession) -> DataFrame:
-        """Current plans after the last batch."""
-        read = lambda name: spark.read.parquet(f"{self.folder}/{name}/{self.version}")
-        return current_plans(self.profiles, read("checkouts"), read("subscriptions")) if self.version >= 0 else current_plans_unchanged(self.profiles)
+        """Current plans after all batches written so far."""
+        merged = {name: latest_of(rows.drop("batch"), key) for name, (key, rows) in self.states(spark).items()}
+        return current_plans(self.profiles, merged["checkouts"], merged["subscriptions"])
 
 
-def current_plans_unchanged(profiles: DataFrame) -> DataFrame:
-    return profiles.select("user_id", "plan", (F.col("customer") if "customer" in profiles.columns else F.lit(None).cast("string")).alias("customer"))
+def filesystem(spark: SparkSession, path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def billing_sink(target: str):

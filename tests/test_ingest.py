@@ -85,6 +85,21 @@ def test_inventory(spark, folder):
     assert (got["bad.csv"].size, got["bad.csv"].sha256, got["bad.csv"].extension) == (len(raw), hashlib.sha256(raw).hexdigest(), "csv")
 
 
+def test_inventory_of_large_files(spark, tmp_path, monkeypatch):
+    """Bytes of every kind, read as a stream: line ends, marks at the start, no text at all."""
+    import hashlib
+    import random
+
+    r = random.Random(5)
+    files = {"end.csv": b"a,b\n" * 900, "open.csv": b"a,b\n" * 900 + b"c", "mark.csv": b"\xef\xbb\xbf" + b"a\r\n" * 900, "mark_open.csv": b"\xef\xbb\xbf" + b"a\n" * 900 + b"\xef\xbb\xbf", "bytes.bin": r.randbytes(50_000),
+             "breaks.bin": b"\n" * 3000, "wide.bin": b"\0" * 3000, "cr.bin": b"\r" * 2000 + b"\n\r\n", "small.csv": b"x", "packed.csv.gz": r.randbytes(4000), "PACKED.GZ": r.randbytes(4000)}
+    (tmp_path / "below").mkdir()
+    for name, raw in files.items():
+        (tmp_path / "below" / name).write_bytes(raw)
+    got = {x.filename: (x.size, x.sha256) for x in delimited.file_inventory(spark, str(tmp_path), large=1000).collect()}
+    assert got == {name: (len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in files.items()}
+
+
 def test_inventory_of_all_lines(spark, sf_dir):
     import hashlib
 

@@ -345,13 +345,16 @@ def _(spark, d):
 
 
 @register("file_inventory", """
-SELECT n_nationkey AS key, cast(strlen(n_name) + 1 as bigint) AS size, sha256(n_name || chr(10)) AS sha256, 'txt' AS extension FROM nation""")
+SELECT source AS key, cast(sum(strlen(text) + 1) as bigint) AS size, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256, 'txt' AS extension
+FROM documents WHERE text IS NOT NULL GROUP BY 1""")
 def _(spark, d):
-    """Inventory of one text file per nation."""
+    """Inventory of one text file per source, of all its documents in order; files above 128 kB
+    are hashed as a stream."""
     path = scratch(spark, "files")
-    tt.table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name").repartition("key").write.partitionBy("key").text(path)
-    files = delimited.file_inventory(spark, path)
-    return files.select(F.regexp_extract("path", "key=([0-9]+)/", 1).cast("int").alias("key"), "size", "sha256", "extension")
+    texts = tt.table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("source").alias("key"), "doc_id", "text")
+    texts.repartition("key").sortWithinPartitions("key", "doc_id").select("key", "text").write.partitionBy("key").text(path)
+    files = delimited.file_inventory(spark, path, large=1 << 17)
+    return files.select(F.regexp_extract("path", "key=([^/]+)/", 1).alias("key"), "size", "sha256", "extension")
 
 
 @register("supplier_inventory", """

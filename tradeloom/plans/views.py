@@ -11,7 +11,8 @@ from tradeloom.operators import actions, category, reports, role_view, timeline
 from tradeloom.plans.book import STORED, AnalysisBook
 from tradeloom.plans.registry import CTES, compact, fixed, grouped, pounds, register, text, whole
 from tradeloom.sources import publish, testtables as tt
-from tradeloom.staging import scratch
+from tradeloom.sources.store import AnalysisStore
+from tradeloom.staging import scratch, staged
 
 # Report and action wording in the SQL below is that of the results.
 book = AnalysisBook.of_test_tables
@@ -535,12 +536,33 @@ PUBLISHED = {"sku_rollup": ("sku_rollup", "sku", "revenue"), "kpis": ("kpis", "N
              "channel_split": ("(SELECT dataset_id, channel, round(sum(revenue), 2) AS revenue FROM trading_lines GROUP BY 1, 2)", "channel", "revenue")}
 
 
-@register("publish_analysis", " UNION ALL ".join(
-    f"SELECT '{k}' AS table_name, dataset_id, cast({c} as varchar) AS key, round(cast({v} as double), 4) AS amount FROM {t}" for k, (t, c, v) in PUBLISHED.items()))
+PUBLISHED_SQL = " UNION ALL ".join(
+    f"SELECT '{k}' AS table_name, dataset_id, cast({c} as varchar) AS key, round(cast({v} as double), 4) AS amount FROM {t}" for k, (t, c, v) in PUBLISHED.items())
+
+
+@register("publish_analysis", PUBLISHED_SQL)
 def _(spark, d):
     """Publish all tables, then read their rows back."""
     path = scratch(spark, "published")
     publish.publish_analysis(book(spark, d).prepare(*STORED, "weekly").tables(), path)
+    return published_rows({k: spark.read.parquet(f"{path}/{k}") for k in PUBLISHED})
+
+
+@register("publish_sheets", PUBLISHED_SQL)
+def _(spark, d):
+    """The same tables after publishing in two steps: the sheets of odd lines with a third of all
+    others, and then all others, which replaces that form of their sheets."""
+    store = AnalysisStore(spark, scratch(spark, "store"))
+    number = F.pmod(F.col("row_id.l_orderkey"), F.lit(4))
+    lines = staged(tt.trading_lines(spark, d).withColumn("sheet", F.concat(F.lit("sheet "), number.cast("string"))), "sheet-lines")
+    odd = number % 2 == 1
+    store.publish(lines.where(odd | (F.pmod(F.col("row_id.l_suppkey"), F.lit(3)) == 0)))
+    store.publish(lines.where(~odd))
+    return published_rows(store.tables())
+
+
+def published_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """Key and amount of every row of the published tables."""
     key = lambda c: F.lit(None).cast("string") if c == "NULL" else F.col(c).cast("string")
-    back = [spark.read.parquet(f"{path}/{k}").select(F.lit(k).alias("table_name"), "dataset_id", key(c).alias("key"), F.round(F.col(v).cast("double"), 4).alias("amount")) for k, (_, c, v) in PUBLISHED.items()]
+    back = [tables[k].select(F.lit(k).alias("table_name"), "dataset_id", key(c).alias("key"), F.round(F.col(v).cast("double"), 4).alias("amount")) for k, (_, c, v) in PUBLISHED.items()]
     return reduce(DataFrame.unionByName, back)

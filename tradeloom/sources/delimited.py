@@ -12,6 +12,7 @@ passes through the driver, and the plan doesn't grow with the number of headers.
 from __future__ import annotations
 
 import csv
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -285,10 +286,58 @@ def pick_best_table(tables: DataFrame) -> DataFrame:
     return scored.groupBy("dataset_id").agg(best.alias("b")).select("dataset_id", "b.position", "b.score")
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Size, SHA-256 and extension of raw files of a folder and the folders below it. A hash is
-    over one file's bytes, so a file has to fit into a cell (2 GB), far above any upload."""
+# Endings by which Spark's text reader takes a file for a compressed one.
+PACKED = ["gz", "bz2", "deflate", "lz4", "snappy", "zst"]
+BOM = b"\xef\xbb\xbf"
+
+
+def file_inventory(spark: SparkSession, path: str, large: int = 128 << 20) -> DataFrame:
+    """Size, SHA-256 and extension of raw files of a folder and the folders below it.
+
+    Files above ``large`` bytes pass line by line through a running hash, each in a task of its own, so
+    no file has to fit into a cell or a task's memory. Compressed ones, whose bytes only the reader of
+    whole files gives, have to (2 GB)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    whole = (F.col("length") <= large) | F.lower("path").rlike(r"\.(" + "|".join(PACKED) + ")$")
+    small = files.where(whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    found = small
+    if not files.where(~whole).select("path").isEmpty():
+        found = small.unionByName(streamed_digests(spark, path, large))
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("filename"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
-                        F.lower(F.element_at(F.split(name, r"\."), -1)).alias("extension"))
+    return found.select("path", name.alias("filename"), "size", "sha256", F.lower(F.element_at(F.split(name, r"\."), -1)).alias("extension"))
+
+
+def streamed_digests(spark: SparkSession, path: str, large: int) -> DataFrame:
+    """(path, size, sha256) of the files above ``large`` bytes, read in one piece each but never held."""
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, size, block), lines in stretches(batches, 3, decode=False):
+            if block:
+                raise RuntimeError(f"{file} was read in pieces")
+            # The reader takes line ends away, and a mark at the start; what is missing in the end tells.
+            running, marked, n, last = hashlib.sha256(), hashlib.sha256(BOM), 0, None
+            for line in lines:
+                if last is not None:
+                    for h in (running, marked):
+                        h.update(last)
+                        h.update(b"\n")
+                last, n = line, n + len(line) + 1
+            rest = last if n - size in (1, -2) else last + b"\n"
+            chosen = marked if n - size in (-2, -3) else running
+            if n - size not in (1, 0, -2, -3):
+                raise RuntimeError(f"{file} has {size} bytes, of which {n} were read")
+            chosen.update(rest)
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([size], pa.int64()), pa.array([chosen.hexdigest()])], ["path", "size", "sha256"])
+
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    lines = lines.where((F.col("size") > large) & ~F.lower("file").rlike(r"\.(" + "|".join(PACKED) + ")$"))
+    # A split takes files up to a size and the cost of opening them: with both at 8 TB, one file each.
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(1 << 43))
+        return staged(lines.mapInArrow(digest, "path string, size bigint, sha256 string"), "digests")
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

@@ -118,9 +118,9 @@ class Function:
             self.ends[i] = met[key]
 
 
-def stretches(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, Iterator]]:
+def stretches(batches: Iterator[pa.RecordBatch], n_keys: int, decode: bool = True) -> Iterator[tuple[tuple, Iterator]]:
     """(key, values) of consecutive rows with equal keys in the first columns; the last column
-    holds the values, texts in UTF-8 (what isn't, is replaced)."""
+    holds the values, texts in UTF-8 (what isn't, is replaced) or bytes."""
     def pieces():
         for batch in batches:
             keys, values = batch.columns[:n_keys], batch.column(n_keys)
@@ -140,7 +140,7 @@ def stretches(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[
         def own():
             while state["next"] is not None and state["next"][0] == key:
                 for raw in state["next"][1].cast(pa.binary()).to_pylist():
-                    yield None if raw is None else raw.decode("utf-8", "replace")
+                    yield raw.decode("utf-8", "replace") if decode and raw is not None else raw
                 state["next"] = next(source, None)
 
         values = own()

@@ -103,3 +103,38 @@ def test_a_page_that_only_a_long_rule_fits_is_blocked(spark):
     pages = [(i, f"http://h{i}.net/{u}/{i}") for i, (u, _) in enumerate(urls)]
     got = {r["id"]: r["verdict"] for r in judged(spark, [*pages, (999, "http://new.net/alpha/beta/gamma/delta/1")], [(i, b) for i, (_, b) in enumerate(urls)])}
     assert got[999] == "block" and all(got[i] == ("block" if b else "allow") for i, (_, b) in enumerate(urls))
+
+
+def test_long_repeated_urls_finish(spark):
+    """Six copies of a URL of 40 folders, and folders inside folders, among 1,000 pages."""
+    import time
+
+    deep = "http://a.b.c.deep.net/" + "/".join(f"folder{i}x" for i in range(40)) + "/page.html"
+    nested = ["http://nest.net/" + "".join(f"level{i}y/" for i in range(depth + 1)) for depth in range(30) for _ in range(6)]
+    urls = [deep] * 6 + nested + [f"http://site{i % 7}.org/word{i % 13}z/{i}" for i in range(800)]
+    pages = list(enumerate(urls))
+    begun = time.time()
+    got = {r["id"]: r["verdict"] for r in judged(spark, [*pages, (5000, "http://other.net/folder7x/"), (5001, "http://other.net/level29y/")], [(i, "deep" in u or "level20y" in u) for i, u in pages], min_confidence=0.95)}
+    assert time.time() - begun < 120
+    assert all(got[i] == ("block" if "deep" in u or "level20y" in u else "allow") for i, u in pages)
+    assert got[5000] == "block" and got[5001] == "block"
+
+
+def test_nested_tokens_against_brute_force(spark):
+    r, rows = random.Random(4), []
+    for _ in range(150):
+        depth = r.randint(1, 4)
+        x = [f"n{i}" for i in range(depth)] + [f"m{i}" for i in range(depth)] + [w for w in ("p", "q") if r.random() < 0.5]
+        rows.append((x, r.random() < (0.8 if "p" in x and depth > 2 else 0.3)))
+    labelled = staged(spark.createDataFrame(rows, "tokens array<string>, block boolean"), "labelled")
+    got = {tuple(x["tokens"]): x["confidence"] for x in url_rules.mine(labelled, 0.001, 0.4).collect()}
+    rules = {}
+    useful = [t for t in sorted(set().union(*(x for x, _ in rows))) if sum(t in x for x, _ in rows) <= 0.9 * len(rows)]
+    for size in range(1, 5):
+        for c in itertools.combinations(useful, size):
+            held = [b for x, b in rows if set(c) <= set(x)]
+            if sum(held) >= 5 and sum(held) / len(held) >= 0.4:
+                rules[c] = sum(held) / len(held)
+    parts = lambda c: (p for k in range(1, len(c)) for p in itertools.combinations(c, k))
+    want = {c: v for c, v in rules.items() if not any(rules.get(p, 0) >= v for p in parts(c))}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want) and any(len(c) > 1 for c in want)

@@ -1,12 +1,13 @@
 r"""URL filter: association rules mined by FP-growth from labelled URLs, behind fixed rules.
 
 A URL becomes a set of tokens: its host, up to four domains above it, the words of host and path, the
-path's folders, file ending, query keys and scheme. Spark's FP-growth mines token combinations
-of the labelled URLs together with their label; a rule "these tokens, therefore block" is kept
-if its support and confidence reach the limits, and if no rule with fewer of its tokens is as
-confident, whatever number of tokens it has. Rules are matched through an inverted index: each rule is filed under its rarest
-token, a URL's tokens look up the rules filed under them, and a rule that fits whole counts.
-A URL is blocked if a rule fits.
+path's folders, file ending, query keys and scheme. Tokens found in exactly the same labelled URLs
+stand for one another and are mined as one class. Spark's FP-growth mines combinations
+of classes together with the label; a rule "these, therefore block" is kept
+if its support and confidence reach the limits, and if no rule with fewer of its classes is as
+confident, whatever number of classes it has. Rules are matched through an inverted index: each rule is
+filed under its rarest class, a URL's classes look up the rules filed under them, and a rule that fits
+whole counts: for each of its classes the URL has a token. A URL is blocked if a rule fits.
 
 Fixed rules (host, path, verdict) come first: one fits its host and all subdomains if the URL's
 path starts with the rule's; the longest wins. They are joined on the hosts above a URL's host
@@ -16,7 +17,9 @@ Defined results: a null URL and one without ``://`` have an empty host and path,
 are allowed; rows are judged by themselves, repeated ones alike; pages without a label, null
 labels and labels of other pages teach nothing; without labels no rule is mined and the method
 allows; an empty table gives an empty result; other columns are not read. Very long URLs give
-as many tokens as they have, but mining looks only at tokens frequent enough for a rule.
+as many tokens as they have; tokens too rare for a rule are not mined, and neither long paths nor
+their copies multiply the sets (see ``mine_classes``). What can is a rare class that crosses many nested
+ones, each in part: the sets below it double with each of those.
 """
 
 from __future__ import annotations
@@ -67,53 +70,94 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.length(host) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 5) -> DataFrame:
-    """(rule_id, tokens, confidence, support) from (tokens, block). ``labelled`` is staged. Tokens
-    that are too rare for any rule, or that nearly all rows share, are left out before mining."""
+def token_classes(labelled: DataFrame, least: float) -> DataFrame:
+    """(token, class, n, n_block) of the tokens worth mining. Tokens found in exactly the same rows are
+    one class, named by the first of them; a 128-bit sum over the rows tells them."""
+    rows = labelled.withColumn("row", F.monotonically_increasing_id()).select("row", "block", F.explode("tokens").alias("token"))
+    same = ["n", "n_block", "h1", "h2"]
+    stats = rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("n_block"), *[F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"h{i}") for i in (1, 2)])
+    stats = staged(stats.where((F.col("n_block") >= least) & (F.col("n") <= 0.9 * labelled.count())), "url-tokens-useful")
+    names = stats.groupBy(*same).agg(F.min("token").alias("class"))
+    return staged(stats.join(names, same).select("token", "class", "n", "n_block"), "url-classes")
+
+
+def mine_classes(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, classes, confidence, support) and the classes (token, class, n, n_block) of the
+    staged (tokens, block). A rule fits if a URL has a token of each of its classes.
+
+    Sets are mined below their rarest class: each row gives a basket for each of its classes c, with
+    the more frequent classes that some, but not all rows of c hold. A class that all of them hold, as
+    a folder does for what lies in it, adds nothing to c: the set without it is as
+    confident. So neither tokens that always occur together nor folders inside folders multiply the sets."""
     n = labelled.count()
     least = max(min_support * n, min_rows)
-    counts = labelled.select(F.explode("tokens").alias("token"), "block").groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("n_block"))
-    useful = counts.where((F.col("n_block") >= least) & (F.col("n") <= 0.9 * n)).select("token")
-    rows = labelled.withColumn("row", F.monotonically_increasing_id())
-    held = rows.select("row", "block", F.explode("tokens").alias("token")).join(useful, "token").groupBy("row", "block").agg(F.collect_list("token").alias("items"))
-    held = staged(held.select(F.when(F.col("block"), F.array_append("items", F.lit(BLOCK_ITEM))).otherwise(F.col("items")).alias("items")), "url-baskets")
-    if not n or held.isEmpty():
-        return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = token_classes(labelled, least)
+    single = classes.where("token = class").select("class", "n", "n_block")
+    rows = labelled.withColumn("row", F.monotonically_increasing_id()).select("row", "block", F.explode("tokens").alias("token"))
+    held = rows.join(classes.where("token = class").select("token", "n"), "token").groupBy("row", "block").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("items"))
+    held = staged(held, "url-held")
     n_held = held.count()
-    # Spark takes the least count from the share again, rounded up: half a row less than it gives no other.
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (math.ceil(least) - 0.5) / n_held), numPartitions=parts).fit(held)
-    sets = model.freqItemsets.select(F.array_contains("items", BLOCK_ITEM).alias("block"), F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("tokens"), "freq")
-    sets = staged(sets.where(F.size("tokens") > 0), "url-sets")
-    blocked = sets.where("block").select("tokens", F.col("freq").alias("n_block"))
-    scored = blocked.join(sets.where("NOT block").select("tokens", "freq"), "tokens").withColumn("confidence", F.col("n_block") / F.col("freq"))
-    scored = staged(scored.select("tokens", "confidence", (F.col("n_block") / n_held).alias("support"), F.size("tokens").alias("size")), "url-scored")
-    # A rule adds nothing if some of its tokens alone are as good a reason. Sets are met size by size, in
+    if not n_held:
+        empty = labelled.sparkSession.createDataFrame([], "rule_id long, classes array<string>, confidence double, support double")
+        return empty, classes
+    at = F.posexplode("items").alias("at", "c")
+    later = F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("later")
+    pairs = held.select("row", "block", "items", at).select("row", "block", F.col("c.token").alias("c"), F.col("c.n").alias("n"), later).withColumn("d", F.col("later.token"))
+    kept = pairs.groupBy("c", "d").agg(F.count("*").alias("both"), F.count_if("block").alias("blocked"), F.first("n").alias("n")).where((F.col("blocked") >= least) & (F.col("both") < F.col("n")))
+    item = F.concat("c", F.lit("\0"), "d")
+    baskets = pairs.drop("n", "later").join(staged(kept.select("c", "d"), "url-pairs"), ["c", "d"]).groupBy("row", "block", "c").agg(F.collect_list(item).alias("items"))
+    baskets = staged(baskets.select(F.when(F.col("block"), F.array_append("items", F.lit(BLOCK_ITEM))).otherwise(F.col("items")).alias("items")), "url-baskets")
+    found = single.select(F.array("class").alias("classes"), "n_block", F.col("n").alias("freq"))
+    if n_baskets := baskets.count():
+        # Spark takes the least count from the share again, rounded up: half a row less than it gives no other.
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (math.ceil(least) - 0.5) / n_baskets), numPartitions=int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
+        sets = model.freqItemsets.select(F.array_contains("items", BLOCK_ITEM).alias("block"), F.array_remove("items", BLOCK_ITEM).alias("items"), "freq").where(F.size("items") > 0)
+        parts = F.transform("items", lambda x: F.split(x, "\0"))
+        sets = staged(sets.select("block", F.array_sort(F.array_union(F.transform(parts, lambda p: p[0]), F.transform(parts, lambda p: p[1]))).alias("classes"), "freq"), "url-sets")
+        blocked = sets.where("block").select("classes", F.col("freq").alias("n_block"))
+        found = found.unionByName(blocked.join(sets.where("NOT block").select("classes", "freq"), "classes"))
+    scored = found.select("classes", (F.col("n_block") / F.col("freq")).alias("confidence"), (F.col("n_block") / n_held).alias("support"), F.size("classes").alias("size"))
+    scored = staged(scored, "url-scored")
+    # A rule adds nothing if some of its classes alone are as good a reason. Sets are met size by size, in
     # rising order; each hands on the best confidence of itself and its parts, also below the limit.
-    best, kept = None, []
-    for size in range(1, (scored.agg(F.max("size")).first()[0] or 0) + 1):
-        found = scored.where(F.col("size") == size)
+    best, rules = None, []
+    for size in range(1, scored.agg(F.max("size")).first()[0] + 1):
+        now = scored.where(F.col("size") == size)
         if best is None:
-            found = found.withColumn("smaller", F.lit(0.0))
+            now = now.withColumn("smaller", F.lit(0.0))
         else:
-            part = F.explode(F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.filter("tokens", lambda t: t != F.get("tokens", i)))).alias("part")
-            smaller = found.select("tokens", part).join(best, "part").groupBy("tokens").agg(F.max("best").alias("smaller"))
-            found = found.join(smaller, "tokens")
-        found = staged(found, "url-rules")
-        best = found.select(F.col("tokens").alias("part"), F.greatest("confidence", "smaller").alias("best"))
-        kept.append(found.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("smaller"))))
-    rules = functools.reduce(DataFrame.unionByName, kept) if kept else scored
-    return rules.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support")
-
-
-def matched(urls: DataFrame, rules: DataFrame, labelled: DataFrame, id_col: str = "row") -> DataFrame:
-    """(row, confidence) of the rows of (row, tokens) that a rule fits: the best rule's."""
-    often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    filed = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(often, "token")
-    index = filed.groupBy("rule_id").agg(F.min(F.struct("count", "token"))["token"].alias("token"), F.first("tokens").alias("needed"), F.first("confidence").alias("confidence"))
-    index = staged(index.select("token", "needed", "confidence"), "url-index")
-    asked = urls.select(id_col, "tokens", F.explode("tokens").alias("token"))
-    fits = asked.join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+            part = F.explode(F.transform(F.sequence(F.lit(0), F.size("classes") - 1), lambda i: F.filter("classes", lambda t: t != F.get("classes", i)))).alias("part")
+            smaller = now.select("classes", part).join(best, "part").groupBy("classes").agg(F.max("best").alias("smaller"))
+            now = now.join(smaller, "classes")
+        now = staged(now, "url-rules")
+        best = now.select(F.col("classes").alias("part"), F.greatest("confidence", "smaller").alias("best"))
+        rules.append(now.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("smaller"))))
+    return functools.reduce(DataFrame.unionByName, rules).select(F.xxhash64("classes").alias("rule_id"), "classes", "confidence", "support"), classes
+
+
+def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 5) -> DataFrame:
+    """(rule_id, tokens, confidence, support): the rules of ``mine_classes`` spelt out, one for each choice of
+    tokens. To look at; ``judge`` matches classes."""
+    rules, classes = mine_classes(labelled, min_support, min_confidence, min_rows)
+    rules = staged(rules.withColumn("tokens", F.array().cast("array<string>")), "url-rules-classes")
+    for i in range(rules.agg(F.max(F.size("classes"))).first()[0] or 0):
+        more = rules.where(F.size("classes") > i).withColumn("class", F.get("classes", F.lit(i))).join(classes.select("class", "token"), "class")
+        rules = rules.where(F.size("classes") <= i).unionByName(more.withColumn("tokens", F.array_append("tokens", F.col("token"))).drop("class", "token"))
+    return rules.select(F.xxhash64(F.array_sort("tokens")).alias("rule_id"), F.array_sort("tokens").alias("tokens"), "confidence", "support")
+
+
+def matched(urls: DataFrame, rules: DataFrame, classes: DataFrame, id_col: str = "row") -> DataFrame:
+    """(row, confidence) of the rows of (row, tokens) that a rule fits: the best rule's. Each rule is
+    filed under its rarest class; only tokens of classes that rules name are looked at."""
+    rules = staged(rules, "url-rules-found")
+    parts = rules.select("rule_id", "classes", "confidence", F.explode("classes").alias("class"))
+    filed = parts.join(classes.where("token = class").select("class", "n"), "class").groupBy("rule_id").agg(
+        F.min(F.struct("n", "class"))["class"].alias("class"), F.first("classes").alias("needed"), F.first("confidence").alias("confidence"))
+    index = staged(filed.select("class", "needed", "confidence"), "url-index")
+    named = staged(classes.select("token", "class").join(parts.select("class").distinct(), "class", "left_semi"), "url-named")
+    held = urls.select(id_col, F.explode("tokens").alias("token")).join(named, "token").groupBy(id_col).agg(F.collect_set("class").alias("classes"))
+    asked = held.select(id_col, "classes", F.explode("classes").alias("class"))
+    fits = asked.join(index, "class").where(F.size(F.array_except("needed", "classes")) == 0)
     return fits.groupBy(id_col).agg(F.max("confidence").alias("confidence"))
 
 
@@ -135,7 +179,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: DataFrame, id_col: str = "
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "url-tokens")
     known = labels.where("id IS NOT NULL AND block IS NOT NULL").groupBy("id").agg(F.max("block").alias("block"))
     labelled = staged(rows.join(known, "id").select("tokens", "block"), "url-labelled")
-    mined = matched(rows.select("row", "tokens"), mine(labelled, min_support, min_confidence), labelled)
+    mined = matched(rows.select("row", "tokens"), *mine_classes(labelled, min_support, min_confidence))
     fixed = fixed_verdicts(rows, rules)
     judged = rows.drop("tokens").join(fixed, "row", "left").join(mined, "row", "left")
     verdict = F.coalesce("verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tradeloom.functions.money import fixed
 from tradeloom.functions.templates import render
 from tradeloom.operators.alerts import top_per
 from tradeloom.operators.health import category_health_score
+from tradeloom.staging import staged
 
 # The sentences this module puts into results are given wording, word for word.
 
@@ -35,28 +36,25 @@ def category_top_sellers(best: DataFrame) -> DataFrame:
         "revenue", "units", "sell_through", "margin_pct", "stock")
 
 
-def category_slow_movers(best: DataFrame, markdown: DataFrame) -> DataFrame:
-    """Lines with the lowest sell-through that are not among the category's top sellers.
+def category_slow_movers(best: DataFrame, markdown: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """Lines with the lowest sell-through that are not among the category's top sellers (``top``, if
+    they are known already).
 
     Markdown rows come first, completed from the best sellers; categories without any
-    fall back to their remaining best sellers.
+    fall back to their remaining best sellers. Both kinds are taken away the top sellers once, and a
+    window over the category, which the ranking needs anyway, tells which kind counts.
     """
-    top = category_top_sellers(best).select(DS, "cat_key", "sku")
+    top = (category_top_sellers(best) if top is None else top).select(DS, "cat_key", "sku")
+    columns = ["category", "sku", "name", "revenue", "units", "sell_through", "margin_pct", "stock", "rank", "kind"]
     extra = best.select(DS, "sku", F.col("name").alias("b_name"), "units", "margin_pct", "stock")
-    slow = (
-        markdown.where(F.col("category").isNotNull()).withColumn("cat_key", F.lower("category"))
-        .join(top, [DS, "cat_key", "sku"], "left_anti").join(extra, [DS, "sku"], "left")
-        .select(DS, "cat_key", "sku", F.coalesce("name", "b_name", "sku").alias("name"), "revenue",
-                F.coalesce("units", F.lit(0)).alias("units"), "sell_through", "margin_pct", "stock", F.col("rank").alias("seq"))
-    )
-    rest = (
-        best.where(F.col("category").isNotNull() & F.col("sell_through").isNotNull()).withColumn("cat_key", F.lower("category"))
-        .join(top, [DS, "cat_key", "sku"], "left_anti").join(slow.select(DS, "cat_key").distinct(), [DS, "cat_key"], "left_anti")
-        .select(DS, "cat_key", "sku", F.coalesce("name", "sku").alias("name"), "revenue", "units", "sell_through",
-                "margin_pct", "stock", F.col("rank").alias("seq"))
-    )
+    marked = markdown.join(extra, [DS, "sku"], "left").withColumns({"name": F.coalesce("name", "b_name"), "units": F.coalesce("units", F.lit(0)), "kind": F.lit(1)})
+    rest = best.where(F.col("sell_through").isNotNull()).withColumn("kind", F.lit(2))
+    rows = marked.select(DS, *columns).unionByName(rest.select(DS, *columns)).where(F.col("category").isNotNull()).withColumn("cat_key", F.lower("category"))
+    rows = rows.join(top, [DS, "cat_key", "sku"], "left_anti").withColumn("first_kind", F.min("kind").over(Window.partitionBy(DS, "cat_key")))
+    slow = rows.where(F.col("kind") == F.col("first_kind")).select(
+        DS, "cat_key", "sku", F.coalesce("name", "sku").alias("name"), "revenue", "units", "sell_through", "margin_pct", "stock", F.col("rank").alias("seq"))
     order = [F.asc_nulls_last("sell_through"), F.asc("seq")]
-    return top_per(slow.unionByName(rest), [DS, "cat_key"], order, LISTED).drop("seq").withColumn("rank", F.col("rank").cast("int"))
+    return top_per(slow, [DS, "cat_key"], order, LISTED).drop("seq").withColumn("rank", F.col("rank").cast("int"))
 
 
 def category_actions(categories: DataFrame, slow: DataFrame) -> DataFrame:
@@ -90,13 +88,14 @@ def listing(rows: DataFrame, name: str) -> DataFrame:
 
 def category_detail(categories: DataFrame, best: DataFrame, markdown: DataFrame) -> DataFrame:
     """One row per category: card, top sellers, slow movers, kinds of action."""
-    slow = category_slow_movers(best, markdown)
+    top = staged(category_top_sellers(best), "top-sellers")
+    slow = staged(category_slow_movers(best, markdown, top), "slow-movers")
     kinds = category_actions(categories, slow).groupBy(DS, "category").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda s: s["type"]), ",").alias("actions"))
     st, mg = F.col("avg_sell_through"), F.col("avg_margin_pct")
     cards = categories.select(DS, "category", F.lower("category").alias("cat_key"), "revenue", "units", "sku_count",
                               st.alias("sell_through"), mg.alias("margin"), category_health_score(st, mg).alias("health"),
                               F.col("health").alias("health_label"))
-    out = cards.join(listing(category_top_sellers(best), "top_sellers"), [DS, "cat_key"], "left").join(
+    out = cards.join(listing(top, "top_sellers"), [DS, "cat_key"], "left").join(
         listing(slow, "slow_movers"), [DS, "cat_key"], "left").join(kinds, [DS, "category"], "left")
     return out.drop("cat_key").fillna("", ["top_sellers", "slow_movers"])

@@ -92,7 +92,7 @@ class AnalysisBook:
     @cached_property
     def sku_index(self) -> DataFrame:
         self.prepare("best_sellers", "markdown_risk", "reorder_alerts")
-        return compare.sku_index(self.best_sellers, self.markdown_risk, self.reorder_alerts)
+        return staged(compare.sku_index(self.best_sellers, self.markdown_risk, self.reorder_alerts), "sku_index")
 
     @cached_property
     def timeline(self) -> DataFrame:

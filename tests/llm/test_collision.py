@@ -57,3 +57,31 @@ def test_few_and_none(spark):
     assert run(spark, [(0, [1.0])]) == {}
     assert run(spark, [(0, [1.0]), (1, [2.0]), (20, [2.0])]) == {0: [(1, 2.0), (20, 2.0)], 20: [(1, 4.0), (0, 2.0)]}
     assert run(spark, [(1, [1.0]), (2, [2.0])]) == {}
+
+
+def recall(got, want):
+    return sum(s >= want[q][-1][1] - 1e-9 for q in got for _, s in got[q]) / sum(map(len, want.values()))
+
+
+def test_recall_in_many_dimensions(spark):
+    """Unit vectors without any structure, which no projection tells apart well."""
+    x = np.random.default_rng(8).standard_normal((1500, 768))
+    rows = [(i, v) for i, v in enumerate((x / np.sqrt((x ** 2).sum(axis=1))[:, None]).astype(np.float32).tolist())]
+    assert recall(run(spark, rows), brute(rows)) >= 0.95
+
+
+def test_recall_on_the_given_vectors(spark):
+    import os
+
+    table = spark.read.parquet(f"{os.environ.get('TESTDATA', '/root/testdata')}/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    want = {}
+    for q in ids[ids % 20 == 0].tolist():
+        scores = x @ x[ids == q][0]
+        scores[ids == q] = -np.inf
+        want[q] = [(0, v) for v in -np.sort(-scores)[:20]]
+    got = {}
+    for r in collision.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got.keys() == want.keys() and recall(got, want) >= 0.95

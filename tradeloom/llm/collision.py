@@ -6,13 +6,13 @@ Vectors are dealt into shards by a hash of their id. A shard's index is, for eac
 random projections, the array of its vectors sorted by projected value. A query opens a window
 around its own value in every array; virtual rehashing widens the windows step by step. A
 vector's collisions are the windows that hold its place in the arrays; one with at least
-``SHARE`` of them is verified by its exact inner product. A query is done in a shard when its k-th best distance is
-so small against the windows that nearer vectors have collided (``SAFE``), or when ``VERIFY``
-of the shard's vectors were verified; should the windows end before, the whole shard is.
+``share`` of them is verified by its exact inner product. A query is done in a shard when its k-th best
+distance is so small against the windows that nearer vectors have collided (``safe``); should
+the windows end before, the whole shard is verified.
 
 Projections depend on the dimension alone, nothing is fitted to a sample, and every vector is
-indexed. Queries come in blocks, and a task gets one shard and one block of queries, both of
-bounded size; it returns its k best for each query, of which a window keeps the best k.
+indexed. A shard's index is built once and stored. A task reads it and lets a bounded number of
+queries pass over it; it returns the k best for each query, of which a window keeps the best k.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or
 whose id is null, take no part; vectors meet only vectors of their own dimension; a query with
@@ -23,12 +23,19 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SHARD, QUERIES = 8192, 1024
-PROJECTIONS, SHARE, SAFE, VERIFY = 64, 0.8, 1.6, 0.3
+from tradeloom.llm.common import small
+from tradeloom.staging import staged
+
+SHARD, QUERIES = 8192, 65536
+PROJECTIONS, SHARE, SAFE = 64, 0.8, 1.6
 FIRST, WIDEN, STEPS = 0.5, 1.5, 5
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -52,8 +59,21 @@ class Shard:
         # Where each vector stands in each sorted array: it lies in a window if its place does.
         self.place = np.empty(order.shape, dtype=np.uint16 if n < 1 << 16 else np.uint32)
         np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[None, :], axis=1)
+        self._prepare()
+
+    def kept(self) -> tuple:
+        return self.x, self.longest, self.lines, self.sorted, self.place
+
+    @staticmethod
+    def of(kept: tuple) -> Shard:
+        shard = Shard.__new__(Shard)
+        shard.x, shard.longest, shard.lines, shard.sorted, shard.place = kept
+        shard._prepare()
+        return shard
+
+    def _prepare(self) -> None:
         self.offset, self.inside = np.empty_like(self.place), np.empty(self.place.shape, dtype=bool)
-        self.radii = longest * FIRST * WIDEN ** np.arange(STEPS)
+        self.radii = self.longest * FIRST * WIDEN ** np.arange(STEPS)
 
     def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Borders of the windows of every query, step and projection: arrays (queries, steps, projections)."""
@@ -62,13 +82,13 @@ class Shard:
         high = np.stack([np.searchsorted(s, v[:, None] + self.radii, "right") for s, v in zip(self.sorted, value.T)], axis=2)
         return low, high
 
-    def nearest(self, query: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, share: float, safe: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best vectors found; ``own`` marks rows that don't count, ``low``
         and ``high`` are the query's windows by step."""
         n, length = len(self.x), np.sqrt((query ** 2).sum())
         tested, best, kinds = own.copy(), np.full(k, -np.inf), self.place.dtype
         scores = np.full(n, -np.inf)
-        needed, enough, n_own = int(np.ceil(SHARE * len(self.lines))), k + VERIFY * n, int(own.sum())
+        needed, n_own = int(np.ceil(share * len(self.lines))), int(own.sum())
         for step in range(STEPS + 1):
             if step == STEPS:
                 new = np.flatnonzero(~tested)
@@ -82,10 +102,10 @@ class Shard:
                 scores[new] = self.x[new] @ query
                 best = np.partition(np.concatenate([best, scores[new]]), len(new))[len(new):]
             n_tested = int(np.count_nonzero(tested))
-            if n_tested == n or n_tested >= enough:
+            if n_tested == n:
                 break
             if n_tested - n_own >= k and step < STEPS:
-                if np.sqrt(max(0.0, 2 * self.longest ** 2 - 2 * self.longest * best.min() / length)) * SAFE <= self.radii[step]:
+                if np.sqrt(max(0.0, 2 * self.longest ** 2 - 2 * self.longest * best.min() / length)) * safe <= self.radii[step]:
                     break
         # The k best are scored once more, term by term in one order, so that equal vectors tie.
         found = np.flatnonzero((scores >= best.min() - 1e-9 * max(1.0, self.longest * length)) & (scores > -np.inf))
@@ -94,33 +114,50 @@ class Shard:
         return found[order], exact[order]
 
 
-def search_shard(vectors: pd.DataFrame, queries: pd.DataFrame, longest: float, k: int) -> pd.DataFrame:
-    out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})]
-    if len(vectors) and len(queries):
-        ids = vectors["id"].to_numpy(dtype=np.int64)
-        shard = Shard(np.stack(vectors["v"].to_numpy()).astype(np.float64), longest)
-        asked = np.stack(queries["v"].to_numpy()).astype(np.float64)
-        for a in range(0, len(asked), 128):
-            low, high = shard.windows(asked[a:a + 128])
-            for i, q in enumerate(queries["id"].iloc[a:a + 128].tolist()):
-                rows, scores = shard.nearest(asked[a + i], low[i], high[i], ids == q, ids, k)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[rows], "score": scores}))
-    return pd.concat(out)
-
-
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
+def stored(vectors: pd.DataFrame, longest: float) -> pd.DataFrame:
+    """A shard's index and ids as one cell."""
+    ids = vectors["id"].to_numpy(dtype=np.int64)
+    shard = Shard(np.stack(vectors["v"].to_numpy()).astype(np.float64), longest)
+    return pd.DataFrame({"dim": [int(vectors["dim"].iloc[0])], "shard": [int(vectors["shard"].iloc[0])], "index": [pickle.dumps((shard.kept(), ids), protocol=5)]})
+
+
+def search(batches: Iterator[pa.RecordBatch], k: int, share: float, safe: float) -> Iterator[pa.RecordBatch]:
+    """The k best of each query in the shard whose index came before it."""
+    shard, ids = None, None
+    for batch in batches:
+        index, ask = batch.column(0), batch.column(1)
+        places = np.flatnonzero(index.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        # Stretches of queries between the indexes of this batch.
+        for begin, end in zip([-1, *places], [*places, batch.num_rows]):
+            if begin >= 0:
+                made, ids = pickle.loads(index[begin].as_py())
+                shard = Shard.of(made)
+            for a in range(begin + 1, end, 128):
+                n = min(128, end - a)
+                asked = np.stack(batch.column(2).slice(a, n).to_numpy(zero_copy_only=False)).astype(np.float64)
+                low, high = shard.windows(asked)
+                found = [(q, *shard.nearest(asked[i], low[i], high[i], ids == q, ids, k, share, safe)) for i, q in enumerate(ask.slice(a, n).to_pylist())]
+                columns = [np.concatenate([np.full(len(r), q, dtype=np.int64) for q, r, _ in found]), np.concatenate([ids[r] for _, r, _ in found]), np.concatenate([s for _, _, s in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, share: float = SHARE, safe: float = SAFE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for every row where ``is_query`` holds."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
     longest, n, n_queries = rows.agg(F.max(length), F.count("*"), F.count_if("q")).first()
-    shards, blocks, longest = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERIES)), longest or 1.0
-    dealt = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)).cast("int")
-    key = [F.size("v").alias("dim"), "shard", "block"]
-    indexed = rows.withColumn("shard", dealt(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*key, "id", "v")
-    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.withColumn("block", dealt(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(*key, "id", "v")
-    search = lambda left, right: search_shard(left, right, longest, k)
-    found = indexed.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(search, _FOUND)
+    shards, parts, longest = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERIES)), longest or 1.0
+    dealt = lambda into, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(into)).cast("int")
+    groups = rows.select("id", "v", F.size("v").alias("dim"), dealt(shards, 1).alias("shard")).groupBy("dim", "shard")
+    indexed = staged(groups.applyInPandas(lambda pdf: stored(pdf, longest), "dim int, shard int, index binary"), "collision-index")
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("part", dealt(parts, 2))
+    asked = asked.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "part", "id", "v")
+    # A shard without vectors of a query's dimension has no index, and the query nothing to look for there.
+    asked = asked.join(small(indexed.select("dim", "shard")), ["dim", "shard"]).select("dim", "shard", "part", F.lit(None).cast("binary").alias("index"), "id", "v")
+    heads = indexed.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "index", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"))
+    key = ["dim", "shard", "part"]
+    both = heads.unionByName(asked).repartition(max(1, min(shards * parts, 100_000)), *key).sortWithinPartitions(*key, F.asc_nulls_first("id"))
+    found = both.select("index", "id", "v").mapInArrow(lambda batches: search(batches, k, share, safe), _FOUND)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,3 +40,24 @@ def test_scan_reads_only_needed_columns(spark, sf_dir):
     text = plan(QUERIES["weekly_trend"](spark, sf_dir))
     schemas = [line for line in text.splitlines() if line.startswith("ReadSchema") and "l_orderkey" in line]
     assert schemas and all("l_tax" not in s and "l_quantity" not in s for s in schemas)
+
+
+def test_cleaning_compiles(spark, tmp_path):
+    """The code of all numeric roles together stays far below what one compiled method may hold."""
+    import re
+
+    from tradeloom.sources import delimited
+    from tradeloom.sources.roles import ROLE_HEADERS
+
+    heads = [names[0] for names in ROLE_HEADERS.values()]
+    (tmp_path / "all.csv").write_text(",".join(heads) + "\n" + ",".join("1" for _ in heads) + "\n")
+    raw, _ = delimited.scan_delimited(spark, str(tmp_path))
+    lines, out = delimited.clean_lines(raw), io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        with contextlib.redirect_stdout(out):
+            lines.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", out.getvalue())]
+    assert sizes and all(0 < n < 64_000 for n in sizes)

@@ -314,14 +314,16 @@ def streamed_digests(spark: SparkSession, path: str, large: int) -> DataFrame:
             if block:
                 raise RuntimeError(f"{file} was read in pieces")
             # The reader takes line ends away, and a mark at the start; what is missing in the end tells.
-            running, marked, n, last = hashlib.sha256(), hashlib.sha256(BOM), 0, None
+            running, marked, n, held, n_held = hashlib.sha256(), hashlib.sha256(BOM), 0, [], 0
             for line in lines:
-                if last is not None:
-                    for h in (running, marked):
-                        h.update(last)
-                        h.update(b"\n")
-                last, n = line, n + len(line) + 1
-            rest = last if n - size in (1, -2) else last + b"\n"
+                held.append(line)
+                n, n_held = n + len(line) + 1, n_held + len(line)
+                if n_held > 1 << 20 and len(held) > 1:
+                    piece = b"\n".join([*held[:-1], b""])
+                    running.update(piece)
+                    marked.update(piece)
+                    held, n_held = [line], len(line)
+            rest = b"\n".join(held if n - size in (1, -2) else [*held, b""])
             chosen = marked if n - size in (-2, -3) else running
             if n - size not in (1, 0, -2, -3):
                 raise RuntimeError(f"{file} has {size} bytes, of which {n} were read")

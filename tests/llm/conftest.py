@@ -15,3 +15,27 @@ def documents(spark):
         return spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
 
     return build
+
+
+@pytest.fixture
+def live_broadcasts(spark, monkeypatch):
+    """How many broadcasts were made, live now, and lived at a time at most."""
+    seen, context = {"made": 0, "now": 0, "most": 0}, spark.sparkContext
+    make = context.broadcast
+
+    def broadcast(value):
+        sent = make(value)
+        end = sent.destroy
+        seen["made"] += 1
+        seen["now"] += 1
+        seen["most"] = max(seen["most"], seen["now"])
+
+        def destroy(*args):
+            seen["now"] -= 1
+            end(*args)
+
+        sent.destroy = destroy
+        return sent
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    return seen

@@ -45,7 +45,7 @@ def made(seed=2):
 def result(documents, spark, docs, items, **kw):
     frame = documents(docs)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    found = frame.select("doc_id", decontaminate.contamination(frame, benchmark, **kw).alias("found"))
+    found = decontaminate.with_contamination(frame, benchmark, "hits", **kw).select("doc_id", F.col("hits").alias("found"))
     rows = found.select("doc_id", "found.n_words", decontaminate.n_hit("found").alias("hit"), F.array_join("found.items", ",").alias("items"), decontaminate.is_contaminated("found").alias("bad"))
     return sorted(map(tuple, rows.collect()), key=str)
 
@@ -57,6 +57,16 @@ def test_brute_force(documents, spark, monkeypatch, shard, block_words):
     assert result(documents, spark, docs, items, block_words=block_words) == brute(docs, items)
 
 
+def test_one_block_at_a_time(documents, spark, live_broadcasts):
+    docs, items = made()
+    frame, benchmark = documents(docs), spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontaminate.search_blocks(benchmark, "item_id", "text", 12)) >= 8
+    found = decontaminate.with_contamination(frame, benchmark, "hits", block_words=12)
+    assert live_broadcasts["made"] >= 8 and live_broadcasts["most"] == 1 and live_broadcasts["now"] == 0
+    assert found.columns == [*frame.columns, "hits"] and found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert decontaminate.with_contamination(documents([]), benchmark, "hits", block_words=12).count() == 0
+
+
 def test_empty_tables(documents, spark):
     assert result(documents, spark, [], [(1, "a b")]) == []
     assert result(documents, spark, [(1, "a b")], []) == [(1, 2, 0, "", False)]
@@ -65,7 +75,7 @@ def test_empty_tables(documents, spark):
 def test_spans_are_cut_out(documents, spark):
     docs = documents([(1, "Keep this.  One, two THREE! Keep that. one two three"), (2, None), (3, "nothing")])
     benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
-    marked = docs.withColumn("hits", decontaminate.contamination(docs, benchmark))
+    marked = decontaminate.with_contamination(docs, benchmark, "hits")
     got = marked.select("doc_id", decontaminate.without_spans(marked, "hits").alias("t")).collect()
     assert {r["doc_id"]: r["t"] for r in got} == {1: "Keep this.  ! Keep that. ", 2: "", 3: "nothing"}
 

@@ -29,7 +29,7 @@ def texts(n, seed=1):
 
 
 def result(docs, filters, **kw):
-    found = docs.select("doc_id", line_dedup.drop_lines(docs, filters, **kw).alias("f"))
+    found = line_dedup.drop_lines(docs, filters, "f", **kw)
     return sorted((r["doc_id"], *r["f"]) for r in found.collect())
 
 
@@ -43,6 +43,19 @@ def test_brute_force(documents, block_bytes):
     assert result(docs, filters, block_bytes=block_bytes) == brute(rows, 10)
 
 
+def test_one_block_at_a_time(documents, live_broadcasts):
+    rows = texts(120)
+    docs = documents(rows)
+    refs = staged(line_dedup.count_lines(docs), "refs")
+    filters = staged(line_dedup.build_filters(refs, 10, keys_per_shard=10), "filters")
+    assert filters.count() >= 6
+    found = line_dedup.drop_lines(docs, filters, "f", block_bytes=1)
+    assert live_broadcasts["made"] >= 6 and live_broadcasts["most"] == 1 and live_broadcasts["now"] == 0
+    assert found.columns == [*docs.columns, "f"] and found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"], *r["f"]) for r in found.collect()) == brute(rows, 10)
+    assert line_dedup.drop_lines(documents([]), filters, "f", block_bytes=1).count() == 0
+
+
 def test_documents_come_and_go(documents):
     first, added, gone = texts(60), [(900 + i, "beta\nnew line\n" + t) for i, t in texts(15, 2)], texts(60)[:25]
     refs = staged(line_dedup.count_lines(documents(first)), "refs")

@@ -83,7 +83,7 @@ def test_empty_documents(spark, folder):
 
 def test_registered():
     names = {k for k in entry.queries() if k.startswith("op") and k[2].isdigit()}
-    assert {int(k[2:].split("_")[0]) for k in names} == set(range(1, 11)) and len(names) == 10
+    assert {int(k[2:].split("_")[0]) for k in names} == set(range(1, 14)) and len(names) == 13
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 

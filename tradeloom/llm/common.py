@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tradeloom.staging import staged
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -49,6 +51,42 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().translate(TO_SPACE).split()
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as set it apart from all columns."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
+def marks_of_blocks(docs: DataFrame, text_col: str, blocks: Iterable, marker: Callable, kind: str, label: str) -> tuple[DataFrame, str, DataFrame]:
+    """What each of several blocks of search data, too large to be held together, finds in the texts.
+
+    ``marker(block, first)`` turns a list of UTF-8 texts into an Arrow array of ``kind``, null where the block finds
+    nothing. Every block is broadcast, passes over the texts in a job of its own that stages its marks, and is
+    destroyed before the next one is made, so one block is alive at a time. Given back are the staged
+    documents, the name of their number, and the marks (that number, ``mark``) of all blocks."""
+    row, context = spare(docs, "row"), docs.sparkSession.sparkContext
+    kept = staged(docs.withColumn(row, F.monotonically_increasing_id()), f"{label}-rows")
+
+    def pass_over(sent, first: bool) -> DataFrame:
+        def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mark = marker(sent.value, first)
+            for batch in batches:
+                for at, raw in in_parts(batch.column(1)):
+                    found = mark(raw)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raw)), found], ["row", "mark"]).filter(found.is_valid())
+
+        return staged(kept.select(row, text_col).mapInArrow(per_batch, f"row long, mark {kind}"), f"{label}-marks")
+
+    marks = None
+    for block in blocks:
+        sent = context.broadcast(block)
+        part = pass_over(sent, marks is None)
+        sent.destroy()
+        marks = part if marks is None else marks.unionByName(part)
+    return kept, row, marks.withColumnRenamed("row", row)
+
+
 def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``max_rows`` (narrow) rows; a larger one is shuffled."""
     return F.broadcast(df) if df.count() <= max_rows else df

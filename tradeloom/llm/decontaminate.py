@@ -15,7 +15,8 @@ counts once; an item whose id is null is named by an empty string; empty tables
 results or no hits; very long texts are cut into overlapping runs of at most ``SHARD_WORDS``,
 so an index stays small and no occurrence is lost; other columns are not read. The windows are
 sent to the tasks in blocks of at most ``block_words`` benchmark words, whatever the size of
-the benchmark, with one pass over the texts for each block.
+the benchmark. Where there are several, each has a job of its own over the staged texts, which stages what
+it finds, and is destroyed before the next block is made; the findings of a row are merged at the end.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tradeloom.llm.common import as_bytes, in_parts, list_array, slices, struct_array, words_of
+from tradeloom.llm.common import as_bytes, in_parts, list_array, marks_of_blocks, slices, struct_array, words_of
 
 WIDTH = 13
 SHARD_WORDS = 1 << 18
@@ -201,37 +203,64 @@ def occurrences(docs: list[np.ndarray], phrases: dict) -> dict[int, list[tuple[i
     return found
 
 
+def searched(raws: list[bytes], phrases: dict) -> tuple[list[int], list[list[str]], list[np.ndarray], list[np.ndarray]]:
+    """Number of words, items, and merged spans of each text."""
+    docs, n_words, code = [], [], phrases["alphabet"].get
+    for raw in raws:
+        words = words_of(raw)
+        n_words.append(len(words))
+        docs.append(np.fromiter((code(w, 0) for w in words), dtype=np.int32, count=len(words)))
+    found, items, spans = occurrences(docs, phrases), [], []
+    for d in range(len(docs)):
+        hits = found.get(d, [])
+        items.append(sorted({i for h in hits for i in h[2]}))
+        spans.append(merged(np.array([h[0] for h in hits], dtype=np.int32), np.array([h[1] for h in hits], dtype=np.int32)))
+    return n_words, items, [a for a, _ in spans], [b for _, b in spans]
+
+
+def found_array(n_words: list[int], items: list[list[str]], starts: list[np.ndarray], ends: list[np.ndarray]) -> pa.StructArray:
+    return struct_array({"n_words": pa.array(n_words, pa.int64()), "items": pa.array(items, pa.list_(pa.string())),
+                         "starts": list_array(starts, pa.int32()), "ends": list_array(ends, pa.int32())})
+
+
 def searcher(sent):
-    def search(texts: pa.Array, before: pa.Array) -> pa.Array:
-        phrases, docs, n_words = sent.value, [], []
-        code = phrases["alphabet"].get
-        for raw in (x for _, part in in_parts(texts) for x in part):
-            words = words_of(raw)
-            n_words.append(len(words))
-            docs.append(np.fromiter((code(w, 0) for w in words), dtype=np.int32, count=len(words)))
-        found, old = occurrences(docs, phrases), before.to_pylist()
-        items, starts, ends = [], [], []
-        for d in range(len(docs)):
-            hits, was = found.get(d, []), old[d] or {"items": [], "starts": [], "ends": []}
-            items.append(sorted({i for h in hits for i in h[2]} | set(was["items"])))
-            a, b = merged(np.array([h[0] for h in hits] + was["starts"], dtype=np.int32), np.array([h[1] for h in hits] + was["ends"], dtype=np.int32))
-            starts.append(a)
-            ends.append(b)
-        return struct_array({"n_words": pa.array(n_words, pa.int64()), "items": pa.array(items, pa.list_(pa.string())),
-                             "starts": list_array(starts, pa.int32()), "ends": list_array(ends, pa.int32())})
+    def search(texts: pa.Array) -> pa.Array:
+        parts = [searched(part, sent.value) for _, part in in_parts(texts)]
+        return found_array(*([x for p in parts for x in p[i]] for i in range(4)))
+
+    return search
+
+
+def block_searcher(phrases: dict, first: bool):
+    """The first block reports every text, the others those in which they find something."""
+    def search(raws: list[bytes]) -> pa.Array:
+        got = searched(raws, phrases)
+        all_ = found_array(*got)
+        return all_ if first else pc.if_else(pa.array([bool(i) for i in got[1]], pa.bool_()), all_, pa.scalar(None, all_.type))
 
     return search
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  block_words: int = 2_000_000) -> Column:
-    """A column struct<n_words, items, starts, ends> for the rows of ``docs``: the items found and
+def joined_spans(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    spans = [merged(np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)) for a, b in zip(starts.to_pylist(), ends.to_pylist())]
+    return struct_array({"starts": list_array([a for a, _ in spans], pa.int32()), "ends": list_array([b for _, b in spans], pa.int32())})
+
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, name: str = "found", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                       block_words: int = 2_000_000) -> DataFrame:
+    """``docs`` and a column struct<n_words, items, starts, ends> called ``name``: the items found and
     the merged spans of their words."""
-    result = F.lit(None).cast(_KIND)
-    for part in search_blocks(benchmark, item_col, item_text_col, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(phrases_of(part.collect()))
-        result = arrow_udf(searcher(sent), _KIND)(F.col(text_col), result)
-    return result
+    parts = search_blocks(benchmark, item_col, item_text_col, block_words)
+    if len(parts) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(phrases_of(parts[0].collect()))
+        return docs.withColumn(name, arrow_udf(searcher(sent), _KIND)(F.col(text_col)))
+    blocks = (phrases_of(part.collect()) for part in parts)
+    kept, row, marks = marks_of_blocks(docs, text_col, blocks, block_searcher, _KIND, "contamination")
+    listed = lambda field: F.flatten(F.collect_list(f"mark.{field}")).alias(field)
+    of_row = marks.groupBy(row).agg(F.max("mark.n_words").alias("n_words"), listed("items"), F.collect_list("mark").alias("marks"))
+    spans = arrow_udf(joined_spans, "struct<starts:array<int>,ends:array<int>>")(F.flatten("marks.starts"), F.flatten("marks.ends"))
+    of_row = of_row.select(row, "n_words", F.array_sort(F.array_distinct("items")).alias("items"), spans.alias("s"))
+    return kept.join(of_row.select(row, F.struct("n_words", "items", "s.starts", "s.ends").alias(name)), row).select(*docs.columns, name)
 
 
 def n_hit(found: str) -> Column:

@@ -14,8 +14,9 @@ of BLAKE2b.
 Defined results: a null or empty text is one empty line; empty keys are never dropped; every
 row counts as a document, repeated rows too; no documents give an empty table and filters
 that hold nothing; further columns of the input are never looked at. Texts of any length are
-handled line by line. Filters are sent to the tasks in blocks of at most ``block_bytes``,
-one pass over the texts for each block, so what a task holds doesn't grow with the corpus.
+handled line by line. Filters are sent to the tasks in blocks of at most ``block_bytes``. Where there are
+several, each has a job of its own over the staged texts, which stages its marks, and is destroyed before
+the next one is sent, so what a task holds doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tradeloom.llm.common import BLANKS, in_parts, mix, struct_array
+from tradeloom.llm.common import BLANKS, in_parts, marks_of_blocks, mix, spare, struct_array
 from tradeloom.staging import staged
 
 SLOTS = 4
@@ -204,45 +206,54 @@ def frequent(h: np.ndarray, block: dict) -> np.ndarray:
     return out
 
 
-def marker(sent, last: bool, min_chars: int):
-    """Arrow function that marks the lines one block of filters holds; the last block drops them."""
-    def mark(texts: pa.Array, before: pa.Array) -> pa.Array:
-        out, n_lines, n_dropped = [], [], []
-        for first, raw in in_parts(texts):
-            keys = [keys_of(x) for x in raw]
-            index: dict[bytes, int] = {}
-            for ks in keys:
-                for k in ks:
-                    if len(k) >= min_chars and k not in index and len(k.decode()) >= min_chars:
-                        index[k] = len(index)
-            often = frequent(key_hash(list(index)), sent.value)
-            for text, ks, old in zip(raw, keys, before.slice(first, len(raw)).to_pylist()):
-                gone = [old is not None and old[i] == 1 or (k in index and bool(often[index[k]])) for i, k in enumerate(ks)]
-                if last:
-                    n_lines.append(len(ks))
-                    n_dropped.append(sum(gone))
-                    out.append(b"\n".join(x for x, g in zip(text.split(b"\n"), gone) if not g) if any(gone) else text)
-                else:
-                    out.append(bytes(gone))
-        if not last:
-            return pa.array(out, pa.binary())
-        return struct_array({"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept": pa.array(out, pa.binary()).cast(pa.string())})
-
-    return mark
-
-
-def drop_lines(docs: DataFrame, filters: DataFrame, text_col: str = "text", min_chars: int = 1, block_bytes: int = 64 << 20) -> Column:
-    """A column struct<n_lines, n_dropped, kept> for the rows of ``docs``: the text without the
+def line_marks(raws: list[bytes], block: dict, min_chars: int) -> list[list[bool]]:
+    """For every line of every text: does a filter of this block hold its key?"""
+    keys = [keys_of(x) for x in raws]
+    index: dict[bytes, int] = {}
+    for ks in keys:
+        for k in ks:
+            if len(k) >= min_chars and k not in index and len(k.decode()) >= min_chars:
+                index[k] = len(index)
+    often = frequent(key_hash(list(index)), block)
+    return [[k in index and bool(often[index[k]]) for k in ks] for ks in keys]
+
+
+def without_marked(raws: list[bytes], marks: list[list[bool]]) -> pa.Array:
+    kept = [b"\n".join(x for x, g in zip(raw.split(b"\n"), gone) if not g) if any(gone) else raw for raw, gone in zip(raws, marks)]
+    return struct_array({"n_lines": pa.array([len(g) for g in marks], pa.int64()), "n_dropped": pa.array([sum(g) for g in marks], pa.int64()),
+                         "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+
+
+def drop_lines(docs: DataFrame, filters: DataFrame, name: str = "found", text_col: str = "text", min_chars: int = 1, block_bytes: int = 64 << 20) -> DataFrame:
+    """``docs`` and a column struct<n_lines, n_dropped, kept> called ``name``: the text without the
     lines that the (staged) filters hold."""
-    context, result = docs.sparkSession.sparkContext, F.lit(None).cast("binary")
     blocks = blocks_of(filters, block_bytes)
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        last = following is None
-        mark = arrow_udf(marker(context.broadcast(block), last, min_chars), _DROPS if last else "binary")
-        result, block = mark(F.col(text_col), result), following
-    return result
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def drop(texts: pa.Array) -> pa.Array:
+            return pa.concat_arrays([without_marked([], []), *(without_marked(raw, line_marks(raw, sent.value, min_chars)) for _, raw in in_parts(texts))])
+
+        return docs.withColumn(name, arrow_udf(drop, _DROPS)(F.col(text_col)))
+
+    def marker(held: dict, first: bool):
+        def mark(raws: list[bytes]) -> pa.Array:
+            return pa.array([bytes(gone) if any(gone) else None for gone in line_marks(raws, held, min_chars)], pa.binary())
+
+        return mark
+
+    def drop_marked(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        out = [without_marked([], [])]
+        for at, raws in in_parts(texts):
+            of_row = marks.slice(at, len(raws)).to_pylist()
+            out.append(without_marked(raws, [[any(m) for m in zip(*found)] if found else [False] * (raw.count(b"\n") + 1) for raw, found in zip(raws, of_row)]))
+        return pa.concat_arrays(out)
+
+    kept, row, marks = marks_of_blocks(docs, text_col, chain([block, following], blocks), marker, "binary", "lines")
+    found = spare(kept, name)
+    marked = kept.join(marks.groupBy(row).agg(F.collect_list("mark").alias(found)), row, "left")
+    return marked.select(*docs.columns, arrow_udf(drop_marked, _DROPS)(F.col(text_col), F.col(found)).alias(name))
 
 
 def frequent_line_filters(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:

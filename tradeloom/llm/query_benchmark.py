@@ -29,6 +29,6 @@ FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 @register("op5_decontamination", _SQL)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).alias("found"))
+    found = decontaminate.with_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "found.n_words", decontaminate.n_hit("found").alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated("found").alias("contaminated"))

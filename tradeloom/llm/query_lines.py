@@ -23,5 +23,5 @@ FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY doc_id
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     filters = line_dedup.frequent_line_filters(docs, min_docs=10, min_chars=1)
-    found = docs.withColumn("found", line_dedup.drop_lines(docs, filters))
+    found = line_dedup.drop_lines(docs, filters)
     return found.select("doc_id", "found.n_lines", "found.n_dropped", F.sha2(F.col("found.kept"), 256).alias("kept_sha256"))

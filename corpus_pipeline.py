@@ -19,19 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality, query_quality
-from tradeloom.llm.common import table
+from tradeloom.llm.common import spare, table
 from tradeloom.staging import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def spare(docs: DataFrame, name: str) -> str:
-    """``name`` with as many underscores in front as set it apart from all columns."""
-    while name.lower() in (c.lower() for c in docs.columns):
-        name = f"_{name}"
-    return name
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~query_quality.held_out())
     forest = quality.train(docs, labels)
@@ -41,7 +34,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = line_dedup.frequent_line_filters(docs, min_docs=10, min_chars=1)
     found = spare(docs, "found")
-    marked = docs.withColumn(found, line_dedup.drop_lines(docs, filters))
+    marked = line_dedup.drop_lines(docs, filters, found)
     changed = F.coalesce(F.col(f"{found}.n_dropped") > 0, F.lit(False)) & F.col("text").isNotNull()
     new = {"text": F.col(f"{found}.kept"), "n_chars": F.char_length(f"{found}.kept").cast("long")}
     return marked.select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in docs.columns])
@@ -55,7 +48,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = spare(docs, "found")
-    marked = docs.withColumn(found, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+    marked = decontaminate.with_contamination(docs, table(spark, sf_dir, "benchmark"), found)
     return marked.where(~decontaminate.is_contaminated(found)).select(*docs.columns)
 
 

@@ -10,9 +10,11 @@ from tradeloom.llm.common import register, table
 @register("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given labels know one category. The finer ones are toxic documents with more of the
-    features that nearly always mean toxicity; a term gives up to three, itself and two stems."""
+    features that nearly always mean toxicity; a term gives up to three, itself and two stems. They come
+    first, and the given one is predicted last, from their probabilities too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    categories = {"toxic": F.col("toxic") == 1, "repeated": (F.col("toxic") == 1) & (F.col("found") >= 6), "severe": (F.col("toxic") == 1) & (F.col("found") >= 15)}
+    toxic = F.col("toxic") == 1
+    categories = {"severe": toxic & (F.col("found") >= 15), "repeated": toxic & (F.col("found") >= 6), "toxic": toxic}
     vocabulary, chain = toxicity.train(docs, table(spark, sf_dir, "labels"), categories)
     scored = docs.select("doc_id", toxicity.toxicity_column(docs, vocabulary, chain, list(categories)).alias("p"))
     return scored.select("doc_id", F.col("p.toxic").alias("score"), (F.col("p.toxic") >= 0.5).cast("int").alias("predicted"),

@@ -61,3 +61,7 @@ def test_cleaning_compiles(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", out.getvalue())]
     assert sizes and all(0 < n < 64_000 for n in sizes)
+
+
+def test_unreadable_cells_are_not_joined_with_all_rows(spark, sf_dir):
+    assert "Join" not in plan(QUERIES["unreadable_cells"](spark, sf_dir))

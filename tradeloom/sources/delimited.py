@@ -221,13 +221,14 @@ def scan_delimited(spark: SparkSession, path: str, dataset: Column | None = None
     return raw, found.where("reason IS NOT NULL").select("file", "reason").unionByName(blank)
 
 
-def unreadable_cells(raw: DataFrame) -> DataFrame:
+def unreadable_cells(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cells of numeric roles that hold a number no column can keep: not finite, or too large
-    for its type. They count as 0, as any unreadable cell does; this table names them."""
+    for its type. They count as 0, as any unreadable cell does; this table names them. Columns in
+    ``keep`` come along from the cell's row, which spares a join with all rows."""
     number = lambda r: parse_number(without_marks(F.col(r)))
     lost = [F.when(number(r).isNotNull() & ~F.coalesce(in_range(number(r), MONEY.get(r, "double")).isNotNull(), F.lit(False)), F.struct(F.lit(r).alias("role"), F.col(r).alias("cell"))) for r in NUMERIC_ROLES]
-    cells = raw.select("dataset_id", "row_id", F.explode(F.array_compact(F.array(*lost))).alias("c"))
-    return cells.select("dataset_id", "row_id", "c.role", "c.cell")
+    cells = raw.select("dataset_id", "row_id", *keep, F.explode(F.array_compact(F.array(*lost))).alias("c"))
+    return cells.select("dataset_id", "row_id", *keep, "c.role", "c.cell")
 
 
 PERCENTS = ["margin_pct", "sell_through"]

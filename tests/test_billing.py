@@ -89,3 +89,16 @@ def test_events_count_once_over_batches_failures_and_restarts(spark, tmp_path):
     assert deduplicated(spark, tmp_path) == [("evt_1", 1), ("evt_2", 1), ("evt_3", 1)]  # taken again by a new run
     deliver(2, [(EVENTS[4], 3), (EVENTS[3], 1), (EVENTS[2], 2)])
     assert deduplicated(spark, tmp_path) == [("evt_1", 1), ("evt_2", 1), ("evt_3", 1), ("evt_4", 1)]
+
+
+def test_many_ids_of_a_batch_pass_in_few_calls(spark):
+    """A call of Python for every id takes milliseconds each, which no number of events can afford."""
+    stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) AS id", "timestamp AS ts")
+    text = billing.billing_dedup_stream(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in text and "TransformWithState" not in text
+
+
+def test_first_delivery_of_a_batch_counts_whatever_the_order(spark, tmp_path):
+    rows = [(*event(i, "buy", h), k) for h, k in ((5, 1), (2, 3), (2, 2), (9, 1)) for i in range(300)]
+    spark.createDataFrame(rows, SCHEMA + ", delivery int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert deduplicated(spark, tmp_path) == sorted((f"evt_{i}", 2) for i in range(300))

@@ -102,3 +102,21 @@ def test_slow_movers_fall_back_to_sellers(make_lines):
     best = alerts.best_sellers(rollup.sku_rollup(make_lines(rows)))
     none = alerts.markdown_risk(rollup.sku_rollup(make_lines(rows)))
     assert [r.sku for r in category.category_slow_movers(best, none).orderBy("rank").collect()] == ["s5", "s6", "s7"]
+
+
+def test_few_rows_are_sorted_for_the_first_k(spark):
+    """Rows below what k rows reach are left out before the sort; without enough values all stay."""
+    from pyspark.sql import functions as F
+
+    from tradeloom.operators import alerts
+
+    many = spark.range(20000).select(F.lit("a").alias("dataset_id"), F.col("id").cast("string").alias("sku"), (F.col("id") % 7000).cast("decimal(18,4)").alias("revenue"))
+    few = spark.range(30).select(F.lit("b").alias("dataset_id"), F.col("id").cast("string").alias("sku"), F.when(F.col("id") < 5, F.lit(1)).cast("decimal(18,4)").alias("revenue"))
+    equal = spark.range(50).select(F.lit(None).cast("string").alias("dataset_id"), F.col("id").cast("string").alias("sku"), F.lit(1).cast("decimal(18,4)").alias("revenue"))
+    rows = many.unionByName(few).unionByName(equal)
+    order = [F.desc("revenue"), F.asc("sku")]
+    near = alerts.in_reach(rows, ["dataset_id"], "revenue", "sku", 20)
+    kept = {r.dataset_id: r["count"] for r in near.groupBy("dataset_id").count().collect()}
+    assert kept["b"] == 30 and kept[None] == 50 and 20 <= kept["a"] < 200
+    first = lambda df: sorted(map(str, alerts.top_per(df, ["dataset_id"], order, 20).collect()))
+    assert first(near) == first(rows)

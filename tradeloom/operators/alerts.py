@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradeloom.functions.numbers import whole
 from tradeloom.sources.roles import has_role
+from tradeloom.staging import staged
 
 DS = "dataset_id"
 # Rows kept per dataset in the stored analysis.
@@ -18,6 +19,19 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, name: s
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
+def in_reach(df: DataFrame, keys: list[str], value: str, item: str, k: int) -> DataFrame:
+    """Rows that can be among the k largest of ``value`` per key, so that few are sorted.
+
+    The items of a key are dealt into buckets by hash. The k-th largest of the buckets' maxima is reached by
+    k rows at least, so no row below it is among the first k. Where fewer buckets hold a value, all rows
+    stay. Reads ``df`` twice; the limits, one row per key, are staged.
+    """
+    maxima = df.groupBy(*keys, F.pmod(F.xxhash64(item), F.lit(16 * k)).alias("_bucket")).agg(F.max(value).alias("_max"))
+    limit = F.get(F.sort_array(F.collect_list("_max"), asc=False), F.lit(k - 1))
+    limits = staged(maxima.groupBy(*keys).agg(limit.alias("_limit")), "limits")
+    return df.join(limits, keys, "left").where(F.col("_limit").isNull() | (F.col(value) >= F.col("_limit"))).drop("_limit")
+
+
 def role_value(role: str) -> Column:
     """Cleaned value of a role, NULL only when the sheet has no such column."""
     return F.when(has_role(role), F.coalesce(F.col(role).cast("double"), F.lit(0.0)))
@@ -59,7 +73,7 @@ def money2(column: str) -> Column:
 
 def best_sellers(rollup: DataFrame, k: int = BEST_SELLERS_KEPT) -> DataFrame:
     """Top SKUs by revenue."""
-    top = top_per(rollup, [DS], [F.desc("revenue"), F.asc("sku")], k)
+    top = top_per(in_reach(rollup, [DS], "revenue", "sku", k), [DS], [F.desc("revenue"), F.asc("sku")], k)
     return top.select(
         DS, F.col("rank").cast("int").alias("rank"), "sku", money2("revenue"), whole(F.col("units")).alias("units"),
         "name", "category",
@@ -97,9 +111,9 @@ def markdown_candidates(rollup: DataFrame) -> DataFrame:
 
 def reorder_alerts(rollup: DataFrame, k: int = ALERTS_KEPT) -> DataFrame:
     order = [position(F.col("urgency"), URGENCIES), F.desc("revenue"), F.asc("sku")]
-    return top_per(reorder_candidates(rollup), [DS], order, k).withColumn("rank", F.col("rank").cast("int"))
+    return top_per(in_reach(reorder_candidates(rollup), [DS, "urgency"], "revenue", "sku", k), [DS], order, k).withColumn("rank", F.col("rank").cast("int"))
 
 
 def markdown_risk(rollup: DataFrame, k: int = ALERTS_KEPT) -> DataFrame:
     order = [position(F.col("severity"), list(DEPTHS)), F.desc("revenue"), F.asc("sku")]
-    return top_per(markdown_candidates(rollup), [DS], order, k).withColumn("rank", F.col("rank").cast("int"))
+    return top_per(in_reach(markdown_candidates(rollup), [DS, "severity"], "revenue", "sku", k), [DS], order, k).withColumn("rank", F.col("rank").cast("int"))

@@ -120,3 +120,26 @@ def test_few_rows_are_sorted_for_the_first_k(spark):
     assert kept["b"] == 30 and kept[None] == 50 and 20 <= kept["a"] < 200
     first = lambda df: sorted(map(str, alerts.top_per(df, ["dataset_id"], order, 20).collect()))
     assert first(near) == first(rows)
+
+
+def test_first_values_with_gaps_carry_the_place_once(spark, make_lines):
+    import contextlib
+    import io
+
+    from tradeloom.operators.rollup import sku_rollup
+    from tradeloom.sources.store import merged_rollup, partial_rollup
+
+    from pyspark.sql import functions as F
+
+    full = {"category": "x", "channel": "web", "name": "n", "brand": "z", "buy_qty": 4}
+    rows = [{"sku": "s", **full, "category": None, "name": "early"}, {"sku": "s", **full}, {"sku": "s", **full, "category": "late", "brand": None},
+            {"sku": "t", "name": None}, {"sku": "t", "name": "only"}, {"sku": "u", **full, "buy_qty": None}, {"sku": "u", **full, "category": "y"}]
+    lines = make_lines(rows, {*full, "stock", "sell_through", "cover_weeks"})
+    want = {("s", "x", "web", "early", "z", 4.0), ("t", None, None, "only", None, None), ("u", "x", "web", "n", "z", 4.0)}
+    sheets = lines.withColumn("sheet", F.when(F.col("row_id") % 2 == 0, "one").otherwise("two"))
+    for found in (sku_rollup(lines), merged_rollup(partial_rollup(sheets))):
+        assert {(r.sku, r.category, r.channel, r.name, r.brand, r.buy_qty) for r in found.collect()} == want
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            found.explain()
+        assert "min_by(category" not in out.getvalue()

@@ -7,6 +7,8 @@ reduced. Everything after it works at SKU grain or above.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeloom.functions.numbers import exact_mean, parse_number, percent_of
@@ -55,16 +57,28 @@ def derive_margin(lines: DataFrame) -> DataFrame:
     return lines.withColumn("margin_pct", value).withColumn("margin_source", source)
 
 
-def first_present(column: str) -> Column:
-    return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("row_id"))).alias(column)
-
-
 # Columns whose last value in file order counts. Cleaning leaves no gaps in a numeric column
 # a sheet has, so the last line of a SKU carries all three.
 LAST = ["stock", "sell_through", "cover_weeks"]
 FIRST = ["category", "channel", "name", "brand", "buy_qty"]
 
 
+def first_values() -> list[Column]:
+    """Aggregates that hold the first value of each FIRST column. A line that has them all, the
+    usual case, carries its place once; only lines with gaps carry it for every column."""
+    gapless = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in FIRST])
+    placed = F.col("row_id").isNotNull()
+    return [F.min(F.when(gapless & placed, F.struct("row_id", *FIRST))).alias("_first"),
+            *[F.min(F.when(~gapless & placed & F.col(c).isNotNull(), F.struct("row_id", c))).alias(f"_{c}") for c in FIRST]]
+
+
+def first_present(column: str) -> Column:
+    """First value of a column from the aggregates of ``first_values``."""
+    gapless, other = F.col("_first"), F.col(f"_{column}")
+    earlier = other.isNotNull() & (gapless.isNull() | (other["row_id"] < gapless["row_id"]))
+    return F.when(earlier, other[column]).otherwise(gapless[column]).alias(column)
+
+
 def sku_rollup(lines: DataFrame) -> DataFrame:
     """One row per dataset and SKU. Lines without a SKU are left out.
 
@@ -76,10 +90,10 @@ def sku_rollup(lines: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in sums],
         exact_mean(F.col("margin_pct")).alias("margin_pct"),
         F.max_by(F.struct(*LAST), "row_id").alias("last"),
-        *[first_present(c) for c in FIRST],
+        *first_values(),
         F.max("role_mask").alias("role_mask"),
     )
-    return rolled.select(DS, "sku", *sums, "margin_pct", *[f"last.{c}" for c in LAST], *FIRST, "role_mask")
+    return rolled.select(DS, "sku", *sums, "margin_pct", *[f"last.{c}" for c in LAST], *[first_present(c) for c in FIRST], "role_mask")
 
 
 def rounded_sum(column: str, digits: int = 2) -> Column:

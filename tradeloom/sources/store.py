@@ -23,7 +23,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom.operators import alerts, rollup
-from tradeloom.operators.rollup import DS, FIRST, LAST
+from tradeloom.operators.rollup import DS, FIRST, LAST, first_present, first_values
 from tradeloom.sources.publish import CLUSTERED_BY
 from tradeloom.staging import staged
 
@@ -36,11 +36,10 @@ MANIFEST = "dataset_id string, sheet string, partials bigint"
 def partial_rollup(lines: DataFrame) -> DataFrame:
     """What ``merged_rollup`` needs to know of the lines of each sheet and SKU."""
     margin = F.col("margin_pct").try_cast("decimal(38,12)")
-    present = lambda c: F.when(F.col(c).isNotNull(), F.col("row_id"))
+    last = F.when(F.col("row_id").isNotNull(), F.struct("row_id", *LAST))
     return lines.where(F.col("sku").isNotNull()).groupBy("sku", DS, "sheet").agg(
         *[F.sum(c).alias(c) for c in SUMS], F.sum(margin).alias("margin_sum"), F.count("margin_pct").alias("margin_n"),
-        F.max_by(F.struct(*LAST), "row_id").alias("last"), F.max("row_id").alias("last_at"),
-        *[c for k in FIRST for c in (F.min_by(k, present(k)).alias(k), F.min(present(k)).alias(f"{k}_at"))], F.max("role_mask").alias("role_mask"))
+        F.max(last).alias("last"), *first_values(), F.max("role_mask").alias("role_mask"))
 
 
 def merged_rollup(partials: DataFrame) -> DataFrame:
@@ -48,9 +47,9 @@ def merged_rollup(partials: DataFrame) -> DataFrame:
     kinds = {c: partials.schema[c].dataType for c in SUMS}
     mean = F.round(F.try_divide(F.sum("margin_sum").cast("double"), F.sum("margin_n").cast("double")), 9)
     merged = partials.groupBy("sku", DS).agg(
-        *[F.sum(c).cast(kinds[c]).alias(c) for c in SUMS], mean.alias("margin_pct"), F.max_by("last", "last_at").alias("last"),
-        *[F.min_by(c, f"{c}_at").alias(c) for c in FIRST], F.max("role_mask").alias("role_mask"))
-    return merged.select(DS, "sku", *SUMS, "margin_pct", *[f"last.{c}" for c in LAST], *FIRST, "role_mask")
+        *[F.sum(c).cast(kinds[c]).alias(c) for c in SUMS], mean.alias("margin_pct"), F.max("last").alias("last"),
+        *[F.min(c).alias(c) for c in ("_first", *[f"_{c}" for c in FIRST])], F.max("role_mask").alias("role_mask"))
+    return merged.select(DS, "sku", *SUMS, "margin_pct", *[f"last.{c}" for c in LAST], *[first_present(c) for c in FIRST], "role_mask")
 
 
 def partial_sums(lines: DataFrame, label: str) -> DataFrame:

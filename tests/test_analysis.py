@@ -143,3 +143,21 @@ def test_first_values_with_gaps_carry_the_place_once(spark, make_lines):
         with contextlib.redirect_stdout(out):
             found.explain()
         assert "min_by(category" not in out.getvalue()
+
+
+def test_book_keeps_only_sku_columns_that_are_read(spark, make_lines):
+    """KPIs need no first values; a dataset whose lines have no SKU stays in the dataset table, taken from the staged SKU rows."""
+    from tradeloom.plans.book import AnalysisBook
+
+    catalogue = lambda rows: rows.groupBy("dataset_id").agg(F.max("role_mask").alias("role_mask"))
+    lines = make_lines([{"sku": "a", "category": "x", "name": "n", "channel": "c", "brand": None, "week": "1"}, {"sku": "a", "category": "y", "brand": "b"},
+                        {"sku": None, "category": "z", "week": "2", "channel": "c"}, {"dataset_id": "e", "sku": None}])
+    few, all_of = AnalysisBook(lines, catalogue).prepare("kpis"), AnalysisBook(lines, catalogue)
+    assert not {"category", "name", "brand", "cost"} & set(few.skus().columns)
+    assert [r.dataset_id for r in few.datasets.orderBy("dataset_id").collect()] == ["d", "e"]
+    assert few.datasets.count() == all_of.datasets.count()
+    assert few.kpis.collect() == [r for r in all_of.tables()["kpis"].collect()] and few.kpis.first().sku_count == 1
+    assert few.categories.first().category == "x" and "category" in few.skus().columns and few.rollup.first().brand == "b"
+    whole = lambda df: sorted(map(str, df.collect()))
+    assert whole(few.rollup) == whole(rollup.sku_rollup(lines))
+    assert whole(few.weekly) == whole(rollup.weekly_trend(lines)) and whole(few.channels) == whole(rollup.channel_split(lines, few.kpis))

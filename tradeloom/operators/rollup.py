@@ -61,39 +61,49 @@ def derive_margin(lines: DataFrame) -> DataFrame:
 # a sheet has, so the last line of a SKU carries all three.
 LAST = ["stock", "sell_through", "cover_weeks"]
 FIRST = ["category", "channel", "name", "brand", "buy_qty"]
+SUMS = ["units", "revenue", "cost", "full_price_sales", "margin_value"]
 
 
-def first_values() -> list[Column]:
-    """Aggregates that hold the first value of each FIRST column. A line that has them all, the
+def first_values(columns=tuple(FIRST)) -> list[Column]:
+    """Aggregates that hold the first value of each column. A line that has them all, the
     usual case, carries its place once; only lines with gaps carry it for every column."""
-    gapless = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in FIRST])
     placed = F.col("row_id").isNotNull()
-    return [F.min(F.when(gapless & placed, F.struct("row_id", *FIRST))).alias("_first"),
-            *[F.min(F.when(~gapless & placed & F.col(c).isNotNull(), F.struct("row_id", c))).alias(f"_{c}") for c in FIRST]]
+    if len(columns) < 2:
+        return [F.min(F.when(placed & F.col(c).isNotNull(), F.struct("row_id", c))).alias(f"_{c}") for c in columns]
+    gapless = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return [F.min(F.when(gapless & placed, F.struct("row_id", *columns))).alias("_first"),
+            *[F.min(F.when(~gapless & placed & F.col(c).isNotNull(), F.struct("row_id", c))).alias(f"_{c}") for c in columns]]
 
 
-def first_present(column: str) -> Column:
+def first_present(column: str, columns=tuple(FIRST)) -> Column:
     """First value of a column from the aggregates of ``first_values``."""
     gapless, other = F.col("_first"), F.col(f"_{column}")
+    if len(columns) < 2:
+        return other[column].alias(column)
     earlier = other.isNotNull() & (gapless.isNull() | (other["row_id"] < gapless["row_id"]))
     return F.when(earlier, other[column]).otherwise(gapless[column]).alias(column)
 
 
-def sku_rollup(lines: DataFrame) -> DataFrame:
-    """One row per dataset and SKU. Lines without a SKU are left out.
+def sku_groups(lines: DataFrame, sums=tuple(SUMS), first=tuple(FIRST)) -> DataFrame:
+    """One row per dataset and SKU with the chosen sums and first values, and one per dataset for
+    its lines without a SKU.
 
     The SKU leads the grouping because the aggregate sorts by its keys: SKUs differ early,
     dataset names share long prefixes.
     """
-    sums = ["units", "revenue", "cost", "full_price_sales", "margin_value"]
-    rolled = lines.where(F.col("sku").isNotNull()).groupBy("sku", DS).agg(
+    rolled = lines.groupBy("sku", DS).agg(
         *[F.sum(c).alias(c) for c in sums],
         exact_mean(F.col("margin_pct")).alias("margin_pct"),
         F.max_by(F.struct(*LAST), "row_id").alias("last"),
-        *first_values(),
+        *first_values(first),
         F.max("role_mask").alias("role_mask"),
     )
-    return rolled.select(DS, "sku", *sums, "margin_pct", *[f"last.{c}" for c in LAST], *[first_present(c) for c in FIRST], "role_mask")
+    return rolled.select(DS, "sku", *sums, "margin_pct", *[f"last.{c}" for c in LAST], *[first_present(c, first) for c in first], "role_mask")
+
+
+def sku_rollup(lines: DataFrame) -> DataFrame:
+    """One row per dataset and SKU. Lines without a SKU are left out."""
+    return sku_groups(lines.where(F.col("sku").isNotNull()))
 
 
 def rounded_sum(column: str, digits: int = 2) -> Column:

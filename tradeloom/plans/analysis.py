@@ -111,7 +111,7 @@ def _(spark, d):
 SELECT r.dataset_id, sku, cast(round(r.revenue, 2) as double) AS revenue, round(cast(r.revenue as double) / total_revenue * 100, 4) AS share_pct
 FROM sku_rollup r JOIN kpis k ON k.dataset_id = r.dataset_id""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("rollup", "kpis")
     return rollup.revenue_share(b.rollup, b.kpis)
 
 

@@ -1,7 +1,8 @@
 """The analysis of all datasets as one set of tables, built once per job.
 
-``sku_rollup`` feeds five tables and those feed every later screen, so each is staged the
-first time it is used (see ``tradeloom.staging``). A table nobody asks for is never built.
+The SKU rows feed five tables and those feed every later screen, so each is staged the
+first time it is used (see ``tradeloom.staging``). A table nobody asks for is never built, and the SKU
+rows hold only the columns that the tables asked for read.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom.operators import alerts, compare, governance, role_view, rollup, timeline
 from tradeloom.sources import testtables
@@ -17,6 +18,10 @@ from tradeloom.staging import staged
 
 
 STORED = ("kpis", "best_sellers", "reorder_alerts", "markdown_risk", "categories")
+#: Sums and first values that a table reads from the SKU rows; ``rollup`` has them all.
+FIGURES = ("units", "revenue", "margin_value")
+READS = {"kpis": FIGURES, "categories": (*FIGURES, "category"), **dict.fromkeys(["best_sellers", "reorder_alerts", "markdown_risk"], (*FIGURES, "category", "name")),
+         "rollup": (*rollup.SUMS, *rollup.FIRST)}
 
 
 class AnalysisBook:
@@ -24,6 +29,7 @@ class AnalysisBook:
         """``catalogue`` makes the dataset table from rows with dataset_id and role_mask,
         ``pairing`` the comparisons from the dataset table."""
         self.lines, self._catalogue, self._pairing = lines, catalogue, pairing
+        self._groups: DataFrame | None = None
 
     @classmethod
     def of_test_tables(cls, spark: SparkSession, sf_dir: str) -> "AnalysisBook":
@@ -31,15 +37,23 @@ class AnalysisBook:
 
     def prepare(self, *names: str) -> "AnalysisBook":
         """Stage several tables at the same time; their jobs do not depend on each other."""
-        if set(names) & set(STORED):
-            self.rollup
+        if read := [c for name in names for c in READS.get(name, ())]:
+            self.skus(*read)
         with ThreadPoolExecutor(len(names)) as pool:
             list(pool.map(lambda name: getattr(self, name), names))
         return self
 
+    def skus(self, *columns: str) -> DataFrame:
+        """SKU rows with at least these sums and first values; built anew only if the staged ones lack some."""
+        if self._groups is None or not set(columns) <= set(self._groups.columns):
+            kept = {*columns, *(self._groups.columns if self._groups else ())}
+            groups = rollup.sku_groups(self.lines, *[[c for c in some if c in kept] for some in (rollup.SUMS, rollup.FIRST)])
+            self._groups = staged(groups, "sku_groups")
+        return self._groups.where(F.col("sku").isNotNull())
+
     @cached_property
     def datasets(self) -> DataFrame:
-        return staged(self._catalogue(self.lines), "datasets")
+        return staged(self._catalogue(self.lines if self._groups is None else self._groups), "datasets")
 
     def private_datasets(self, companies: DataFrame) -> DataFrame:
         return staged(governance.private_datasets(self.datasets, companies), "private")
@@ -50,35 +64,40 @@ class AnalysisBook:
 
     @cached_property
     def rollup(self) -> DataFrame:
-        return staged(rollup.sku_rollup(self.lines), "sku_rollup")
+        return self.skus(*READS["rollup"])
 
     @cached_property
     def kpis(self) -> DataFrame:
-        return staged(rollup.dataset_kpis(self.rollup), "kpis")
+        return staged(rollup.dataset_kpis(self.skus(*READS["kpis"])), "kpis")
 
     @cached_property
     def best_sellers(self) -> DataFrame:
-        return staged(alerts.best_sellers(self.rollup), "best_sellers")
+        return staged(alerts.best_sellers(self.skus(*READS["best_sellers"])), "best_sellers")
 
     @cached_property
     def reorder_alerts(self) -> DataFrame:
-        return staged(alerts.reorder_alerts(self.rollup), "reorder_alerts")
+        return staged(alerts.reorder_alerts(self.skus(*READS["reorder_alerts"])), "reorder_alerts")
 
     @cached_property
     def markdown_risk(self) -> DataFrame:
-        return staged(alerts.markdown_risk(self.rollup), "markdown_risk")
+        return staged(alerts.markdown_risk(self.skus(*READS["markdown_risk"])), "markdown_risk")
 
     @cached_property
     def categories(self) -> DataFrame:
-        return staged(rollup.category_scorecard(self.rollup), "category_scorecard")
+        return staged(rollup.category_scorecard(self.skus(*READS["categories"])), "category_scorecard")
+
+    @cached_property
+    def periods(self) -> DataFrame:
+        """Revenue per week and channel, so that both tables take one pass over the lines."""
+        return staged(self.lines.groupBy("dataset_id", "week", "channel").agg(F.sum("revenue").alias("revenue")), "periods")
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return staged(rollup.weekly_trend(self.lines), "weekly_trend")
+        return staged(rollup.weekly_trend(self.periods), "weekly_trend")
 
     @cached_property
     def channels(self) -> DataFrame:
-        return rollup.channel_split(self.lines, self.kpis)
+        return rollup.channel_split(self.periods, self.kpis)
 
     @cached_property
     def heads(self) -> DataFrame:
@@ -99,6 +118,7 @@ class AnalysisBook:
         return timeline.timeline(self.datasets, self.kpis)
 
     def tables(self) -> dict[str, DataFrame]:
+        self.skus(*READS["rollup"])
         return {"sku_rollup": self.rollup, "kpis": self.kpis, "best_sellers": self.best_sellers,
                 "reorder_alerts": self.reorder_alerts, "markdown_risk": self.markdown_risk,
                 "category_scorecard": self.categories, "weekly_trend": self.weekly, "channel_split": self.channels}

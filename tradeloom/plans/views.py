@@ -522,7 +522,7 @@ SHEETS_BACK = {"Categories": ("cats", "category"), "Best Sellers": ("best", "sku
 def _(spark, d):
     """Write the five export tables, then read their rows back."""
     path = scratch(spark, "export")
-    publish.export_tables(book(spark, d).prepare(*STORED).tables(), path)
+    publish.export_tables(book(spark, d).prepare("rollup", *STORED).tables(), path)
     read = lambda sheet: spark.read.csv(f"{path}/{sheet}", header=True)
     back = [read("Summary").select("dataset_id", F.lit("Summary").alias("sheet"), F.col("metric").alias("key"), "value")]
     for sheet, (_, column) in SHEETS_BACK.items():
@@ -544,7 +544,7 @@ PUBLISHED_SQL = " UNION ALL ".join(
 def _(spark, d):
     """Publish all tables, then read their rows back."""
     path = scratch(spark, "published")
-    publish.publish_analysis(book(spark, d).prepare(*STORED, "weekly").tables(), path)
+    publish.publish_analysis(book(spark, d).prepare("rollup", *STORED, "weekly").tables(), path)
     return published_rows({k: spark.read.parquet(f"{path}/{k}") for k in PUBLISHED})
 
 

@@ -52,23 +52,27 @@ def as_of() -> Column:
 
 def trading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
-    li, part, supp = spread(t("lineitem"), "l_orderkey"), t("part"), t("supplier")
-    orders = t("orders").select("o_orderkey", "o_custkey")
-    segment = t("customer").select("c_custkey", "c_mktsegment")
+    li = spread(t("lineitem"), "l_orderkey")
+    # What depends on a part alone is computed before the join with the lines, and orders, a quarter of
+    # the lines and narrow, find their segment first: the lines are not moved by customer.
+    part = t("part").withColumns({"b": F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int"), "retail": F.col("p_retailprice").cast("decimal(12,2)")})
+    orders = (
+        t("orders").select("o_orderkey", "o_custkey")
+        .join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+        .select("o_orderkey", "c_mktsegment")
+    )
     place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    supp = t("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
     joined = (
         li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(segment, F.col("o_custkey") == F.col("c_custkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(place, F.col("s_nationkey") == F.col("n_nationkey"))
     )
-    b = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
+    b, retail = F.col("b"), F.col("retail")
     margin = F.lit(20) + F.pmod(b * 7, F.lit(45)) + F.pmod(F.col("l_suppkey"), F.lit(10))
     share = (margin / 100).cast("decimal(4,2)")
     revenue = (F.col("l_extendedprice").cast("decimal(12,2)")
                * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)")
-    retail = F.col("p_retailprice").cast("decimal(12,2)")
     return joined.select(
         F.concat_ws(":", "c_mktsegment", F.year("l_shipdate").cast("string")).alias("dataset_id"),
         F.col("c_mktsegment").alias("user_id"),

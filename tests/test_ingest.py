@@ -154,3 +154,39 @@ def test_odd_files(spark, tmp_path):
 def test_many_headers_make_one_plan(spark, tmp_path):
     raw, _ = scanned(spark, tmp_path, **{f"f{i}": f"SKU,Qty,Sales,Extra {i}\ns{i},1,2,3\n" for i in range(60)})
     assert raw.count() == 60 and "Union" not in raw._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sheets_are_written_from_one_pass_over_the_lines(spark, sf_dir, monkeypatch):
+    """Every sheet starts with its header, and the written plan reads lineitem once."""
+    from pyspark.sql import DataFrameWriter
+
+    from tradeloom.plans import streams
+
+    plans, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().sparkPlan().toString()), text(self, *a, **k))[1])
+    path = streams.written_sheets(spark, sf_dir)
+    assert plans[0].count("l_discount") and sum("FileScan" in line and "l_orderkey" in line for line in plans[0].splitlines()) == 1
+    found = delimited.parsed(spark, path)
+    assert found.where("n < 0 and reason is null").count() == found.select("file").distinct().count()
+    assert found.where("n >= 0").count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
+def test_rows_of_a_sheet_at_chunk_borders(tmp_path):
+    """Short, blank and overlong rows, empty marks, and more rows than one chunk."""
+    head, lines = "SKU,Units,Revenue,Notes", []
+    for i in range(delimited.CHUNK + 5):
+        lines.append(["a,1,2,x", "b", "", ",,,", ",,,note", "c,n/a,3,,extra"][i % 6])
+    rows = [r for b in delimited.Sheet(head, ",").rows(iter(lines), ("f", "d", 0)) for r in b.to_pylist()]
+    whole = [(n, *{0: ("a", "1", "2"), 1: ("b", None, None), 4: (None,) * 3, 5: ("c", None, "3")}[n % 6]) for n in range(delimited.CHUNK + 5) if n % 6 in (0, 1, 4, 5)]
+    assert [(r["n"], r["sku"], r["units"], r["revenue"]) for r in rows] == whole
+    assert {(r["file"], r["dataset_id"], r["block"]) for r in rows} == {("f", "d", 0)}
+
+
+def test_number_marks_are_read_as_by_the_patterns(spark):
+    from tradeloom.functions.numbers import WHOLE_NUMBER, cell_number, without_marks
+
+    cells = ["£1,234.50", "5%", "5 %", "5%%", "%", "5% ", "5%\u0085", "+.5e3", "12d", "nan", "1e400", "\t7\r\n", "\x0b8\f", "(5)", "", None, "₹9", "€1 000", "5 "]
+    old = F.regexp_extract(without_marks(F.col("c")), r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z", 0).try_cast("double")
+    old = F.nullif(F.nullif(old, F.lit(float("inf"))), F.lit(float("-inf")))
+    got = spark.createDataFrame([(c,) for c in cells], "c string").select("c", cell_number(F.col("c")).alias("new"), old.alias("old")).collect()
+    assert all(r.new == r.old for r in got) and got[0].new == 1234.5 and got[1].new == 5.0 and got[3].new is None

@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 CURRENCY_AND_GROUPING = r"[£$€¥₹,\s]"
 NO_VALUE = ["nan", "None", "", "-", "N/A", "n/a"]
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-WHOLE_NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+MARKS = "£$€¥₹, \t\n\x0b\f\r"
+WHOLE_NUMBER = r"\A([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)%?\z"
 
 
 def parse_number(text: Column) -> Column:
@@ -32,8 +33,9 @@ def in_range(number: Column, kind: str) -> Column:
 def cell_number(text: Column, kind: str = "double") -> Column:
     """Number held in a free-form cell, NULL when it is unreadable, not finite or too large for the
     type. The cell stands once in the expression, so that many such columns compile together;
-    the texts that mean "no value" are no plain numbers either."""
-    plain = F.regexp_extract(without_marks(text), WHOLE_NUMBER, 0)
+    the texts that mean "no value" are no plain numbers either. ``MARKS`` are the characters of
+    ``CURRENCY_AND_GROUPING``, dropped without a pattern."""
+    plain = F.regexp_extract(F.translate(text, MARKS, ""), WHOLE_NUMBER, 1)
     if kind.startswith("decimal"):
         return plain.try_cast("double").try_cast(kind)
     # Infinity is the one double that no decimal text within the range stands for.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tradeloom.operators import rollup
 from tradeloom.plans.registry import CTES, register
@@ -278,10 +278,11 @@ def written_sheets(spark: SparkSession, d: str) -> str:
         made = cells(i, names)
         line = F.when(dialect == i, F.to_csv(F.struct(*[c.alias(k) for k, c in made.items()]), {"sep": sep, "escape": '"', "quote": '"'})).otherwise(line)
         header = F.when(dialect == i, F.lit(sep.join(made))).otherwise(header)
-    rows = base.select("folder", "part", F.lit(1).alias("place"), line.alias("value"))
-    heads = base.select("folder", "part").distinct().select("folder", "part", F.lit(0).alias("place"), header.alias("value"))
-    sheets = rows.unionByName(heads).repartition("folder", "part").sortWithinPartitions("folder", "part", "place")
-    sheets.select("folder", "part", "value").write.partitionBy("folder", "part").text(path)
+    # The header goes before the line that comes first in its sheet: the lines are made and moved once.
+    rows = base.select("folder", "part", line.alias("line"))
+    place = F.row_number().over(Window.partitionBy("folder", "part").orderBy(F.lit(1)))
+    value = F.when(place == 1, F.concat(header, F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
+    rows.select("folder", "part", value.alias("value")).write.partitionBy("folder", "part").text(path)
     return path
 
 
@@ -314,7 +315,7 @@ def _(spark, d):
 SELECT ['SKU', 'product_code', 'Item Code', 'Style'][y % 4 + 1] AS sku_header, count(*) AS n FROM (SELECT cast(split_part(dataset_id, ':', 2) as int) AS y FROM trading_lines) GROUP BY 1""")
 def _(spark, d):
     """Lines per header the SKU role was found under, over all written sheets."""
-    found = staged(delimited.parsed(spark, written_sheets(spark, d)), "sheets")
+    found = delimited.parsed(spark, written_sheets(spark, d))
     names = found.where("n < 0").select("file", F.col("found")["sku"].alias("sku_header"))
     return found.where("n >= 0").groupBy("file").agg(F.count("sku").alias("n")).join(names, "file").groupBy("sku_header").agg(F.sum("n").alias("n"))
 

@@ -15,6 +15,7 @@ import csv
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import compress, islice, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -32,7 +33,7 @@ NUMERIC_ROLES = ["units", "revenue", "stock", "cost", "full_price_sales", "buy_q
                  "margin_pct", "sell_through", "cover_weeks"]
 MONEY = {"units": "decimal(18,2)", "revenue": "decimal(18,4)", "cost": "decimal(18,4)", "margin_value": "decimal(18,6)",
          "retail": "decimal(18,2)", "full_price_sales": "decimal(18,4)"}
-CHUNK = 5000
+CHUNK = 1000
 #: Rows of ``entries`` up to which they are broadcast: one for each further 128 MB of large files.
 MAX_SPLITS = 1_000_000
 NO_HEADER = "The header has to start and end in a file's first split."
@@ -57,23 +58,23 @@ class Sheet:
 
     def rows(self, records: Iterator[str], facts: tuple) -> Iterator[pa.RecordBatch]:
         """The cells of records by role; records without any cell are left out."""
-        empty, at = set(EMPTY_CELLS), list(self.positions.values())
-        columns, numbers = [[] for _ in at], []
-        for n, cells in enumerate(csv.reader(records, delimiter=self.delimiter, doublequote=True)):
-            size = len(cells)
-            held = [cells[i] if i < size and cells[i] not in empty else None for i in at]
-            if any(held) or any(i < size and cells[i] not in empty for i in self.named):
-                numbers.append(n)
-                for column, cell in zip(columns, held):
-                    column.append(cell)
-                if len(numbers) == CHUNK:
-                    yield self.batch(columns, numbers, facts)
-                    columns, numbers = [[] for _ in at], []
-        if numbers:
-            yield self.batch(columns, numbers, facts)
-
-    def batch(self, columns: list[list], numbers: list[int], facts: tuple) -> pa.RecordBatch:
-        return batch_of(len(numbers), {**dict(zip(self.positions, columns)), "n": numbers, **{k: [v] * len(numbers) for k, v in {**dict(zip(_FACTS, facts)), "role_mask": self.mask}.items()}})
+        empty, at, begin = {*EMPTY_CELLS, None}, list(self.positions.values()), 0
+        reader = csv.reader(records, delimiter=self.delimiter, doublequote=True)
+        while chunk := list(islice(reader, CHUNK)):
+            # Whole columns at once: a column without an empty cell needs no look at its cells.
+            columns = list(zip_longest(*chunk))
+            columns += [(None,) * len(chunk)] * (max([*at, *self.named], default=-1) + 1 - len(columns))
+            numbers, held = range(begin, begin + len(chunk)), [columns[i] for i in at]
+            begin += len(chunk)
+            if not any(map(empty.isdisjoint, held)):
+                kept = [any(c not in empty for c in cells) for cells in zip(*held, *[columns[i] for i in self.named])]
+                numbers, held = list(compress(numbers, kept)), [list(compress(c, kept)) for c in held]
+            if numbers:
+                yield self.batch([c if empty.isdisjoint(c) else [None if x in empty else x for x in c] for c in held], numbers, facts)
+
+    def batch(self, columns: list, numbers, facts: tuple) -> pa.RecordBatch:
+        same = {**dict(zip(_FACTS, facts)), "role_mask": self.mask}
+        return batch_of(len(numbers), {**dict(zip(self.positions, columns)), "n": numbers, **{k: pa.repeat(pa.scalar(v, _KINDS.get(k, pa.string())), len(numbers)) for k, v in same.items()}})
 
 
 def batch_of(n: int, columns: dict[str, list]) -> pa.RecordBatch:

@@ -124,6 +124,9 @@ def stretches(batches: Iterator[pa.RecordBatch], n_keys: int, decode: bool = Tru
     def pieces():
         for batch in batches:
             keys, values = batch.columns[:n_keys], batch.column(n_keys)
+            if batch.num_rows and all(len(c.unique()) == 1 for c in keys):
+                yield tuple(c[0].as_py() for c in keys), values
+                continue
             rows, begin = [c.to_pylist() for c in keys], 0
             same = list(zip(*rows))
             for i in range(1, batch.num_rows + 1):

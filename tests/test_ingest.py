@@ -113,6 +113,19 @@ def test_inventory_of_all_lines(spark, sf_dir):
     assert got == {k: (len(f), hashlib.sha256(f).hexdigest()) for k, f in files.items()}
 
 
+def test_inventory_writes_no_checksum_files(spark, sf_dir):
+    """Each would be one more file to make, and its mode one more process where Hadoop's native library is missing."""
+    import glob
+
+    from tradeloom.plans import catalogue
+    from tradeloom.staging import job_folder
+
+    before = set(glob.glob(f"{job_folder(spark)}/files-*"))
+    n = catalogue.QUERIES["supplier_inventory"](spark, sf_dir).count()
+    made = (set(glob.glob(f"{job_folder(spark)}/files-*")) - before).pop()
+    assert len(glob.glob(f"{made}/key=*/*.txt")) == n and not glob.glob(f"{made}/key=*/.*.crc")
+
+
 def scanned(spark, tmp_path, **files):
     for name, text in files.items():
         (tmp_path / f"{name}.csv").write_bytes(text.encode())

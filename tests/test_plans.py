@@ -36,6 +36,14 @@ def test_aggregates_combine_before_the_shuffle(spark, sf_dir):
     assert "partial_max_by" in text and "partial_sum" in text
 
 
+def test_lines_joined_with_parts_are_not_moved_again(spark, sf_dir):
+    from tradeloom.operators import rollup
+    from tradeloom.sources import testtables
+
+    text = plan(rollup.sku_groups(testtables.trading_lines(spark, sf_dir), ("revenue",), ("name",)))
+    assert "partial_max_by" in text and "hashpartitioning(sku" not in text
+
+
 def test_scan_reads_only_needed_columns(spark, sf_dir):
     text = plan(QUERIES["weekly_trend"](spark, sf_dir))
     schemas = [line for line in text.splitlines() if line.startswith("ReadSchema") and "l_orderkey" in line]

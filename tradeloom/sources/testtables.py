@@ -63,10 +63,12 @@ def trading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     supp = t("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+    # Parts are joined last and by the SKU itself: lines moved for that join already lie as the SKU roll-up groups them.
+    sku = F.col("l_partkey").cast("string")
     joined = (
-        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        li.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part.hint("shuffle_hash"), sku == F.col("p_partkey").cast("string"))
     )
     b, retail = F.col("b"), F.col("retail")
     margin = F.lit(20) + F.pmod(b * 7, F.lit(45)) + F.pmod(F.col("l_suppkey"), F.lit(10))
@@ -77,7 +79,7 @@ def trading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", "c_mktsegment", F.year("l_shipdate").cast("string")).alias("dataset_id"),
         F.col("c_mktsegment").alias("user_id"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("row_id"),
-        F.col("l_partkey").cast("string").alias("sku"),
+        sku.alias("sku"),
         F.col("l_quantity").cast("decimal(18,2)").alias("units"),
         revenue.alias("revenue"),
         F.pmod(F.col("l_orderkey") * 7 + F.col("l_partkey") * 3, F.lit(60)).cast("double").alias("stock"),

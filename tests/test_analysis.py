@@ -161,3 +161,34 @@ def test_book_keeps_only_sku_columns_that_are_read(spark, make_lines):
     whole = lambda df: sorted(map(str, df.collect()))
     assert whole(few.rollup) == whole(rollup.sku_rollup(lines))
     assert whole(few.weekly) == whole(rollup.weekly_trend(lines)) and whole(few.channels) == whole(rollup.channel_split(lines, few.kpis))
+
+
+def test_kpis_alone_store_no_sku_rows(make_lines):
+    from tradeloom.plans.book import AnalysisBook
+
+    lines = make_lines([{"sku": s, "dataset_id": d, "revenue": 7, "stock": 1, "margin_pct": 30} for s, d in [("a", "d"), ("a", "d"), (None, "d"), ("b", "e"), (None, "f")]])
+    catalogue = lambda rows: rows.groupBy("dataset_id").agg(F.max("role_mask").alias("role_mask"))
+    few, all_of = AnalysisBook(lines, catalogue).prepare("kpis"), AnalysisBook(lines, catalogue).prepare("kpis", "categories")
+    assert few._groups is None and all_of._groups is not None
+    rows = lambda df: sorted(df.collect())
+    assert few.kpis.schema == all_of.kpis.schema and rows(few.kpis) == rows(all_of.kpis) and few.kpis.count() == 2
+    assert rows(few.datasets) == rows(all_of.datasets) and few.datasets.count() == 3
+
+
+def test_lists_come_from_few_rows(spark):
+    """All three lists from the rows in reach are those from all rows, over ties, gaps and a small dataset."""
+    from tradeloom.sources.roles import ALL_ROLES
+
+    n = F.col("id")
+    rows = spark.range(20000).select(
+        F.when(n < 15, "small").when(n < 30, F.lit(None)).otherwise("d").alias("dataset_id"), F.col("id").cast("string").alias("sku"),
+        F.lit(1).cast("decimal(28,2)").alias("units"),
+        F.when(n % 11 != 0, (n * 37 % 9001) / 1000 + F.when(n % 3 == 0, 9).otherwise(0)).cast("decimal(28,4)").alias("revenue"),
+        F.lit(30.0).alias("margin_pct"), (n % 25).cast("double").alias("stock"), (n * 7 % 100).cast("double").alias("sell_through"),
+        (n % 9).cast("double").alias("cover_weeks"), F.lit("c").alias("category"), F.lit("n").alias("name"), F.lit(ALL_ROLES).alias("role_mask"))
+    few, found = alerts.contenders(rows), lambda df: sorted(map(str, df.collect()))
+    assert few.columns == rows.columns and few.where("dataset_id = 'd'").count() < 4000
+    assert few.where("dataset_id = 'small' or dataset_id is null").count() == 30
+    assert found(alerts.best_of(few)) == found(alerts.best_of(rows))
+    assert found(alerts.reorder_of(alerts.reorder_candidates(few))) == found(alerts.reorder_of(alerts.reorder_candidates(rows)))
+    assert found(alerts.markdown_of(alerts.markdown_candidates(few))) == found(alerts.markdown_of(alerts.markdown_candidates(rows)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradeloom.functions.numbers import whole
@@ -71,9 +73,30 @@ def money2(column: str) -> Column:
     return F.round(column, 2).cast("double").alias(column)
 
 
+def contenders(rollup: DataFrame) -> DataFrame:
+    """SKU rows that can be in the best sellers or in one of the two alert lists, as ``in_reach`` finds
+    them, but in one pass for all lists. The value compared never falls where revenue rises, so it
+    decides for lists that rank unrounded revenue too."""
+    marked = rollup.withColumns({"_value": F.round("revenue", 2).cast("double"), "_urgency": F.when(is_reorder(), urgency()),
+                                 "_severity": F.when(is_markdown(), severity())})
+    kinds = {"_best": (F.lit(True), BEST_SELLERS_KEPT), **{f"_{u}": (F.col("_urgency") == u, ALERTS_KEPT) for u in URGENCIES},
+             **{f"_{s}": (F.col("_severity") == s, ALERTS_KEPT) for s in DEPTHS}}
+    buckets = 16 * max(k for _, k in kinds.values())
+    maxima = marked.groupBy(DS, F.pmod(F.xxhash64("sku"), F.lit(buckets)).alias("_bucket")).agg(
+        *[F.max(F.when(kind, F.col("_value"))).alias(name) for name, (kind, _) in kinds.items()])
+    limits = staged(maxima.groupBy(DS).agg(*[F.get(F.sort_array(F.collect_list(name), asc=False), F.lit(k - 1)).alias(name)
+                                             for name, (_, k) in kinds.items()]), "limits")
+    reached = [kind & (F.col(name).isNull() | (F.col("_value") >= F.col(name))) for name, (kind, _) in kinds.items()]
+    return marked.join(limits, DS, "left").where(reduce(lambda a, b: a | b, reached)).select(rollup.columns)
+
+
 def best_sellers(rollup: DataFrame, k: int = BEST_SELLERS_KEPT) -> DataFrame:
     """Top SKUs by revenue."""
-    top = top_per(in_reach(rollup, [DS], "revenue", "sku", k), [DS], [F.desc("revenue"), F.asc("sku")], k)
+    return best_of(in_reach(rollup, [DS], "revenue", "sku", k), k)
+
+
+def best_of(rollup: DataFrame, k: int = BEST_SELLERS_KEPT) -> DataFrame:
+    top = top_per(rollup, [DS], [F.desc("revenue"), F.asc("sku")], k)
     return top.select(
         DS, F.col("rank").cast("int").alias("rank"), "sku", money2("revenue"), whole(F.col("units")).alias("units"),
         "name", "category",
@@ -110,10 +133,18 @@ def markdown_candidates(rollup: DataFrame) -> DataFrame:
 
 
 def reorder_alerts(rollup: DataFrame, k: int = ALERTS_KEPT) -> DataFrame:
+    return reorder_of(in_reach(reorder_candidates(rollup), [DS, "urgency"], "revenue", "sku", k), k)
+
+
+def reorder_of(candidates: DataFrame, k: int = ALERTS_KEPT) -> DataFrame:
     order = [position(F.col("urgency"), URGENCIES), F.desc("revenue"), F.asc("sku")]
-    return top_per(in_reach(reorder_candidates(rollup), [DS, "urgency"], "revenue", "sku", k), [DS], order, k).withColumn("rank", F.col("rank").cast("int"))
+    return top_per(candidates, [DS], order, k).withColumn("rank", F.col("rank").cast("int"))
 
 
 def markdown_risk(rollup: DataFrame, k: int = ALERTS_KEPT) -> DataFrame:
+    return markdown_of(in_reach(markdown_candidates(rollup), [DS, "severity"], "revenue", "sku", k), k)
+
+
+def markdown_of(candidates: DataFrame, k: int = ALERTS_KEPT) -> DataFrame:
     order = [position(F.col("severity"), list(DEPTHS)), F.desc("revenue"), F.asc("sku")]
-    return top_per(in_reach(markdown_candidates(rollup), [DS, "severity"], "revenue", "sku", k), [DS], order, k).withColumn("rank", F.col("rank").cast("int"))
+    return top_per(candidates, [DS], order, k).withColumn("rank", F.col("rank").cast("int"))

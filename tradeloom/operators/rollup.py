@@ -144,8 +144,8 @@ def blended_margin(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy(DS).agg(*margin_sums()).select(DS, pct.alias("gross_margin_pct"), profit.alias("gross_profit"))
 
 
-def dataset_kpis(rollup: DataFrame) -> DataFrame:
-    """One row of headline figures per dataset, from a single aggregate.
+def dataset_kpis(rollup: DataFrame, *keys: str) -> DataFrame:
+    """One row of headline figures per dataset (and value of ``keys``), from a single aggregate.
 
     Alert counts are conditional sums in it, so no alert table is built or joined and
     counts are those before any top-k cut.
@@ -153,7 +153,7 @@ def dataset_kpis(rollup: DataFrame) -> DataFrame:
     from tradeloom.operators.alerts import is_markdown, is_reorder, urgency
 
     mean = lambda c: F.round(F.coalesce(exact_mean(F.col(c)), F.lit(0.0)), 1).alias(f"avg_{c}")
-    figures = rollup.groupBy(DS).agg(
+    figures = rollup.groupBy(DS, *keys).agg(
         F.count("*").alias("sku_count"),
         rounded_sum("revenue").alias("total_revenue"),
         F.bround(F.sum("units"), 0).cast("bigint").alias("total_units"),
@@ -168,7 +168,7 @@ def dataset_kpis(rollup: DataFrame) -> DataFrame:
         DS, "sku_count", "total_revenue", "total_units", F.round(profit, 2).alias("gross_profit"), "avg_sell_through",
         "avg_margin_pct", F.round(pct, 1).alias("gross_margin_pct"), margin_present().alias("margin_available"),
         margin_source().alias("margin_source"), "avg_cover_weeks", "reorder_count", "markdown_risk_count",
-        "critical_oos_count", "role_mask",
+        "critical_oos_count", "role_mask", *keys,
     )
 
 

@@ -2,7 +2,8 @@
 
 The SKU rows feed five tables and those feed every later screen, so each is staged the
 first time it is used (see ``tradeloom.staging``). A table nobody asks for is never built, and the SKU
-rows hold only the columns that the tables asked for read.
+rows hold only the columns that the tables asked for read. KPIs asked for alone are summed up from
+the SKU rows as they come, which are then not stored.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from tradeloom.staging import staged
 
 
 STORED = ("kpis", "best_sellers", "reorder_alerts", "markdown_risk", "categories")
+#: Tables that keep the first rows of each dataset; they are cut from the same few SKU rows.
+LISTS = ("best_sellers", "reorder_alerts", "markdown_risk")
 #: Sums and first values that a table reads from the SKU rows; ``rollup`` has them all.
 FIGURES = ("units", "revenue", "margin_value")
-READS = {"kpis": FIGURES, "categories": (*FIGURES, "category"), **dict.fromkeys(["best_sellers", "reorder_alerts", "markdown_risk"], (*FIGURES, "category", "name")),
+READS = {"kpis": FIGURES, "categories": (*FIGURES, "category"), **dict.fromkeys([*LISTS, "contenders"], (*FIGURES, "category", "name")),
          "rollup": (*rollup.SUMS, *rollup.FIRST)}
 
 
@@ -30,6 +33,7 @@ class AnalysisBook:
         ``pairing`` the comparisons from the dataset table."""
         self.lines, self._catalogue, self._pairing = lines, catalogue, pairing
         self._groups: DataFrame | None = None
+        self._figures: DataFrame | None = None
 
     @classmethod
     def of_test_tables(cls, spark: SparkSession, sf_dir: str) -> "AnalysisBook":
@@ -37,10 +41,13 @@ class AnalysisBook:
 
     def prepare(self, *names: str) -> "AnalysisBook":
         """Stage several tables at the same time; their jobs do not depend on each other."""
-        if read := [c for name in names for c in READS.get(name, ())]:
-            self.skus(*read)
-        with ThreadPoolExecutor(len(names)) as pool:
-            list(pool.map(lambda name: getattr(self, name), names))
+        stored = [name for name in names if name in READS]
+        if stored != ["kpis"] and stored:
+            self.skus(*[c for name in stored for c in READS[name]])
+        lists = [name for name in names if name in LISTS]
+        with ThreadPoolExecutor(len(names) + 1) as pool:
+            for wave in ([*["contenders"][:len(lists)], *[name for name in names if name not in lists]], lists):
+                list(pool.map(lambda name: getattr(self, name), wave))
         return self
 
     def skus(self, *columns: str) -> DataFrame:
@@ -53,7 +60,8 @@ class AnalysisBook:
 
     @cached_property
     def datasets(self) -> DataFrame:
-        return staged(self._catalogue(self.lines if self._groups is None else self._groups), "datasets")
+        known = [rows for rows in (self._groups, self._figures) if rows is not None]
+        return staged(self._catalogue(known[0] if known else self.lines), "datasets")
 
     def private_datasets(self, companies: DataFrame) -> DataFrame:
         return staged(governance.private_datasets(self.datasets, companies), "private")
@@ -68,19 +76,28 @@ class AnalysisBook:
 
     @cached_property
     def kpis(self) -> DataFrame:
-        return staged(rollup.dataset_kpis(self.skus(*READS["kpis"])), "kpis")
+        if self._groups is not None:
+            return staged(rollup.dataset_kpis(self.skus(*READS["kpis"])), "kpis")
+        # Lines without a SKU stay apart: they count for no KPI, but make their dataset known.
+        groups = rollup.sku_groups(self.lines, READS["kpis"], ()).withColumn("has_sku", F.col("sku").isNotNull())
+        self._figures = staged(rollup.dataset_kpis(groups, "has_sku"), "kpis")
+        return self._figures.where("has_sku").drop("has_sku")
+
+    @cached_property
+    def contenders(self) -> DataFrame:
+        return staged(alerts.contenders(self.skus(*READS["contenders"])), "contenders")
 
     @cached_property
     def best_sellers(self) -> DataFrame:
-        return staged(alerts.best_sellers(self.skus(*READS["best_sellers"])), "best_sellers")
+        return staged(alerts.best_of(self.contenders), "best_sellers")
 
     @cached_property
     def reorder_alerts(self) -> DataFrame:
-        return staged(alerts.reorder_alerts(self.skus(*READS["reorder_alerts"])), "reorder_alerts")
+        return staged(alerts.reorder_of(alerts.reorder_candidates(self.contenders)), "reorder_alerts")
 
     @cached_property
     def markdown_risk(self) -> DataFrame:
-        return staged(alerts.markdown_risk(self.skus(*READS["markdown_risk"])), "markdown_risk")
+        return staged(alerts.markdown_of(alerts.markdown_candidates(self.contenders)), "markdown_risk")
 
     @cached_property
     def categories(self) -> DataFrame:

@@ -181,7 +181,7 @@ SELECT dataset_id, point, round(value, 2) AS value FROM (
   FROM (SELECT dataset_id, count(*) AS n, list(revenue ORDER BY week) AS got
     FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY week DESC) AS r FROM weekly) WHERE r <= 8 GROUP BY 1))""")
 def _(spark, d):
-    b = book(spark, d)
+    b = book(spark, d).prepare("kpis", "weekly")
     return role_view.sparkline(b.kpis, b.weekly)
 
 

@@ -192,3 +192,14 @@ def test_lists_come_from_few_rows(spark):
     assert found(alerts.best_of(few)) == found(alerts.best_of(rows))
     assert found(alerts.reorder_of(alerts.reorder_candidates(few))) == found(alerts.reorder_of(alerts.reorder_candidates(rows)))
     assert found(alerts.markdown_of(alerts.markdown_candidates(few))) == found(alerts.markdown_of(alerts.markdown_candidates(rows)))
+
+
+def test_weeks_alone_need_no_channel(make_lines):
+    from tradeloom.plans.book import AnalysisBook
+
+    lines = make_lines([{"sku": s, "week": w, "channel": c, "revenue": v} for s, w, c, v in [("a", "1", "x", 5), ("a", "1", None, 6), (None, "2", "y", 7), ("b", None, "y", 8)]])
+    alone, both = AnalysisBook(lines).prepare("weekly"), AnalysisBook(lines).prepare("periods", "kpis")
+    assert "periods" not in vars(alone) and "periods" in vars(both)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(alone.weekly) == rows(both.weekly) == rows(rollup.weekly_trend(lines)) and len(rows(alone.weekly)) == 2
+    assert rows(both.channels) == rows(rollup.channel_split(lines, both.kpis))

@@ -110,7 +110,8 @@ class AnalysisBook:
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return staged(rollup.weekly_trend(self.periods), "weekly_trend")
+        """From ``periods`` where these are there; alone it needs no channel, which comes by one more join."""
+        return staged(rollup.weekly_trend(self.__dict__.get("periods", self.lines)), "weekly_trend")
 
     @cached_property
     def channels(self) -> DataFrame:
@@ -135,7 +136,7 @@ class AnalysisBook:
         return timeline.timeline(self.datasets, self.kpis)
 
     def tables(self) -> dict[str, DataFrame]:
-        self.skus(*READS["rollup"])
+        self.prepare("rollup", "periods")
         return {"sku_rollup": self.rollup, "kpis": self.kpis, "best_sellers": self.best_sellers,
                 "reorder_alerts": self.reorder_alerts, "markdown_risk": self.markdown_risk,
                 "category_scorecard": self.categories, "weekly_trend": self.weekly, "channel_split": self.channels}

@@ -544,7 +544,7 @@ PUBLISHED_SQL = " UNION ALL ".join(
 def _(spark, d):
     """Publish all tables, then read their rows back."""
     path = scratch(spark, "published")
-    publish.publish_analysis(book(spark, d).prepare("rollup", *STORED, "weekly").tables(), path)
+    publish.publish_analysis(book(spark, d).prepare("rollup", *STORED, "periods").tables(), path)
     return published_rows({k: spark.read.parquet(f"{path}/{k}") for k in PUBLISHED})
 
 

@@ -85,3 +85,55 @@ def test_half_a_publish_is_not_seen(spark, tmp_path, make_lines, monkeypatch):
     monkeypatch.setattr(store.AnalysisStore, "_write", write)
     shop.publish(changed)
     assert contents(shop.tables()) == whole(changed)
+
+
+def plan(df):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_sku_rows_are_moved_once_and_lie_as_they_are_written(make_lines, monkeypatch):
+    lines = sheet(make_lines, "A", "one", 1)
+    for _ in range(2):
+        parts = store.partial_rollup(lines)
+        for rows in (parts, store.merged_rollup(parts)):
+            text = plan(rows.sortWithinPartitions("dataset_id", "sku"))
+            assert "rangepartitioning(dataset_id" in text and "hashpartitioning" not in text
+        monkeypatch.setattr(store, "HOT_LINES", 2)
+
+
+def test_a_hot_sku_is_summed_up_in_slices(make_lines, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tradeloom.operators.rollup import sku_rollup
+
+    rows = [{"sku": "hot" if i % 3 else f"s{i}", "row_id": i, "revenue": i, "stock": i, "name": str(i)} for i in range(300)]
+    lines = make_lines(rows).withColumn("sheet", F.lit("one"))
+    got = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    want = got(sku_rollup(lines.drop("sheet")))
+    assert store.partial_rollup(lines).count() == len(want) == 101
+    monkeypatch.setattr(store, "HOT_LINES", 50)
+    parts = store.partial_rollup(lines)
+    assert parts.where("sku = 'hot'").count() > 10 and parts.count() - parts.where("sku = 'hot'").count() == 100
+    assert got(store.merged_rollup(parts)) == want
+
+
+def test_publish_leaves_no_shuffle_files(spark, tmp_path, make_lines):
+    import time
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {p for top in folders for p in glob.glob(f"{top}/*/shuffle_*.data")}
+    before, shop = held(), store.AnalysisStore(spark, str(tmp_path / "shop"))
+    was = spark.conf.get(setting)
+    shop.publish(sheet(make_lines, "A", "one", 1).unionByName(sheet(make_lines, "B", "one", 2)))
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(setting) == was
+    assert not glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/tradeloom/*/merged-rollup-*")

@@ -12,7 +12,7 @@ from tradeloom.plans.book import STORED, AnalysisBook
 from tradeloom.plans.registry import CTES, compact, fixed, grouped, pounds, register, text, whole
 from tradeloom.sources import publish, testtables as tt
 from tradeloom.sources.store import AnalysisStore
-from tradeloom.staging import scratch, staged
+from tradeloom.staging import scratch, shuffles_freed, staged
 
 # Report and action wording in the SQL below is that of the results.
 book = AnalysisBook.of_test_tables
@@ -554,7 +554,8 @@ def _(spark, d):
     others, and then all others, which replaces that form of their sheets."""
     store = AnalysisStore(spark, scratch(spark, "store"))
     number = F.pmod(F.col("row_id.l_orderkey"), F.lit(4))
-    lines = staged(tt.trading_lines(spark, d).withColumn("sheet", F.concat(F.lit("sheet "), number.cast("string"))), "sheet-lines")
+    with shuffles_freed(spark):
+        lines = staged(tt.trading_lines(spark, d).withColumn("sheet", F.concat(F.lit("sheet "), number.cast("string"))), "sheet-lines")
     odd = number % 2 == 1
     store.publish(lines.where(odd | (F.pmod(F.col("row_id.l_suppkey"), F.lit(3)) == 0)))
     store.publish(lines.where(~odd))
